@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from leakscope import constants as C
 from leakscope.operators.rank import exact_order_stats
+from leakscope.session import materialize
 
 
 def _finite(c):
@@ -69,8 +70,8 @@ def histogram(df: DataFrame, column: str, log_scale: bool = False, n_bins: int =
     asked and min > 0); the last bin is closed; width 1 when all equal; two
     class counts per bin; empty bins kept."""
     v = F.col(column).cast("double")
-    pts = df.select(v.alias("v"), F.coalesce(F.col(label) == F.lit(True), F.lit(False)).alias("hz")) \
-        .filter(_finite(F.col("v")))
+    pts = materialize(df.select(v.alias("v"), F.coalesce(F.col(label) == F.lit(True), F.lit(False)).alias("hz"))
+                      .filter(_finite(F.col("v"))))
     st = pts.agg(F.min("v").alias("mn"), F.max("v").alias("mx")).first()
     spark = df.sparkSession
     if st["mn"] is None:
@@ -99,7 +100,7 @@ def histogram(df: DataFrame, column: str, log_scale: bool = False, n_bins: int =
 def column_summary(df: DataFrame, column: str) -> DataFrame:
     """N, min, upper median ``sorted[floor(n/2)]`` (an exact order
     statistic, not an interpolated median) and max of the finite values."""
-    vals = df.select(F.col(column).cast("double").alias("v")).filter(_finite(F.col("v")))
+    vals = materialize(df.select(F.col(column).cast("double").alias("v")).filter(_finite(F.col("v"))))
     st = vals.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx")).first()
     n = st["n"]
     med = exact_order_stats(vals, "v", [n // 2]).get(n // 2) if n else None

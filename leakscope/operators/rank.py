@@ -23,6 +23,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leakscope.session import materialize
+
 DEFAULT_BUCKETS = 4096
 
 
@@ -113,7 +115,7 @@ def exact_order_stats(df: DataFrame, col: str, ranks: list[int], buckets: int =
     ``buckets`` rows reach the driver); a sort of only the buckets holding a
     wanted rank. Returns {rank: value}.
     """
-    vals = df.select(F.col(col).alias("v")).filter(F.col("v").isNotNull())
+    vals = materialize(df.select(F.col(col).alias("v")).filter(F.col("v").isNotNull()))
     edges = quantile_edges(vals, "v", buckets)
     b = vals.withColumn("_bkt", edge_bucket(F.col("v"), edges))
     counts = sorted((r["_bkt"], r["n"]) for r in b.groupBy("_bkt").agg(F.count(F.lit(1)).alias("n")).collect())
@@ -152,7 +154,8 @@ def exact_order_stats(df: DataFrame, col: str, ranks: list[int], buckets: int =
 
 def exact_quantiles(df: DataFrame, col: str, probs: list[float], buckets: int = 256) -> tuple[int, list[float | None]]:
     """numpy-style linear-interpolation quantiles, exact. Returns (n, values)."""
-    n = df.filter(F.col(col).isNotNull()).count()
+    df = materialize(df.select(col).filter(F.col(col).isNotNull()))
+    n = df.count()
     if n == 0:
         return 0, [None for _ in probs]
     need = set()
@@ -166,7 +169,8 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float], buckets: int =
     vals = []
     for h, lo, hi in pos:
         a, b = stats[lo], stats[hi]
-        vals.append(a + (h - lo) * (b - a) if hi != lo else a)
+        t = h - lo
+        vals.append(a if hi == lo else (a + (b - a) * t if t < 0.5 else b - (b - a) * (1 - t)))
     return n, vals
 
 
@@ -183,8 +187,8 @@ def grouped_quantiles(long: DataFrame, group_cols: list[str], value_col: str, pr
     """
     g = list(group_cols)
     spark = long.sparkSession
-    vals = long.select(*g, F.col(value_col).cast("double").alias("v")).filter(
-        F.col("v").isNotNull() & ~F.isnan(F.col("v")))
+    vals = materialize(long.select(*g, F.col(value_col).cast("double").alias("v")).filter(
+        F.col("v").isNotNull() & ~F.isnan(F.col("v"))))
     qs = [i / buckets for i in range(1, buckets)]
     meta = vals.groupBy(*g).agg(F.count(F.lit(1)).alias("n"),
                                 F.percentile_approx("v", qs, accuracy).alias("edges")).collect()

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from leakscope import constants as C
 from leakscope.functions.scalar import hash_uniform
 from leakscope.operators.rank import bucketed_rank, uniform_bucket
+from leakscope.session import materialize
 
 HOLDOUT_SALT = "holdout"
 FOLD_SALT = "fold"
@@ -46,9 +47,10 @@ def allocate_test(counts: dict, test_size: float) -> dict:
 
 
 def stratified_holdout(df: DataFrame, seed: int = C.SEED, test_size: float = C.TEST_SIZE,
-                       id_col: str = C.ID, label: str = C.TARGET, buckets: int = 4096) -> DataFrame:
+                       id_col: str = C.ID, label: str = C.TARGET, buckets: int = 4096,
+                       alloc: dict | None = None) -> DataFrame:
     """Adds ``is_test``; each class's first k_c rows by hash are test."""
-    alloc = allocate_test(class_counts(df, label), test_size)
+    alloc = alloc if alloc is not None else allocate_test(class_counts(df, label), test_size)
     u = hash_uniform(salt(HOLDOUT_SALT, seed), F.col(id_col))
     ranked = bucketed_rank(df.withColumn("_u", u), [label], [F.col("_u"), F.col(id_col)],
                            uniform_bucket(F.col("_u"), buckets), "_r")
@@ -59,11 +61,12 @@ def stratified_holdout(df: DataFrame, seed: int = C.SEED, test_size: float = C.T
 
 
 def stratified_folds(train: DataFrame, seed: int = C.SEED, n_folds: int = C.N_FOLDS,
-                     id_col: str = C.ID, label: str = C.TARGET, buckets: int = 4096) -> DataFrame:
+                     id_col: str = C.ID, label: str = C.TARGET, buckets: int = 4096,
+                     counts: dict | None = None) -> DataFrame:
     """Fold 1..n by a global rank over (class, hash): within a class the
     folds cycle, so per-class fold sizes differ by at most one, and the second
     class continues the cycle so fold totals do too."""
-    counts = class_counts(train, label)
+    counts = counts if counts is not None else class_counts(train, label)
     order = sorted(counts, key=lambda c: str(c))  # False before True
     before, acc = {}, 0
     for c in order:
@@ -80,11 +83,19 @@ def stratified_folds(train: DataFrame, seed: int = C.SEED, n_folds: int = C.N_FO
 
 def split_table(df: DataFrame, seed: int = C.SEED, test_size: float = C.TEST_SIZE,
                 n_folds: int = C.N_FOLDS, id_col: str = C.ID, label: str = C.TARGET) -> DataFrame:
-    """(id, label, is_test, fold): fold is null on test rows. Build once per run."""
-    base = stratified_holdout(df.select(id_col, label), seed, test_size, id_col, label)
-    train = stratified_folds(base.filter(~F.col("is_test")), seed, n_folds, id_col, label)
-    test = base.filter(F.col("is_test")).withColumn("fold", F.lit(None).cast("int"))
-    return train.unionByName(test)
+    """(id, label, is_test, fold): fold is null on test rows. Built once per
+    run and checkpointed (pass a checkpointed input: it is read twice). One
+    class-count aggregate serves both stages: the training counts are the
+    class counts minus the test allocation."""
+    base = df.select(id_col, label)
+    counts = class_counts(base, label)
+    alloc = allocate_test(counts, test_size)
+    train_counts = {c: counts[c] - alloc.get(c, 0) for c in counts}
+    # both union branches read the same holdout ranking; the exchange is reused
+    ho = stratified_holdout(base, seed, test_size, id_col, label, alloc=alloc)
+    train = stratified_folds(ho.filter(~F.col("is_test")), seed, n_folds, id_col, label, counts=train_counts)
+    test = ho.filter(F.col("is_test")).withColumn("fold", F.lit(None).cast("int"))
+    return materialize(train.unionByName(test))
 
 
 def disjoint_check(split: DataFrame, n_folds: int = C.N_FOLDS, id_col: str = C.ID) -> DataFrame:

@@ -20,6 +20,7 @@ from leakscope.operators.rank import grouped_quantiles
 from leakscope.plans.q_ingest import cleaned_derived
 from leakscope.plans.registry import normalise, query
 from leakscope.plans.sql_base import hash_bits_sql, with_flat
+from leakscope.session import materialize, run_table
 
 PROFILE_FEATURES = list(C.PHYSICAL_KINEMATIC_NUMERIC)
 
@@ -37,9 +38,11 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 def split_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored rows with is_test and fold (the split table joined back on id:
     both sides are hash-partitioned on the id, a co-partitioned join)."""
-    sc = scored(spark, sf_dir)
-    sp = S.split_table(sc.select(C.ID, F.col("y").alias(C.TARGET)))
-    return sc.join(sp.drop(C.TARGET), C.ID, "inner")
+    def build():
+        sc = materialize(scored(spark, sf_dir))
+        sp = S.split_table(sc.select(C.ID, F.col("y").alias(C.TARGET)))
+        return materialize(sc.join(sp.drop(C.TARGET), C.ID, "inner"))
+    return run_table(spark, ("split_scored", sf_dir), build)
 
 
 def test_rows(spark, sf_dir) -> DataFrame:

@@ -24,6 +24,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "16g")
+        .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -49,3 +51,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path for a written intermediate table, inside the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/leakscope/{name}"
+
+
+def materialize(df):
+    """Cut lineage with a reliable checkpoint in ``spark.checkpoint.dir``.
+
+    Used where a plan is read by several jobs (driver-side sizing actions,
+    then the final query): later jobs read the written files instead of
+    recomputing joins, and a lost executor costs a re-read, not a rebuild.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+_RUN_TABLES: dict = {}
+
+
+def run_table(spark: SparkSession, key: tuple, build):
+    """A per-run table (split table, search results): built once per Spark
+    application and input, then reused. ``build`` must return a checkpointed
+    DataFrame so that reuse never recomputes its lineage."""
+    k = (spark.sparkContext.applicationId, *key)
+    if k not in _RUN_TABLES:
+        _RUN_TABLES[k] = build()
+    return _RUN_TABLES[k]
