@@ -95,8 +95,9 @@ def roc_curve(df: DataFrame, y: str = "y", p: str = "p", group_cols: list[str] |
     pts = curve_points(df, y, p, g).filter((F.col("P") > 0) & (F.col("N") > 0))
     body = pts.select(*g, F.col("score").alias("threshold"),
                       (F.col("fp") / F.col("N")).alias("fpr"), (F.col("tp") / F.col("P")).alias("tpr"))
-    start = pts.groupBy(*g).agg(F.lit(None).cast("double").alias("threshold"),
-                                F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    # grouped even without group columns: an empty curve yields no start row
+    start = pts.withColumn("_g", F.lit(0)).groupBy(*g, "_g").agg(
+        F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")).drop("_g")
     return body.unionByName(start)
 
 
@@ -108,8 +109,9 @@ def pr_curve(df: DataFrame, y: str = "y", p: str = "p", group_cols: list[str] |
     body = pts.select(*g, F.col("score").alias("threshold"),
                       (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
                       (F.col("tp") / F.col("P")).alias("recall"))
-    end = pts.groupBy(*g).agg(F.lit(None).cast("double").alias("threshold"),
-                              F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
+    end = pts.withColumn("_g", F.lit(0)).groupBy(*g, "_g").agg(
+        F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"),
+        F.lit(0.0).alias("recall")).drop("_g")
     return body.unionByName(end)
 
 
@@ -226,18 +228,37 @@ def poisson_weight(u: Column) -> Column:
     return w
 
 
+MIX = 73244475          # 0x45d9f3b, a 32-bit integer mixing multiplier
+GOLDEN = 2654435761     # 0x9e3779b1
+TWO32 = 4294967296
+
+
+def mix32(x: Column) -> Column:
+    """A 32-bit integer hash finaliser on BIGINT arithmetic (no overflow:
+    operands stay below 2^59); the same steps run in SQL for the oracle."""
+    x = F.pmod(F.shiftright(x, 16).bitwiseXOR(x) * F.lit(MIX), F.lit(TWO32))
+    x = F.pmod(F.shiftright(x, 16).bitwiseXOR(x) * F.lit(MIX), F.lit(TWO32))
+    return F.shiftright(x, 16).bitwiseXOR(x)
+
+
+def replicate_uniform(row_bits: Column, replicate: Column) -> Column:
+    """Uniform for (row, replicate): one md5 per row, integer mixing per replicate."""
+    key = row_bits.bitwiseXOR(F.pmod(replicate.cast("bigint") * F.lit(GOLDEN), F.lit(TWO32)))
+    return mix32(key) / F.lit(float(TWO32))
+
+
 def bootstrap_f1(df: DataFrame, id_col: str, y: str = "y", pred: str = "pred", n_boot: int = 1000,
                  ci: float = 0.95, seed: int = C.SEED) -> DataFrame:
     """A15, Poisson bootstrap: each row gets a Poisson(1) weight per
-    replicate from a hash of (seed, replicate, id). Rows are expanded by
-    replicate inside each task and reduced by a partial aggregate on the
-    replicate number, so only n_boot small rows per task are shuffled.
-    Replicate 0 carries weight 1 everywhere and gives the point estimate.
-    Nulls on empty input."""
-    reps = df.select(id_col, F.col(y).alias("_y"), F.col(pred).alias("_p"),
-                     F.explode(F.sequence(F.lit(0), F.lit(n_boot))).alias("replicate"))
-    u = hash_uniform(f"boot{seed}", F.concat(F.col("replicate").cast("string"), F.lit(":"),
-                                             F.col(id_col).cast("string")))
+    replicate from a hash of (seed, id) mixed with the replicate number.
+    Rows are expanded by replicate inside each task and reduced by a partial
+    aggregate on the replicate number, so only n_boot small rows per task are
+    shuffled. Replicate 0 carries weight 1 everywhere and gives the point
+    estimate. Nulls on empty input."""
+    from leakscope.functions.scalar import hash_bits
+    reps = df.select(hash_bits(f"boot{seed}", F.col(id_col)).alias("_h"), F.col(y).alias("_y"),
+                     F.col(pred).alias("_p"), F.explode(F.sequence(F.lit(0), F.lit(n_boot))).alias("replicate"))
+    u = replicate_uniform(F.col("_h"), F.col("replicate"))
     w = F.when(F.col("replicate") == 0, F.lit(1)).otherwise(poisson_weight(u))
     agg = reps.withColumn("_w", w).groupBy("replicate").agg(
         F.sum(F.when(F.col("_y") & F.col("_p"), F.col("_w")).otherwise(0)).alias("tp"),

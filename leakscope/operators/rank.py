@@ -187,8 +187,8 @@ def grouped_quantiles(long: DataFrame, group_cols: list[str], value_col: str, pr
     """
     g = list(group_cols)
     spark = long.sparkSession
-    vals = materialize(long.select(*g, F.col(value_col).cast("double").alias("v")).filter(
-        F.col("v").isNotNull() & ~F.isnan(F.col("v"))))
+    vals = long.select(*g, F.col(value_col).cast("double").alias("v")).filter(
+        F.col("v").isNotNull() & ~F.isnan(F.col("v")))
     qs = [i / buckets for i in range(1, buckets)]
     meta = vals.groupBy(*g).agg(F.count(F.lit(1)).alias("n"),
                                 F.percentile_approx("v", qs, accuracy).alias("edges")).collect()
@@ -210,7 +210,8 @@ def grouped_quantiles(long: DataFrame, group_cols: list[str], value_col: str, pr
         b = vals.join(F.broadcast(edge_df), g, "inner")
     else:
         b = vals.withColumn("edges", F.lit(info[()][1]).cast("array<double>"))
-    b = b.withColumn("_bkt", F.size(F.filter("edges", lambda e: e < F.col("v")))).drop("edges")
+    # the bucket is read by two jobs below: write it once
+    b = materialize(b.withColumn("_bkt", F.size(F.filter("edges", lambda e: e < F.col("v")))).drop("edges"))
     bc: dict[tuple, list[tuple[int, int]]] = {}
     for r in b.groupBy(*g, "_bkt").agg(F.count(F.lit(1)).alias("c")).collect():
         bc.setdefault(key(r), []).append((r["_bkt"], r["c"]))

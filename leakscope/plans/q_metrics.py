@@ -312,14 +312,20 @@ def _poisson_case(u: str) -> str:
     return f"CASE {parts} ELSE {len(M.POISSON1_CDF)} END"
 
 
-_U_BOOT = ("(CAST(('0x' || substr(md5('boot42|' || CAST(r.replicate AS VARCHAR) || ':' || CAST(te.neo_id AS VARCHAR)),"
-           " 1, 8)) AS BIGINT) / 4294967296.0)")
+def _mix_sql(x: str) -> str:
+    step = lambda v: f"((xor({v} >> 16, {v}) * {M.MIX}) % {M.TWO32})"
+    y = step(step(x))
+    return f"xor({y} >> 16, {y})"
+
+
+_U_BOOT = (f"({_mix_sql('xor(te.h, (r.replicate * ' + str(M.GOLDEN) + ') % ' + str(M.TWO32) + ')')}"
+           f" / {float(M.TWO32)})")
 
 
 @query("bootstrap_ci", with_split(f"""
 , reps AS (SELECT r.replicate, te.y, te.pred,
                   CASE WHEN r.replicate = 0 THEN 1 ELSE {_poisson_case(_U_BOOT)} END AS w
-           FROM te, range(0, 1001) r(replicate)),
+           FROM (SELECT *, {hash_bits_sql('boot42', 'neo_id')} AS h FROM te) te, range(0, 1001) r(replicate)),
 agg AS (SELECT replicate, sum(CASE WHEN y AND pred THEN w ELSE 0 END) AS tp,
                sum(CASE WHEN NOT y AND pred THEN w ELSE 0 END) AS fp,
                sum(CASE WHEN y AND NOT pred THEN w ELSE 0 END) AS fn FROM reps GROUP BY replicate),

@@ -26,7 +26,7 @@ FS_KEY = "leakage_aware"
 
 # small default settings for the registered model queries
 QUICK = {
-    "logistic_regression": {"C": 1.0, "max_iter": 100},
+    "logistic_regression": {"C": 1.0, "max_iter": 30},
     "random_forest": {"n_estimators": 20, "max_depth": 6, "min_samples_leaf": 2, "max_features": "sqrt"},
     "xgboost": {"n_estimators": 10, "max_depth": 3, "learning_rate": 0.1, "subsample": 1.0,
                 "colsample_bytree": 1.0},

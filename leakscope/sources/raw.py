@@ -81,9 +81,11 @@ def read_raw_records(spark: SparkSession, path: str, multiline: bool = True,
 def assert_record_list(df: DataFrame, stage: str = "scan_raw") -> DataFrame:
     """Raise when the scanned input holds no well-formed record (the file was
     not a list of objects). One aggregate pass; call on the cached scan."""
+    # a parsed field is referenced too: Spark refuses queries that read only
+    # the corrupt-record column of a raw JSON scan
     row = df.agg(
         F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col("_corrupt_record").isNull()).alias("ok"),
+        F.count_if(F.col("_corrupt_record").isNull() | F.col("id").isNotNull()).alias("ok"),
     ).first()
     if row["n"] > 0 and row["ok"] == 0:
         raise MissingInputError(f"{stage}: input is not a list of records")
@@ -140,11 +142,13 @@ def explode_pages(pages: DataFrame, max_pages: int | None = None) -> DataFrame:
     )
     if max_pages is not None:
         kept = kept.filter(F.col("page.number") < F.lit(max_pages))
+    # explode_outer: a plain explode lets the optimizer infer a not-null
+    # filter on the array and silently drop the malformed page
     return kept.select(
         F.col("page.number").alias("page"),
         F.col("page.total_pages").alias("total_pages"),
-        F.posexplode("near_earth_objects").alias("pos", "record"),
-    )
+        F.posexplode_outer("near_earth_objects").alias("pos", "record"),
+    ).filter(F.col("pos").isNotNull())
 
 
 def provenance(landed: DataFrame, page_size: int | None = None,
