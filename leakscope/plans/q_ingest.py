@@ -363,3 +363,68 @@ FROM flat
 """))
 def q_rule_label(spark, sf_dir):
     return rule_label(flat(spark, sf_dir))
+
+
+# --- S1 / S2: landed raw records from the analog ----------------------------------------
+def landed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw nested records (the raw schema) built from the analog: each record
+    carries its closest approach only (pre-reduced by a partial aggregate),
+    so no object's event list is ever gathered into one record or task."""
+    f = flat(spark, sf_dir)
+    dist_txt = F.col("closest_miss_distance_km").cast("string")
+    approach = F.struct(
+        F.col("closest_approach_date").alias("close_approach_date"),
+        F.struct(F.col("closest_relative_velocity_km_s").cast("string").alias("kilometers_per_second"))
+        .alias("relative_velocity"),
+        F.struct(dist_txt.alias("kilometers")).alias("miss_distance"),
+        F.lit("Earth").alias("orbiting_body"))
+    txt = lambda c: F.col(c).cast("string")
+    return f.select(
+        F.col("neo_id").alias("id"), "name", "designation", "absolute_magnitude_h",
+        F.struct(F.struct(F.col("estimated_diameter_km_min").alias("estimated_diameter_min"),
+                          F.col("estimated_diameter_km_max").alias("estimated_diameter_max"))
+                 .alias("kilometers")).alias("estimated_diameter"),
+        C.TARGET, "is_sentry_object",
+        F.when(F.col("closest_miss_distance_km").isNotNull(), F.array(approach))
+        .otherwise(F.array().cast("array<struct<close_approach_date:string,relative_velocity:struct<"
+                                  "kilometers_per_second:string>,miss_distance:struct<kilometers:string>,"
+                                  "orbiting_body:string>>")).alias("close_approach_data"),
+        F.struct(F.col("data_arc_in_days"), F.col("observations_used").cast("bigint").alias("observations_used"),
+                 txt("moid_au").alias("minimum_orbit_intersection"), txt("eccentricity").alias("eccentricity"),
+                 txt("semi_major_axis_au").alias("semi_major_axis"), txt("inclination_deg").alias("inclination"),
+                 txt("ascending_node_longitude_deg").alias("ascending_node_longitude"),
+                 txt("orbital_period_days").alias("orbital_period"),
+                 txt("perihelion_distance_au").alias("perihelion_distance"),
+                 txt("aphelion_distance_au").alias("aphelion_distance"),
+                 txt("mean_anomaly_deg").alias("mean_anomaly"), txt("mean_motion_deg_per_day").alias("mean_motion"),
+                 F.struct(F.col("orbit_class_type")).alias("orbit_class")).alias("orbital_data"),
+    )
+
+
+def land(spark: SparkSession, sf_dir: str, stamps: list[str]) -> str:
+    """Write the landed records as JSON Lines snapshots under the checkpoint
+    folder, one stamped folder per snapshot; returns the landing folder."""
+    root = scratch_path(spark, f"landing/{uuid.uuid4().hex}")
+    recs = landed_records(spark, sf_dir)
+    for st in stamps:
+        recs.write.mode("overwrite").json(f"{root}/neows_browse_{st}.json")
+    return root
+
+
+@query("scan_raw")
+def q_scan_raw(spark, sf_dir):
+    """S1 -> P2: scan the landed JSON Lines with the explicit raw schema and
+    flatten; every analog object comes back once."""
+    root = land(spark, sf_dir, ["20240101T000000Z"])
+    raw = RAW.read_raw_records(spark, f"{root}/neows_browse_*.json", multiline=False)
+    from leakscope.operators.flatten import flatten_records
+    return normalise(flatten_records(raw, keep_ordinal=False))
+
+
+@query("scan_latest_snapshot")
+def q_scan_latest_snapshot(spark, sf_dir):
+    """Two snapshots landed; only the newest one's records are read."""
+    root = land(spark, sf_dir, ["20240101T000000Z", "20250101T000000Z"])
+    raw = RAW.read_raw_records(spark, f"{root}/neows_browse_*.json", multiline=False)
+    latest = RAW.latest_snapshot_records(raw)
+    return latest.select(F.col("id").alias(C.ID), "_snapshot")

@@ -113,13 +113,22 @@ def latest_snapshot_path(spark: SparkSession, raw_dir: str, pattern: str = SNAPS
     return names[-1]
 
 
+SNAPSHOT_NAME = r"neows_browse_[0-9TZ]+\.json"
+
+
+def snapshot_of(df: DataFrame) -> F.Column:
+    """Snapshot name of each scanned row: the stamped file, or the stamped
+    folder when a snapshot was landed as a directory of parts."""
+    return F.regexp_extract(F.col("_metadata.file_path"), SNAPSHOT_NAME, 0)
+
+
 def latest_snapshot_records(df: DataFrame) -> DataFrame:
-    """S2 as a query: keep the rows of the newest file among the scanned ones
-    (names sort by their stamp). Uses only the file-name column, so the max is
-    a tiny aggregate that is broadcast back."""
-    files = df.select(F.col("_metadata.file_name").alias("_file"))
-    newest = files.agg(F.max("_file").alias("_file"))
-    return df.join(F.broadcast(newest), F.col("_metadata.file_name") == newest["_file"], "left_semi")
+    """S2 as a query: keep the rows of the newest snapshot among the scanned
+    ones (names sort by their stamp). The newest name is a one-row aggregate
+    over the file-name column, broadcast back for a semi join."""
+    tagged = df.withColumn("_snapshot", snapshot_of(df))
+    newest = tagged.agg(F.max("_snapshot").alias("_newest"))
+    return tagged.join(F.broadcast(newest), F.col("_snapshot") == F.col("_newest"), "left_semi")
 
 
 def explode_pages(pages: DataFrame, max_pages: int | None = None) -> DataFrame:
