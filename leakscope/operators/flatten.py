@@ -32,7 +32,7 @@ def closest_event(arr: Column, distance) -> Column:
     return F.array_min(usable)
 
 
-def flatten_records(raw: DataFrame, keep_ordinal: bool = True) -> DataFrame:
+def flatten_records(raw: DataFrame, keep_ordinal: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
     """One flat row per raw record. Missing parents give nulls (nested
     field access is null-safe)."""
     orbital = F.col("orbital_data")
@@ -67,6 +67,7 @@ def flatten_records(raw: DataFrame, keep_ordinal: bool = True) -> DataFrame:
     ]
     if keep_ordinal and "_ordinal" in raw.columns:
         cols.append(F.col("_ordinal"))
+    cols += [F.col(c) for c in carry]
     return raw.select(*cols)
 
 

@@ -428,3 +428,18 @@ def q_scan_latest_snapshot(spark, sf_dir):
     raw = RAW.read_raw_records(spark, f"{root}/neows_browse_*.json", multiline=False)
     latest = RAW.latest_snapshot_records(raw)
     return latest.select(F.col("id").alias(C.ID), "_snapshot")
+
+
+@query("landing_stream")
+def q_landing_stream(spark, sf_dir):
+    """2.12: two snapshots land one after the other; the stream processes
+    each as it arrives and keeps one row per id across both."""
+    from leakscope.streaming.landing import run_available
+    root = scratch_path(spark, f"stream/{uuid.uuid4().hex}")
+    recs = landed_records(spark, sf_dir)
+    sink, ckpt = f"{root}/sink", f"{root}/checkpoint"
+    recs.write.json(f"{root}/landing/neows_browse_20240101T000000Z.json")
+    run_available(spark, f"{root}/landing/*", sink, ckpt)
+    recs.write.json(f"{root}/landing/neows_browse_20250101T000000Z.json")
+    run_available(spark, f"{root}/landing/*", sink, ckpt)
+    return normalise(spark.read.parquet(sink).drop("_landed_at"))
