@@ -9,16 +9,20 @@ from pyspark.sql import functions as F
 from leakscope import constants as C
 
 # Text the Python float() parser rejects but Spark's cast accepts: a trailing
-# type suffix such as "1.5d" / "2f". Python accepts "1_000", Spark does not;
-# both are mapped to null so the two parsers agree.
-_SPARK_ONLY_NUMERIC = r"(?i)^\s*[+-]?[0-9.]+(e[+-]?[0-9]+)?[dfl]\s*$|_"
+# type suffix such as "1.5d" / "2f" / "3L" right after a digit or dot. Python
+# accepts "1_000", Spark does not; both are mapped to null so the two parsers
+# agree. Checked with character tests, not a regex (the parse is hot).
+_SUFFIXES = ["d", "f", "l"]
+_DIGITS = [str(i) for i in range(10)] + ["."]
 
 
 def safe_double(c: Column | str) -> Column:
     """Parse a value to double; null on null, bad text, or NaN."""
     col = F.col(c) if isinstance(c, str) else c
-    text = col.cast("string")
-    parsed = F.when(~text.rlike(_SPARK_ONLY_NUMERIC), text.try_cast("double"))
+    text = F.trim(col.cast("string"))
+    suffixed = F.lower(F.substring(text, -1, 1)).isin(_SUFFIXES) & F.substring(text, -2, 1).isin(_DIGITS)
+    rejected = suffixed | text.contains("_")
+    parsed = F.when(~rejected, text.try_cast("double"))
     return F.when(F.isnan(parsed), F.lit(None).cast("double")).otherwise(parsed)
 
 
