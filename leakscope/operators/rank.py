@@ -210,8 +210,9 @@ def grouped_quantiles(long: DataFrame, group_cols: list[str], value_col: str, pr
         b = vals.join(F.broadcast(edge_df), g, "inner")
     else:
         b = vals.withColumn("edges", F.lit(info[()][1]).cast("array<double>"))
-    # the bucket is read by two jobs below: write it once
-    b = materialize(b.withColumn("_bkt", F.size(F.filter("edges", lambda e: e < F.col("v")))).drop("edges"))
+    # the bucket is read by two jobs below; its lineage is short (input,
+    # explode, bucket), so it is cached rather than written
+    b = b.withColumn("_bkt", F.size(F.filter("edges", lambda e: e < F.col("v")))).drop("edges").persist()
     bc: dict[tuple, list[tuple[int, int]]] = {}
     for r in b.groupBy(*g, "_bkt").agg(F.count(F.lit(1)).alias("c")).collect():
         bc.setdefault(key(r), []).append((r["_bkt"], r["c"]))
@@ -239,6 +240,7 @@ def grouped_quantiles(long: DataFrame, group_cols: list[str], value_col: str, pr
     cum = dv.withColumn("hi", F.sum("c").over(w)).withColumn("lo", F.col("hi") - F.col("c") + 1)
     hits = cum.join(F.broadcast(want_df), [*g, "_bkt"], "inner").filter(
         (F.col("lo") <= F.col("_local")) & (F.col("hi") >= F.col("_local"))).select(*g, "_rank", "v").collect()
+    b.unpersist()
     got = {(key(h), h["_rank"]): h["v"] for h in hits}
     result = []
     for k, (n, _) in info.items():

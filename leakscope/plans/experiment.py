@@ -120,11 +120,12 @@ def read_artifact(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def run_all(spark: SparkSession, mf: DataFrame, root: str, experiments: list[str] | None = None,
-            models: list[str] | None = None, settings: dict | None = None, seed: int = C.SEED) -> DataFrame:
+            models: list[str] | None = None, settings: dict | None = None, seed: int = C.SEED,
+            shap_rows: int | None = None) -> DataFrame:
     """M20 grid + S8: every requested combination, then the summary."""
     for e in experiments or C.EXPERIMENTS:
         for m in models or C.MODELS:
-            arts, model = run_one(mf, e, m, seed, settings=(settings or {}).get(m))
+            arts, model = run_one(mf, e, m, seed, settings=(settings or {}).get(m), shap_rows=shap_rows)
             write_artifacts(arts, model, root)
     return run_summary(spark, root)
 

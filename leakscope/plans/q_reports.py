@@ -24,14 +24,19 @@ from leakscope.plans.sql_base import with_flat
 from leakscope.session import run_table, scratch_path
 
 RUN_EXPERIMENTS = ["original", "leakage_aware"]
-RUN_MODELS = ["dummy_most_frequent", "logistic_regression", "random_forest"]
+# a reduced grid for the registered report queries (the full grid runs through
+# experiment.run_all); two models with importances for the cross-model views
+RUN_MODELS = ["dummy_most_frequent", "random_forest", "xgboost"]
+# the audited run explains a fixed 50-row sample of the holdout
+SHAP_ROWS = 50
 RUN_SETTINGS = {m: [QUICK[m]] for m in QUICK}
 
 
 def run_root(spark: SparkSession, sf_dir: str) -> str:
     def build():
         root = scratch_path(spark, f"runs/{uuid.uuid4().hex}")
-        EX.run_all(spark, modelling_frame(spark, sf_dir), root, RUN_EXPERIMENTS, RUN_MODELS, RUN_SETTINGS)
+        EX.run_all(spark, modelling_frame(spark, sf_dir), root, RUN_EXPERIMENTS, RUN_MODELS, RUN_SETTINGS,
+                   shap_rows=SHAP_ROWS)
         return root
     return run_table(spark, ("run_root", sf_dir), build)
 
@@ -83,10 +88,10 @@ def q_run_summary(spark, sf_dir):
 
 @query("run_one")
 def q_run_one(spark, sf_dir):
-    """M20 for one combination (logistic regression on the leakage-aware
-    set) as its summary row."""
+    """M20 for one combination (random forest on the leakage-aware set) as
+    its summary row."""
     return normalise(EX.run_summary(spark, run_root(spark, sf_dir))
-                     .filter((F.col("experiment") == "leakage_aware") & (F.col("model") == "logistic_regression")))
+                     .filter((F.col("experiment") == "leakage_aware") & (F.col("model") == "random_forest")))
 
 
 # --- J3 / R2 / A18 / R1 / R3 ---------------------------------------------------------------
