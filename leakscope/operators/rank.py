@@ -7,9 +7,9 @@ No window here ever holds all rows, or one class, in one partition:
   that is broadcast back (its size is bounded by construction).
 * ``running_totals`` does the same with sums in place of counts, over a table
   that is first reduced to one row per distinct order value.
-* ``exact_quantiles`` finds exact order statistics by bucketing on
-  approximate quantile edges, counting per bucket, and sorting only the few
-  buckets that contain a wanted rank.
+* ``grouped_order_stats`` finds exact order statistics by narrowing a value
+  range with approximate-quantile edges until it holds few enough values,
+  then sorting only that range's distinct values.
 
 The bucket expression must not decrease along the order; hash uniforms
 (``floor(u * K)``) and approximate-quantile edges both satisfy that.
@@ -108,147 +108,148 @@ def running_totals(df: DataFrame, part_cols: list[str], order_col: str, sum_cols
     )
 
 
-def exact_order_stats(df: DataFrame, col: str, ranks: list[int], buckets: int = 256) -> dict[int, float]:
-    """Exact values at 0-based ``ranks`` of the non-null values of ``col``.
+def _sql_type(long: DataFrame, c: str) -> str:
+    return dict(long.dtypes)[c].upper()
 
-    Three distributed passes: approximate edges; counts per bucket (at most
-    ``buckets`` rows reach the driver); a sort of only the buckets holding a
-    wanted rank. Returns {rank: value}.
+
+def grouped_order_stats(vals: DataFrame, group_cols: list[str], wanted: dict[tuple, set[int]],
+                        buckets: int = 64, max_rows: int = 1_000_000, accuracy: int = 10000) -> dict:
+    """Exact values at 0-based ranks per group: {(group key, rank): value}.
+
+    ``vals`` holds the group columns and a non-null double ``v``. Each wanted
+    rank is a search over a value range (lo, hi] with the count of values at
+    or below lo. While a range holds more than ``max_rows`` values it is split
+    by approximate-quantile edges and narrowed to the bucket holding the rank
+    (each pass divides it by about ``buckets``); then the distinct values of
+    the range, with counts, are sorted to read the rank. Only per-search
+    metadata reaches the driver, and no task sorts more than ``max_rows``
+    distinct values of one range.
     """
-    vals = materialize(df.select(F.col(col).alias("v")).filter(F.col("v").isNotNull()))
-    edges = quantile_edges(vals, "v", buckets)
-    b = vals.withColumn("_bkt", edge_bucket(F.col("v"), edges))
-    counts = sorted((r["_bkt"], r["n"]) for r in b.groupBy("_bkt").agg(F.count(F.lit(1)).alias("n")).collect())
-    starts, acc = [], 0
-    for _, n in counts:
-        starts.append(acc)
-        acc += n
-    wanted: dict[int, tuple[int, int]] = {}
-    for r in ranks:
-        if r < 0 or r >= acc:
-            continue
-        i = bisect.bisect_right(starts, r) - 1
-        wanted[r] = (counts[i][0], r - starts[i] + 1)
-    if not wanted:
-        return {}
-    need = sorted({bk for bk, _ in wanted.values()})
-    sub = b.filter(F.col("_bkt").isin(need))
-    w = Window.partitionBy("_bkt").orderBy("v")
-    # distinct values with counts keep a bucket of heavy ties small
-    dv = sub.groupBy("_bkt", "v").agg(F.count(F.lit(1)).alias("c"))
-    cum = dv.withColumn("hi", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    cum = cum.withColumn("lo", F.col("hi") - F.col("c") + 1)
-    conds = None
-    for bk, local in wanted.values():
-        c = (F.col("_bkt") == bk) & (F.col("lo") <= local) & (F.col("hi") >= local)
-        conds = c if conds is None else (conds | c)
-    hits = cum.filter(conds).select("_bkt", "v", "lo", "hi").collect()
-    out: dict[int, float] = {}
-    for r, (bk, local) in wanted.items():
-        for h in hits:
-            if h["_bkt"] == bk and h["lo"] <= local <= h["hi"]:
-                out[r] = h["v"]
-                break
+    spark = vals.sparkSession
+    ungrouped = not group_cols
+    if ungrouped:  # a constant key keeps every join an equi-join
+        vals = vals.withColumn("_g0", F.lit(0))
+        wanted = {(0,): ranks for ranks in wanted.values()}
+    g = list(group_cols) or ["_g0"]
+    key_ddl = ", ".join(f"`{c}` {_sql_type(vals, c)}" for c in g)
+    pre = key_ddl + ", "
+    # search: sid -> [key, rank, lo, hi, offset]
+    searches = {}
+    for k, ranks in wanted.items():
+        for r in sorted(ranks):
+            searches[len(searches)] = [k, r, None, None, 0]
+    out: dict = {}
+
+    def in_range(active: dict) -> DataFrame:
+        rows = [(*v[0], sid, v[2], v[3]) for sid, v in active.items()]
+        tab = spark.createDataFrame(rows, pre + "_sid INT, _lo DOUBLE, _hi DOUBLE")
+        j = vals.join(F.broadcast(tab), g, "inner")
+        return j.filter((F.col("_lo").isNull() | (F.col("v") > F.col("_lo")))
+                        & (F.col("_hi").isNull() | (F.col("v") <= F.col("_hi"))))
+
+    active = dict(searches)
+    while active:
+        rng = in_range(active).persist()
+        qs = [i / buckets for i in range(1, buckets)]
+        meta = {r["_sid"]: r for r in rng.groupBy("_sid").agg(
+            F.count(F.lit(1)).alias("n"), F.count_distinct("v").alias("nd"),
+            F.percentile_approx("v", qs, accuracy).alias("edges")).collect()}
+        final, narrow = [], {}
+        for sid, (k, r, lo, hi, off) in active.items():
+            m = meta.get(sid)
+            if m is None:
+                continue
+            edges = sorted({float(e) for e in (m["edges"] or []) if e is not None
+                            and (lo is None or e > lo) and (hi is None or e < hi)})
+            if m["nd"] <= max_rows or not edges:
+                final.append(sid)
+            else:
+                narrow[sid] = edges
+        if final:
+            sub = rng.filter(F.col("_sid").isin(final))
+            dv = sub.groupBy("_sid", "v").agg(F.count(F.lit(1)).alias("c"))
+            w = Window.partitionBy("_sid").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            cum = dv.withColumn("hi_", F.sum("c").over(w)).withColumn("lo_", F.col("hi_") - F.col("c") + 1)
+            want = spark.createDataFrame([(sid, active[sid][1] - active[sid][4] + 1) for sid in final],
+                                         "_sid INT, _local BIGINT")
+            hits = cum.join(F.broadcast(want), "_sid").filter(
+                (F.col("lo_") <= F.col("_local")) & (F.col("hi_") >= F.col("_local"))).select("_sid", "v").collect()
+            for h in hits:
+                k, r = active[h["_sid"]][0], active[h["_sid"]][1]
+                out[(k, r)] = h["v"]
+        if narrow:
+            etab = spark.createDataFrame([(sid, e) for sid, e in narrow.items()], "_sid INT, _edges ARRAY<DOUBLE>")
+            b = rng.join(F.broadcast(etab), "_sid", "inner").withColumn(
+                "_bkt", F.size(F.filter("_edges", lambda e: e < F.col("v"))))
+            counts: dict = {}
+            for r_ in b.groupBy("_sid", "_bkt").agg(F.count(F.lit(1)).alias("c")).collect():
+                counts.setdefault(r_["_sid"], []).append((r_["_bkt"], r_["c"]))
+            nxt = {}
+            for sid, edges in narrow.items():
+                k, r, lo, hi, off = active[sid]
+                local, acc = r - off, 0
+                for bkt, c in sorted(counts.get(sid, [])):
+                    if local < acc + c:
+                        new_lo = lo if bkt == 0 else edges[bkt - 1]
+                        new_hi = hi if bkt == len(edges) else edges[bkt]
+                        nxt[sid] = [k, r, new_lo, new_hi, off + acc]
+                        break
+                    acc += c
+            active = nxt
+        else:
+            active = {}
+        rng.unpersist()
+    if ungrouped:
+        return {((), r): v for (_, r), v in out.items()}
     return out
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: list[float], buckets: int = 256) -> tuple[int, list[float | None]]:
+def _lerp(a: float, b: float, t: float) -> float:
+    """numpy's linear interpolation between neighbours."""
+    return a + (b - a) * t if t < 0.5 else b - (b - a) * (1 - t)
+
+
+def exact_order_stats(df: DataFrame, col: str, ranks: list[int], buckets: int = 64,
+                      max_rows: int = 1_000_000) -> dict[int, float]:
+    """Exact values at 0-based ``ranks`` of the non-null values of ``col``."""
+    vals = df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull())
+    got = grouped_order_stats(vals, [], {(): set(ranks)}, buckets, max_rows)
+    return {r: got[((), r)] for r in ranks if ((), r) in got}
+
+
+def exact_quantiles(df: DataFrame, col: str, probs: list[float], buckets: int = 64) -> tuple[int, list[float | None]]:
     """numpy-style linear-interpolation quantiles, exact. Returns (n, values)."""
     df = materialize(df.select(col).filter(F.col(col).isNotNull()))
     n = df.count()
     if n == 0:
         return 0, [None for _ in probs]
-    need = set()
-    pos = []
-    for p in probs:
-        h = (n - 1) * p
-        lo, hi = math.floor(h), math.ceil(h)
-        need.update([lo, hi])
-        pos.append((h, lo, hi))
-    stats = exact_order_stats(df, col, sorted(need), buckets)
-    vals = []
-    for h, lo, hi in pos:
-        a, b = stats[lo], stats[hi]
-        t = h - lo
-        vals.append(a if hi == lo else (a + (b - a) * t if t < 0.5 else b - (b - a) * (1 - t)))
-    return n, vals
+    pos = [((n - 1) * p, math.floor((n - 1) * p), math.ceil((n - 1) * p)) for p in probs]
+    stats = exact_order_stats(df, col, sorted({x for _, lo, hi in pos for x in (lo, hi)}), buckets)
+    return n, [stats[lo] if hi == lo else _lerp(stats[lo], stats[hi], h - lo) for h, lo, hi in pos]
 
 
 def grouped_quantiles(long: DataFrame, group_cols: list[str], value_col: str, probs: list[float],
-                      buckets: int = 64, accuracy: int = 10000) -> DataFrame:
-    """Exact numpy-linear quantiles of ``value_col`` per group.
-
-    For a bounded number of groups (features x outcomes, features x folds).
-    Passes: (1) count and approximate edges per group (one bounded sketch per
-    group); (2) count per (group, bucket) with the edges broadcast; (3) sort
-    only the buckets holding a wanted rank, reduced to distinct values with
-    counts. Only per-group metadata reaches the driver; no group's values
-    are ever gathered in one task. Returns (group cols, prob, value).
-    """
+                      buckets: int = 64, max_rows: int = 1_000_000) -> DataFrame:
+    """Exact numpy-linear quantiles of ``value_col`` per group (a bounded
+    number of groups: features x outcomes, features x folds). Returns
+    (group cols, prob, value)."""
     g = list(group_cols)
     spark = long.sparkSession
     vals = long.select(*g, F.col(value_col).cast("double").alias("v")).filter(
         F.col("v").isNotNull() & ~F.isnan(F.col("v")))
-    qs = [i / buckets for i in range(1, buckets)]
-    meta = vals.groupBy(*g).agg(F.count(F.lit(1)).alias("n"),
-                                F.percentile_approx("v", qs, accuracy).alias("edges")).collect()
-    key = lambda r: tuple(r[c] for c in g)
-    info = {}
-    for r in meta:
-        edges: list[float] = []
-        for e in r["edges"] or []:
-            if e is not None and (not edges or e > edges[-1]):
-                edges.append(float(e))
-        info[key(r)] = (r["n"], edges)
-    schema_g = ", ".join(f"`{c}` {dict(long.dtypes)[c].upper()}" for c in g)
-    out_schema = (schema_g + ", " if g else "") + "prob DOUBLE, value DOUBLE"
-    if not info:
+    key_ddl = ", ".join(f"`{c}` {_sql_type(long, c)}" for c in g)
+    out_schema = (key_ddl + ", " if g else "") + "prob DOUBLE, value DOUBLE"
+    sizes = {tuple(r[c] for c in g): r["n"] for r in vals.groupBy(*g).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not sizes:
         return spark.createDataFrame([], out_schema)
-    edge_rows = [(*k, v[1]) for k, v in info.items()]
-    edge_df = spark.createDataFrame(edge_rows, (schema_g + ", " if g else "") + "edges ARRAY<DOUBLE>")
-    if g:
-        b = vals.join(F.broadcast(edge_df), g, "inner")
-    else:
-        b = vals.withColumn("edges", F.lit(info[()][1]).cast("array<double>"))
-    # the bucket is read by two jobs below; its lineage is short (input,
-    # explode, bucket), so it is cached rather than written
-    b = b.withColumn("_bkt", F.size(F.filter("edges", lambda e: e < F.col("v")))).drop("edges").persist()
-    bc: dict[tuple, list[tuple[int, int]]] = {}
-    for r in b.groupBy(*g, "_bkt").agg(F.count(F.lit(1)).alias("c")).collect():
-        bc.setdefault(key(r), []).append((r["_bkt"], r["c"]))
-    wanted = []  # (group..., bucket, local rank, global rank)
-    plan = {}
-    for k, (n, _) in info.items():
-        rows = sorted(bc.get(k, []))
-        starts, acc = [], 0
-        for _, c in rows:
-            starts.append(acc)
-            acc += c
-        need = {}
-        for p in probs:
-            h = (n - 1) * p
-            for r in {math.floor(h), math.ceil(h)}:
-                i = bisect.bisect_right(starts, r) - 1
-                need[r] = (rows[i][0], r - starts[i] + 1)
-                wanted.append((*k, rows[i][0], r - starts[i] + 1, r))
-        plan[k] = need
-    want_df = spark.createDataFrame(wanted, (schema_g + ", " if g else "") + "_bkt INT, _local BIGINT, _rank BIGINT")
-    pairs = want_df.select(*g, "_bkt").distinct()
-    sub = b.join(F.broadcast(pairs), [*g, "_bkt"], "left_semi")
-    dv = sub.groupBy(*g, "_bkt", "v").agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(*g, "_bkt").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = dv.withColumn("hi", F.sum("c").over(w)).withColumn("lo", F.col("hi") - F.col("c") + 1)
-    hits = cum.join(F.broadcast(want_df), [*g, "_bkt"], "inner").filter(
-        (F.col("lo") <= F.col("_local")) & (F.col("hi") >= F.col("_local"))).select(*g, "_rank", "v").collect()
-    b.unpersist()
-    got = {(key(h), h["_rank"]): h["v"] for h in hits}
-    result = []
-    for k, (n, _) in info.items():
+    wanted = {k: {x for p in probs for x in (math.floor((n - 1) * p), math.ceil((n - 1) * p))}
+              for k, n in sizes.items()}
+    got = grouped_order_stats(vals, g, wanted, buckets, max_rows)
+    rows = []
+    for k, n in sizes.items():
         for p in probs:
             h = (n - 1) * p
             lo, hi = math.floor(h), math.ceil(h)
-            a, bv = got[(k, lo)], got[(k, hi)]
-            t = h - lo
-            val = a if hi == lo else (a + (bv - a) * t if t < 0.5 else bv - (bv - a) * (1 - t))
-            result.append((*k, float(p), float(val)))
-    return spark.createDataFrame(result, out_schema)
+            a, b = got[(k, lo)], got[(k, hi)]
+            rows.append((*k, float(p), float(a if hi == lo else _lerp(a, b, h - lo))))
+    return spark.createDataFrame(rows, out_schema)

@@ -99,3 +99,23 @@ def test_fixed_sample_and_class_weights(spark):
     assert w[True]["scale_pos_weight"] == pytest.approx(3.0)
     none = S.class_weights(_labels(spark, 0, 10)).first()
     assert none["scale_pos_weight"] == 1.0
+
+
+def test_order_stats_narrowing_path(spark):
+    from leakscope.operators.rank import grouped_order_stats
+    rng = np.random.default_rng(5)
+    vals = np.concatenate([np.round(rng.normal(size=4000), 2), np.full(1500, 0.25)])  # heavy ties
+    rows = [("a" if i % 3 else "b", float(v)) for i, v in enumerate(vals)]
+    df = spark.createDataFrame(rows, "g STRING, v DOUBLE")
+    want = {}
+    for g in ("a", "b"):
+        n = sum(1 for gg, _ in rows if gg == g)
+        want[(g,)] = {0, n // 3, n // 2, n - 1}
+    got = grouped_order_stats(df, ["g"], want, buckets=4, max_rows=40)
+    for (g,), ranks in want.items():
+        s = sorted(v for gg, v in rows if gg == g)
+        for r in ranks:
+            assert got[((g,), r)] == s[r]
+    single = exact_order_stats(df, "v", [0, 2750, 5499], buckets=4)
+    s = np.sort(vals)
+    assert single == {0: s[0], 2750: s[2750], 5499: s[5499]}
