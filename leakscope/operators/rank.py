@@ -113,92 +113,92 @@ def _sql_type(long: DataFrame, c: str) -> str:
 
 
 def grouped_order_stats(vals: DataFrame, group_cols: list[str], wanted: dict[tuple, set[int]],
-                        buckets: int = 64, max_rows: int = 1_000_000, accuracy: int = 10000) -> dict:
+                        buckets: int = 64, max_rows: int = 1_000_000, accuracy: int = 10000,
+                        sizes: dict | None = None) -> dict:
     """Exact values at 0-based ranks per group: {(group key, rank): value}.
 
-    ``vals`` holds the group columns and a non-null double ``v``. Each wanted
-    rank is a search over a value range (lo, hi] with the count of values at
-    or below lo. While a range holds more than ``max_rows`` values it is split
-    by approximate-quantile edges and narrowed to the bucket holding the rank
-    (each pass divides it by about ``buckets``); then the distinct values of
-    the range, with counts, are sorted to read the rank. Only per-search
-    metadata reaches the driver, and no task sorts more than ``max_rows``
-    distinct values of one range.
+    ``vals`` holds the group columns and a non-null double ``v``. The search
+    keeps, per group, value ranges (lo, hi] with the count of values at or
+    below lo and the wanted ranks inside. A range holding more than
+    ``max_rows`` values is split by approximate-quantile edges and replaced
+    by the buckets that hold wanted ranks (each pass divides it by about
+    ``buckets``). A small range is finished by sorting its distinct values
+    with counts. Only per-range metadata reaches the driver, and no task
+    sorts more than ``max_rows`` values of one range. ``sizes`` (rows per
+    group) saves the first count pass when known.
     """
     spark = vals.sparkSession
     ungrouped = not group_cols
     if ungrouped:  # a constant key keeps every join an equi-join
         vals = vals.withColumn("_g0", F.lit(0))
         wanted = {(0,): ranks for ranks in wanted.values()}
+        sizes = {(0,): n for n in sizes.values()} if sizes else None
     g = list(group_cols) or ["_g0"]
-    key_ddl = ", ".join(f"`{c}` {_sql_type(vals, c)}" for c in g)
-    pre = key_ddl + ", "
-    # search: sid -> [key, rank, lo, hi, offset]
-    searches = {}
-    for k, ranks in wanted.items():
-        for r in sorted(ranks):
-            searches[len(searches)] = [k, r, None, None, 0]
+    pre = ", ".join(f"`{c}` {_sql_type(vals, c)}" for c in g) + ", "
+    if sizes is None:
+        sizes = {tuple(r[c] for c in g): r["n"]
+                 for r in vals.groupBy(*g).agg(F.count(F.lit(1)).alias("n")).collect()}
+    # range: rid -> [key, lo, hi, offset, n_in_range, ranks]
+    ranges = {i: [k, None, None, 0, sizes.get(k, 0), sorted(r for r in rs if 0 <= r < sizes.get(k, 0))]
+              for i, (k, rs) in enumerate(wanted.items())}
+    ranges = {i: v for i, v in ranges.items() if v[5]}
     out: dict = {}
 
-    def in_range(active: dict) -> DataFrame:
-        rows = [(*v[0], sid, v[2], v[3]) for sid, v in active.items()]
-        tab = spark.createDataFrame(rows, pre + "_sid INT, _lo DOUBLE, _hi DOUBLE")
-        j = vals.join(F.broadcast(tab), g, "inner")
-        return j.filter((F.col("_lo").isNull() | (F.col("v") > F.col("_lo")))
-                        & (F.col("_hi").isNull() | (F.col("v") <= F.col("_hi"))))
-
-    active = dict(searches)
-    while active:
-        rng = in_range(active).persist()
-        qs = [i / buckets for i in range(1, buckets)]
-        meta = {r["_sid"]: r for r in rng.groupBy("_sid").agg(
-            F.count(F.lit(1)).alias("n"), F.count_distinct("v").alias("nd"),
-            F.percentile_approx("v", qs, accuracy).alias("edges")).collect()}
-        final, narrow = [], {}
-        for sid, (k, r, lo, hi, off) in active.items():
-            m = meta.get(sid)
-            if m is None:
-                continue
-            edges = sorted({float(e) for e in (m["edges"] or []) if e is not None
-                            and (lo is None or e > lo) and (hi is None or e < hi)})
-            if m["nd"] <= max_rows or not edges:
-                final.append(sid)
-            else:
-                narrow[sid] = edges
-        if final:
-            sub = rng.filter(F.col("_sid").isin(final))
-            dv = sub.groupBy("_sid", "v").agg(F.count(F.lit(1)).alias("c"))
-            w = Window.partitionBy("_sid").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    def restrict(sel: dict) -> DataFrame:
+        rows = [(*v[0], rid, v[1], v[2]) for rid, v in sel.items()]
+        tab = spark.createDataFrame(rows, pre + "_rid INT, _lo DOUBLE, _hi DOUBLE")
+        return vals.join(F.broadcast(tab), g, "inner").filter(
+            (F.col("_lo").isNull() | (F.col("v") > F.col("_lo")))
+            & (F.col("_hi").isNull() | (F.col("v") <= F.col("_hi"))))
+
+    while ranges:
+        small = {rid: v for rid, v in ranges.items() if v[4] <= max_rows}
+        large = {rid: v for rid, v in ranges.items() if v[4] > max_rows}
+        nxt, rid_next = {}, max(ranges) + 1
+        if large:
+            rng = restrict(large).persist()
+            qs = [i / buckets for i in range(1, buckets)]
+            meta = {r["_rid"]: r["e"] for r in
+                    rng.groupBy("_rid").agg(F.percentile_approx("v", qs, accuracy).alias("e")).collect()}
+            edges = {}
+            for rid, (k, lo, hi, off, n, rs) in large.items():
+                e = sorted({float(x) for x in (meta.get(rid) or []) if x is not None
+                            and (lo is None or x > lo) and (hi is None or x < hi)})
+                if e:
+                    edges[rid] = e
+                else:  # one distinct value left in range (heavy ties): sort it directly
+                    small[rid] = large[rid]
+            if edges:
+                etab = spark.createDataFrame(list(edges.items()), "_rid INT, _edges ARRAY<DOUBLE>")
+                b = rng.join(F.broadcast(etab), "_rid").withColumn(
+                    "_bkt", F.size(F.filter("_edges", lambda x: x < F.col("v"))))
+                counts: dict = {}
+                for r_ in b.groupBy("_rid", "_bkt").agg(F.count(F.lit(1)).alias("c")).collect():
+                    counts.setdefault(r_["_rid"], []).append((r_["_bkt"], r_["c"]))
+                for rid, e in edges.items():
+                    k, lo, hi, off, n, rs = large[rid]
+                    acc = off
+                    for bkt, c in sorted(counts.get(rid, [])):
+                        inside = [r for r in rs if acc <= r < acc + c]
+                        if inside:
+                            nxt[rid_next] = [k, lo if bkt == 0 else e[bkt - 1], hi if bkt == len(e) else e[bkt],
+                                             acc, c, inside]
+                            rid_next += 1
+                        acc += c
+            rng.unpersist()
+        if small:
+            sub = restrict(small)
+            dv = sub.groupBy("_rid", "v").agg(F.count(F.lit(1)).alias("c"))
+            w = Window.partitionBy("_rid").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
             cum = dv.withColumn("hi_", F.sum("c").over(w)).withColumn("lo_", F.col("hi_") - F.col("c") + 1)
-            want = spark.createDataFrame([(sid, active[sid][1] - active[sid][4] + 1) for sid in final],
-                                         "_sid INT, _local BIGINT")
-            hits = cum.join(F.broadcast(want), "_sid").filter(
-                (F.col("lo_") <= F.col("_local")) & (F.col("hi_") >= F.col("_local"))).select("_sid", "v").collect()
+            want = spark.createDataFrame([(rid, r - v[3] + 1, r) for rid, v in small.items() for r in v[5]],
+                                         "_rid INT, _local BIGINT, _rank BIGINT")
+            hits = cum.join(F.broadcast(want), "_rid").filter(
+                (F.col("lo_") <= F.col("_local")) & (F.col("hi_") >= F.col("_local"))) \
+                .select("_rid", "_rank", "v").collect()
             for h in hits:
-                k, r = active[h["_sid"]][0], active[h["_sid"]][1]
-                out[(k, r)] = h["v"]
-        if narrow:
-            etab = spark.createDataFrame([(sid, e) for sid, e in narrow.items()], "_sid INT, _edges ARRAY<DOUBLE>")
-            b = rng.join(F.broadcast(etab), "_sid", "inner").withColumn(
-                "_bkt", F.size(F.filter("_edges", lambda e: e < F.col("v"))))
-            counts: dict = {}
-            for r_ in b.groupBy("_sid", "_bkt").agg(F.count(F.lit(1)).alias("c")).collect():
-                counts.setdefault(r_["_sid"], []).append((r_["_bkt"], r_["c"]))
-            nxt = {}
-            for sid, edges in narrow.items():
-                k, r, lo, hi, off = active[sid]
-                local, acc = r - off, 0
-                for bkt, c in sorted(counts.get(sid, [])):
-                    if local < acc + c:
-                        new_lo = lo if bkt == 0 else edges[bkt - 1]
-                        new_hi = hi if bkt == len(edges) else edges[bkt]
-                        nxt[sid] = [k, r, new_lo, new_hi, off + acc]
-                        break
-                    acc += c
-            active = nxt
-        else:
-            active = {}
-        rng.unpersist()
+                out[(small[h["_rid"]][0], h["_rank"])] = h["v"]
+        ranges = nxt
     if ungrouped:
         return {((), r): v for (_, r), v in out.items()}
     return out
@@ -244,7 +244,7 @@ def grouped_quantiles(long: DataFrame, group_cols: list[str], value_col: str, pr
         return spark.createDataFrame([], out_schema)
     wanted = {k: {x for p in probs for x in (math.floor((n - 1) * p), math.ceil((n - 1) * p))}
               for k, n in sizes.items()}
-    got = grouped_order_stats(vals, g, wanted, buckets, max_rows)
+    got = grouped_order_stats(vals, g, wanted, buckets, max_rows, sizes=sizes)
     rows = []
     for k, n in sizes.items():
         for p in probs:
