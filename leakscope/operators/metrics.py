@@ -256,10 +256,14 @@ def bootstrap_f1(df: DataFrame, id_col: str, y: str = "y", pred: str = "pred", n
     shuffled. Replicate 0 carries weight 1 everywhere and gives the point
     estimate. Nulls on empty input."""
     from leakscope.functions.scalar import hash_bits
+    # F1 reads only tp, fp, fn: true negatives are not expanded per
+    # replicate (one marker row each keeps "input is not empty")
+    tn = ~F.col(y) & ~F.col(pred)
+    reps_of = F.when(tn, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.lit(n_boot)))
     reps = df.select(hash_bits(f"boot{seed}", F.col(id_col)).alias("_h"), F.col(y).alias("_y"),
-                     F.col(pred).alias("_p"), F.explode(F.sequence(F.lit(0), F.lit(n_boot))).alias("replicate"))
+                     F.col(pred).alias("_p"), F.explode(reps_of).alias("replicate"))
     u = replicate_uniform(F.col("_h"), F.col("replicate"))
-    w = F.when(F.col("replicate") == 0, F.lit(1)).otherwise(poisson_weight(u))
+    w = F.when(F.col("replicate") <= 0, F.lit(1)).otherwise(poisson_weight(u))
     agg = reps.withColumn("_w", w).groupBy("replicate").agg(
         F.sum(F.when(F.col("_y") & F.col("_p"), F.col("_w")).otherwise(0)).alias("tp"),
         F.sum(F.when(~F.col("_y") & F.col("_p"), F.col("_w")).otherwise(0)).alias("fp"),
@@ -268,10 +272,12 @@ def bootstrap_f1(df: DataFrame, id_col: str, y: str = "y", pred: str = "pred", n
     f1 = _z(F.try_divide(2.0 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")))
     alpha = (1.0 - ci) / 2.0
     rep_f1 = F.when(F.col("replicate") > 0, F.col("f1"))
+    nonempty = F.count(F.lit(1)) > 0
+    zero_if_rows = lambda c: F.when(nonempty, F.coalesce(c, F.lit(0.0)))
     return agg.select("replicate", f1.alias("f1")).agg(
-        F.max(F.when(F.col("replicate") == 0, F.col("f1"))).alias("point_estimate"),
-        F.percentile(rep_f1, alpha).alias("ci_low"),
-        F.percentile(rep_f1, 1 - alpha).alias("ci_high"),
+        zero_if_rows(F.max(F.when(F.col("replicate") == 0, F.col("f1")))).alias("point_estimate"),
+        zero_if_rows(F.percentile(rep_f1, alpha)).alias("ci_low"),
+        zero_if_rows(F.percentile(rep_f1, 1 - alpha)).alias("ci_high"),
     ).select("point_estimate", "ci_low", "ci_high", F.lit(ci).alias("ci_level"),
              F.lit(n_boot).cast("bigint").alias("n_bootstrap"))
 
