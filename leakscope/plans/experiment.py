@@ -25,7 +25,7 @@ from leakscope.operators.features import FEATURE_SETS, add_derived_features, ass
 from leakscope.operators.split import split_table
 from leakscope.plans.q_metrics import error_profile, error_records, error_table
 from leakscope.sources.raw import MissingInputError
-from leakscope.session import materialize
+from leakscope.session import materialize, one_row
 
 ARTIFACT_TABLES = ["metadata", "fold_metrics", "cv_metrics", "test_metrics", "confusion_matrix", "roc_curve",
                    "pr_curve", "threshold_analysis", "calibration", "error_analysis", "feature_importance",
@@ -65,13 +65,12 @@ def run_one(mf: DataFrame, experiment: str, model_name: str, seed: int = C.SEED,
     scored = materialize(MD.scores(model.transform(test.withColumn(MD.LABEL, F.col(C.TARGET).cast("double"))))
                          .withColumn("y", F.col(C.TARGET)))
     cm = M.confusion(scored)
-    test_m = (M.metrics_from_counts(cm).withColumn("_k", F.lit(1))
-              .join(M.roc_auc(scored).withColumn("_k", F.lit(1)), "_k")
-              .join(M.average_precision(scored).withColumnRenamed("average_precision", "pr_auc")
-                    .withColumn("_k", F.lit(1)), "_k")
-              .join(M.bootstrap_f1(scored, C.ID, seed=seed).select(
-                  F.col("point_estimate").alias("f1_point"), F.col("ci_low").alias("f1_ci_low"),
-                  F.col("ci_high").alias("f1_ci_high")).withColumn("_k", F.lit(1)), "_k").drop("_k"))
+    test_m = one_row(
+        M.metrics_from_counts(cm), M.roc_auc(scored),
+        M.average_precision(scored).withColumnRenamed("average_precision", "pr_auc"),
+        M.bootstrap_f1(scored, C.ID, seed=seed).select(
+            F.col("point_estimate").alias("f1_point"), F.col("ci_low").alias("f1_ci_low"),
+            F.col("ci_high").alias("f1_ci_high")))
     et = error_table(scored, list(fs.numeric_features))
     profile = error_profile(et, list(fs.numeric_features))
     imp = MD.model_importance(model)
@@ -200,8 +199,7 @@ def reevaluate(spark: SparkSession, root: str, mf: DataFrame) -> DataFrame:
             continue
         model = load_model(root, r["model_name"], r["version"])
         s = MD.scores(model.transform(mf.filter(F.col("is_test")))).withColumn("y", F.col(C.TARGET))
-        m = M.metrics_from_counts(M.confusion(s)).withColumn("_k", F.lit(1)).join(
-            M.roc_auc(s).withColumn("_k", F.lit(1)), "_k").drop("_k")
+        m = one_row(M.metrics_from_counts(M.confusion(s)), M.roc_auc(s))
         out.append(m.select(F.lit(r["model_name"]).alias("model_name"), F.lit(r["version"]).alias("version"), "*"))
     if not out:
         return spark.createDataFrame([], "model_name STRING, version STRING")
@@ -238,9 +236,7 @@ def train_legacy(spark: SparkSession, mf: DataFrame, root: str, seed: int = C.SE
             est = MD.pipeline(fs, name, p, seed, n_weight_sum=tf.count())
         model = est.fit(frame)
         s = MD.scores(model.transform(test)).withColumn("y", F.col(C.TARGET))
-        m = M.metrics_from_counts(M.confusion(s)).withColumn("_k", F.lit(1)).join(
-            M.roc_auc(s).withColumn("_k", F.lit(1)), "_k").join(
-            M.average_precision(s).withColumn("_k", F.lit(1)), "_k").drop("_k").first().asDict()
+        m = one_row(M.metrics_from_counts(M.confusion(s)), M.roc_auc(s), M.average_precision(s)).first().asDict()
         save_model(spark, model, root, name, version, {"test_size": C.TEST_SIZE, "seed": seed, "metrics": m,
                                                          "feature_columns": fs.feature_columns})
         rows.append((name, version, m["accuracy"], m["precision"], m["recall"], m["f1"], m["roc_auc"],

@@ -21,7 +21,7 @@ from leakscope.plans.q_ingest import cleaned_derived
 from leakscope.plans.q_models import QUICK, modelling_frame
 from leakscope.plans.registry import normalise, query
 from leakscope.plans.sql_base import with_flat
-from leakscope.session import run_table, scratch_path
+from leakscope.session import one_row, run_table, scratch_path
 
 RUN_EXPERIMENTS = ["original", "leakage_aware"]
 # a reduced grid for the registered report queries (the full grid runs through
@@ -234,12 +234,7 @@ def q_repro_record(spark, sf_dir):
         F.lit(C.TEST_SIZE).alias("outer_test_size"), F.lit(",".join(C.EXPERIMENTS)).alias("feature_sets"),
         F.lit(",".join(C.MODELS)).alias("models"), "python", "spark",
         F.col("trained_at_utc").alias("first_run_utc"), F.lit(pyspark.__version__).alias("session_spark"))
-    return _one_row_join(rec, n)
-
-
-def _one_row_join(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Two one-row aggregates side by side through a shared literal key."""
-    return a.withColumn("_k", F.lit(1)).join(b.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    return one_row(rec, n)
 
 
 # --- 2.14 label correlation ----------------------------------------------------------------

@@ -75,3 +75,17 @@ def run_table(spark: SparkSession, key: tuple, build):
     if k not in _RUN_TABLES:
         _RUN_TABLES[k] = build()
     return _RUN_TABLES[k]
+
+
+def one_row(*frames):
+    """Side by side, the single rows of several one-row aggregates, as one
+    row (each row is bounded by construction; no join is planned)."""
+    from pyspark.sql.types import StructType
+    spark = frames[0].sparkSession
+    fields, values = [], []
+    for f in frames:
+        r = f.first()
+        for field in f.schema.fields:
+            fields.append(field)
+            values.append(None if r is None else r[field.name])
+    return spark.createDataFrame([tuple(values)], StructType(fields))
