@@ -108,7 +108,7 @@ def index(level: int, max_bits: int):
 
 def linked(fp: np.ndarray, max_bits: int) -> np.ndarray:
     """For each fingerprint of a bucket, the smallest index it is linked with through the bucket."""
-    near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= max_bits
+    near = np.bitwise_count((fp[:, None] ^ fp[None, :]).view(np.uint64)) <= max_bits
     label = np.arange(len(fp))
     while True:
         low = np.where(near, label[None, :], len(fp)).min(axis=1)
@@ -131,7 +131,7 @@ def compare(max_bits: int, block: int):
         out_a, out_b = [], []
         pair = at[stop - at == 2]
         if len(pair):
-            near = np.bitwise_count(fp[pair] ^ fp[pair + 1]) <= max_bits
+            near = np.bitwise_count((fp[pair] ^ fp[pair + 1]).view(np.uint64)) <= max_bits
             out_a.append(ident[pair[near]])
             out_b.append(ident[pair[near] + 1])
         for a, z in zip(at[stop - at > 2], stop[stop - at > 2]):
