@@ -7,7 +7,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, simhash, substring_dedup, token_count
+from . import (
+    decontaminate,
+    line_dedup,
+    mixing,
+    quality_rules,
+    rule_classifier,
+    simhash,
+    substring_dedup,
+    token_count,
+    url_filter,
+)
 from .common import documents
 
 QUERIES: dict = {}
@@ -19,6 +29,11 @@ def query(fn):
     return fn
 
 
+@query
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 @query
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
@@ -29,6 +44,12 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+@query
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 @query
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring_dedup.remove_repeated_substrings(documents(spark, sf_dir).select("doc_id", "text"))
@@ -45,3 +66,13 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = line_dedup.remove_repeated_lines(documents(spark, sf_dir).select("doc_id", "text"))
     return cut.select("doc_id", "n_lines", "n_lines_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_classifier.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(documents(spark, sf_dir))
