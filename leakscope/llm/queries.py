@@ -11,6 +11,7 @@ from . import (
     decontaminate,
     line_dedup,
     mixing,
+    pii,
     quality_rules,
     rule_classifier,
     simhash,
@@ -20,6 +21,8 @@ from . import (
 )
 from .common import documents
 
+#: For the query only; a run on real data takes its own secret.
+PII_KEY = "query key"
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -68,6 +71,12 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", "n_lines_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@query
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    replaced = pii.replace_entities(documents(spark, sf_dir).select("doc_id", "text"), key=PII_KEY)
+    return replaced.select("doc_id", "text", "n_entities")
+
+
 @query
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_classifier.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
