@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from leakscope.session import materialize
+from leakscope.session import materialize, scratch_path
 
 #: A word: a longest run of code points other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,6 +31,18 @@ def fresh(df: DataFrame, name: str) -> str:
     return out
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared checkpoint folder, read again: it
+    cuts the lineage like a checkpoint but compressed and by column. The table
+    goes when the driver ends."""
+    spark = df.sparkSession
+    path = scratch_path(spark, f"llm/{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def uniform(*parts):
     """Column in [0, 1): the first 52 bits of an md5 of the parts, so that
     reruns, lost tasks and other SQL engines draw the same number."""

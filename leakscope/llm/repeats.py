@@ -31,9 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from leakscope.session import materialize
-
-from .common import NO_ID, Hashes, Powers, fresh, mixed, prefix_sums, range_hashes
+from .common import NO_ID, Hashes, Powers, fresh, mixed, prefix_sums, range_hashes, stored
 
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 BITS = 8  # of the packed lengths, so size <= 256
@@ -178,29 +176,32 @@ def scan_windows(split, size, gram, min_words):
     return run
 
 
-def repeated_ranges(docs: DataFrame, split: Callable, size: int, gram: int, min_words: int = 1) -> DataFrame:
+def repeated_ranges(docs: DataFrame, doc: str, text: str, split: Callable, size: int, gram: int,
+                    min_words: int = 1) -> DataFrame:
     """(doc, ranges array<long>) per document with repeated units.
 
-    ``docs`` has (doc long not null, text binary). A range is packed as
-    start << 32 | stop, in units; ranges may overlap. Texts that are null,
-    empty or shorter than a window have none.
+    ``doc`` (long, not null) and ``text`` (string) name columns of ``docs``. A
+    range is packed as start << 32 | stop, in units; ranges may overlap. Texts
+    that are null, empty or shorter than a window have none.
     """
-    found = materialize(docs.mapInArrow(scan(split, size, gram, min_words), FOUND))
+    found = stored(docs.select(doc, F.col(text).cast("binary")).mapInArrow(scan(split, size, gram, min_words), FOUND))
     met = found.where("key1 is not null")
     again = (met.groupBy(F.col("key1").alias("k"))
              .agg(F.count("*").alias("n"), (F.min("key2") != F.max("key2")).alias("differ"))
              .where("n > 1").select("k", "differ"))
     first = F.first(F.struct("doc", "start")).over(
         Window.partitionBy("key1", "key2").orderBy("doc", "start"))
-    judged = materialize(
+    judged = stored(
         met.join(again, met["key1"] == again["k"])
         .withColumn("later", first != F.struct("doc", "start"))
         .where("later or differ").select("doc", "start", "more", "later"))
-    spans = (judged.where("not later").groupBy(F.col("doc").alias("sdoc"))
+    spans = (judged.where("not later").groupBy(F.col("doc").alias(fresh(docs, "sdoc")))
              .agg(F.collect_list(F.shiftleft(F.col("start").cast("long"), BITS).bitwiseOR(F.col("more").cast("long")))
-                  .alias("spans")))
-    # Text meets the spans here and, in the caller's plan, the ranges: one exchange of the text serves both.
-    windows = (docs.join(spans, docs["doc"] == spans["sdoc"]).select("doc", "text", "spans")
+                  .alias(fresh(docs, "spans"))))
+    # The caller's plan joins all of ``docs`` by ``doc`` again. Taking all columns
+    # here too makes the two exchanges equal, and Spark moves the text once.
+    windows = (docs.join(spans, docs[doc] == spans[fresh(docs, "sdoc")])
+               .select(doc, F.col(text).cast("binary"), fresh(docs, "spans"), *[docs[c] for c in docs.columns if c not in (doc, text)])
                .mapInArrow(scan_windows(split, size, gram, min_words), FOUND))
     compared = (windows.withColumn("later", first != F.struct("doc", "start"))
                 .where("key1 is null or later"))
@@ -228,10 +229,8 @@ def with_ranges(docs: DataFrame, split, size, gram, min_words=1, id_col="doc_id"
     Rows with a null id count as one document before all others. Rows that
     share an id count as copies of one document: they never repeat each other.
     """
-    doc, text, ranges, key = (fresh(docs, x) for x in ("doc", "text", "ranges", "rdoc"))
-    keyed = docs.withColumn(doc, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).withColumn(
-        text, F.col(text_col).cast("binary"))
-    slim = keyed.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
-    found = repeated_ranges(slim, split, size, gram, min_words).select(
+    doc, ranges, key = (fresh(docs, x) for x in ("doc", "ranges", "rdoc"))
+    keyed = docs.withColumn(doc, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)))
+    found = repeated_ranges(keyed, doc, text_col, split, size, gram, min_words).select(
         F.col("doc").alias(key), F.col("ranges").alias(ranges))
-    return keyed.drop(text).join(found, F.col(doc) == F.col(key), "left").drop(doc, key), ranges
+    return keyed.join(found, F.col(doc) == F.col(key), "left").drop(key), ranges
