@@ -2,7 +2,8 @@
 
 The URLs that a rule judges are the labelled ones. Gradient-boosted trees learn
 from a bounded sample of them on lexical features: length, depth, digit ratio,
-entropy, parameter counts and the share of blocked URLs under the host's suffix.
+entropy, parameter counts and the shares of blocked URLs under the host's suffix
+and under the path's first segment.
 """
 
 from __future__ import annotations
@@ -21,9 +22,10 @@ RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "
          ("com/fr/", "allow"), ("com/de/", "block"))
 MOST_RULES = 1_000  # rules are one expression; that bounds its size
 SAMPLE, ROUNDS, DEPTH, SEED = 20_000, 20, 4, 11
-SUFFIXES, PRIOR = 1_000, 20.0  # most suffixes with a share of their own; rows that the overall share counts as
+MOST_SHARES, PRIOR = 1_000, 20.0  # most suffixes, and segments, with a share of their own; rows that the overall share counts as
 FEATURES = ("length", "host_length", "path_length", "depth", "digit_ratio", "entropy", "n_params", "query_length",
-            "n_hyphens", "n_labels", "longest_label", "suffix_share")
+            "n_hyphens", "n_labels", "longest_label", "suffix_share", "segment_share")
+SHARES = ("suffix", "segment")
 
 
 def parts(url):
@@ -49,7 +51,7 @@ def matched(rules, host, path):
 
 
 def lexical(df: DataFrame, url: str, host: str, path: str, prefix: str) -> DataFrame:
-    """``df`` with the features that need no statistics, named with ``prefix``, and the host's suffix."""
+    """``df`` with the features that need no statistics, named with ``prefix``, and the host's suffix and the path's first segment."""
     u = F.coalesce(F.col(url), F.lit(""))
     n = F.greatest(F.length(u), F.lit(1)).cast("double")
     chars = F.array_distinct(F.split(u, ""))
@@ -66,6 +68,7 @@ def lexical(df: DataFrame, url: str, host: str, path: str, prefix: str) -> DataF
         "longest_label": F.array_max(F.transform(labels, F.length))}
     out = {prefix + k: F.coalesce(v.cast("double"), F.lit(0.0)) for k, v in values.items()}
     out[prefix + "suffix"] = F.element_at(labels, -1)
+    out[prefix + "segment"] = F.regexp_extract(F.col(path), "^/([^/]*)", 1)
     return df.withColumns(out)
 
 
@@ -82,7 +85,6 @@ def judge(pages: DataFrame, rules=RULES, sample: int = SAMPLE, rounds: int = ROU
     base = pages.drop("host", "path", "rule", "verdict", "block_score")
     hit, pre = fresh(base, "hit"), fresh(base, "f_")
     f = {name: pre + name for name in FEATURES}
-    suffix, share = pre + "suffix", pre + "suffix_share"
     host, path = parts(F.col(url_col))
     split = base.withColumns({"host": host, "path": path}).withColumn(hit, matched(rules, F.col("host"), F.col("path")))
     split = lexical(split, url_col, "host", "path", pre)
@@ -90,19 +92,19 @@ def judge(pages: DataFrame, rules=RULES, sample: int = SAMPLE, rounds: int = ROU
     # The sample: the labelled URLs with the smallest hashes, so that its size bounds all that the fit holds.
     label = (F.col(f"{hit}.verdict") == "block").cast("double")
     known = materialize(
-        split.where(F.col(hit).isNotNull()).select(F.col(url_col).alias("url"), label.alias("label"), suffix, *[
-            f[n] for n in FEATURES if n != "suffix_share"]).orderBy(F.xxhash64("url"), "url").limit(sample))
+        split.where(F.col(hit).isNotNull()).select(F.col(url_col).alias("url"), label.alias("label"), *[pre + s for s in SHARES], *[
+            f[n] for n in FEATURES if n.removesuffix("_share") == n]).orderBy(F.xxhash64("url"), "url").limit(sample))
     n, blocked = known.agg(F.count("label"), F.sum("label")).first()
     overall = (blocked or 0.0) / n if n else 0.0
-    shares = {r[suffix]: (r["blocked"] + PRIOR * overall) / (r["n"] + PRIOR) for r in
-              known.groupBy(suffix).agg(F.count("*").alias("n"), F.sum("label").alias("blocked"))
-              .orderBy(F.desc("n"), suffix).limit(SUFFIXES).collect()}
+    shares = {k: {r[pre + k]: (r["blocked"] + PRIOR * overall) / (r["n"] + PRIOR) for r in
+                  known.groupBy(pre + k).agg(F.count("*").alias("n"), F.sum("label").alias("blocked"))
+                  .orderBy(F.desc("n"), pre + k).limit(MOST_SHARES).collect()} for k in SHARES}
 
     def with_share(df):
-        if not shares:
-            return df.withColumn(share, F.lit(overall))
-        table = F.create_map(*[F.lit(x) for p in shares.items() for x in p])
-        return df.withColumn(share, F.coalesce(F.try_element_at(table, F.col(suffix)), F.lit(overall)))
+        for k, table in shares.items():
+            known_share = F.try_element_at(F.create_map(*[F.lit(x) for p in table.items() for x in p]), F.col(pre + k)) if table else F.lit(None)
+            df = df.withColumn(f"{pre}{k}_share", F.coalesce(known_share, F.lit(overall)))
+        return df
 
     assembler = VectorAssembler(inputCols=list(f.values()), outputCol=fresh(split, "vec"))
     if 0 < (blocked or 0) < n:
