@@ -9,12 +9,13 @@ rows. Metric rows may be grouped by ``group_cols`` (fold, model, ...).
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leakscope import constants as C
-from leakscope.functions.scalar import hash_uniform
-from leakscope.operators.rank import exact_quantiles, running_totals
+from leakscope.operators.rank import exact_quantiles, grouped_quantiles, running_totals
 
 
 def _z(c: Column) -> Column:
@@ -88,11 +89,10 @@ def curve_points(df: DataFrame, y: str = "y", p: str = "p", group_cols: list[str
     return j.select(*g, "score", "pos", "neg", F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"), "P", "N")
 
 
-def roc_curve(df: DataFrame, y: str = "y", p: str = "p", group_cols: list[str] | None = None) -> DataFrame:
-    """(fpr, tpr, threshold) per distinct score, plus the (0, 0) start
-    with a null threshold. All points are kept. Null when one class only."""
+def roc_from_points(pts: DataFrame, group_cols: list[str] | None = None) -> DataFrame:
+    """W2 from curve points; groups with one class only have no points."""
     g = group_cols or []
-    pts = curve_points(df, y, p, g).filter((F.col("P") > 0) & (F.col("N") > 0))
+    pts = pts.filter((F.col("P") > 0) & (F.col("N") > 0))
     body = pts.select(*g, F.col("score").alias("threshold"),
                       (F.col("fp") / F.col("N")).alias("fpr"), (F.col("tp") / F.col("P")).alias("tpr"))
     # grouped even without group columns: an empty curve yields no start row
@@ -101,11 +101,10 @@ def roc_curve(df: DataFrame, y: str = "y", p: str = "p", group_cols: list[str] |
     return body.unionByName(start)
 
 
-def pr_curve(df: DataFrame, y: str = "y", p: str = "p", group_cols: list[str] | None = None) -> DataFrame:
-    """(precision, recall, threshold) per distinct score, plus the final
-    point recall 0, precision 1 with a null threshold."""
+def pr_from_points(pts: DataFrame, group_cols: list[str] | None = None) -> DataFrame:
+    """W3 from curve points."""
     g = group_cols or []
-    pts = curve_points(df, y, p, g).filter((F.col("P") > 0) & (F.col("N") > 0))
+    pts = pts.filter((F.col("P") > 0) & (F.col("N") > 0))
     body = pts.select(*g, F.col("score").alias("threshold"),
                       (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
                       (F.col("tp") / F.col("P")).alias("recall"))
@@ -115,29 +114,44 @@ def pr_curve(df: DataFrame, y: str = "y", p: str = "p", group_cols: list[str] |
     return body.unionByName(end)
 
 
-def roc_auc(df: DataFrame, y: str = "y", p: str = "p", group_cols: list[str] | None = None) -> DataFrame:
-    """Exact area under the ROC (trapezoids over tied score groups);
-    null when a group has one class only."""
+def curve_areas(pts: DataFrame, group_cols: list[str] | None = None) -> DataFrame:
+    """A8 and A9 from curve points in one aggregate: exact area under the ROC
+    (trapezoids over tied score groups) and step-sum average precision,
+    sum((R_i - R_{i-1}) * P_i); null when a group has one class only."""
     g = group_cols or []
-    pts = curve_points(df, y, p, g)
     # negatives strictly above s = fp - neg; each positive at s beats those
     # below and ties half: area = sum(pos * (N - fp) + 0.5 * pos * neg) / (P N)
     part = pts.groupBy(*g).agg(
         F.sum(F.col("pos") * (F.col("N") - F.col("fp")) + 0.5 * F.col("pos") * F.col("neg")).alias("_a"),
+        F.sum(F.try_divide("pos", "P") * (F.col("tp") / (F.col("tp") + F.col("fp")))).alias("_ap"),
         F.first("P").alias("P"), F.first("N").alias("N"))
-    return part.select(*g, F.when((F.col("P") > 0) & (F.col("N") > 0),
-                                  F.col("_a") / (F.col("P") * F.col("N"))).alias("roc_auc"))
+    both = (F.col("P") > 0) & (F.col("N") > 0)
+    return part.select(*g, F.when(both, F.col("_a") / (F.col("P") * F.col("N"))).alias("roc_auc"),
+                       F.when(both, F.col("_ap")).alias("average_precision"))
+
+
+def roc_curve(df: DataFrame, y: str = "y", p: str = "p", group_cols: list[str] | None = None) -> DataFrame:
+    """(fpr, tpr, threshold) per distinct score, plus the (0, 0) start
+    with a null threshold. All points are kept. Null when one class only."""
+    pts = curve_points(df, y, p, group_cols)
+    return roc_from_points(pts, group_cols)
+
+
+def pr_curve(df: DataFrame, y: str = "y", p: str = "p", group_cols: list[str] | None = None) -> DataFrame:
+    """(precision, recall, threshold) per distinct score, plus the final
+    point recall 0, precision 1 with a null threshold."""
+    pts = curve_points(df, y, p, group_cols)
+    return pr_from_points(pts, group_cols)
+
+
+def roc_auc(df: DataFrame, y: str = "y", p: str = "p", group_cols: list[str] | None = None) -> DataFrame:
+    """A8."""
+    return curve_areas(curve_points(df, y, p, group_cols), group_cols).drop("average_precision")
 
 
 def average_precision(df: DataFrame, y: str = "y", p: str = "p", group_cols: list[str] | None = None) -> DataFrame:
-    """Step-sum average precision, sum((R_i - R_{i-1}) * P_i) over
-    distinct thresholds in descending order. Not the trapezoid areaUnderPR."""
-    g = group_cols or []
-    pts = curve_points(df, y, p, g)
-    ap = pts.groupBy(*g).agg(
-        F.sum((F.col("pos") / F.col("P")) * (F.col("tp") / (F.col("tp") + F.col("fp")))).alias("_ap"),
-        F.first("P").alias("P"), F.first("N").alias("N"))
-    return ap.select(*g, F.when((F.col("P") > 0) & (F.col("N") > 0), F.col("_ap")).alias("average_precision"))
+    """A9. Not the trapezoid areaUnderPR."""
+    return curve_areas(curve_points(df, y, p, group_cols), group_cols).drop("roc_auc")
 
 
 def brier(df: DataFrame, y: str = "y", p: str = "p", group_cols: list[str] | None = None) -> DataFrame:
@@ -146,16 +160,21 @@ def brier(df: DataFrame, y: str = "y", p: str = "p", group_cols: list[str] | Non
         F.avg(F.pow(F.col(p) - F.col(y).cast("double"), 2)).alias("brier_score"))
 
 
-def calibration(df: DataFrame, y: str = "y", p: str = "p", n_bins: int = 10) -> DataFrame:
+def calibration(df: DataFrame, y: str = "y", p: str = "p", n_bins: int = 10,
+                group_cols: list[str] | None = None) -> DataFrame:
     """Quantile bins (numpy-linear percentiles, exact), bin = number of
     interior edges below p, empty bins dropped; mean label and mean score per
-    bin. The 11 edges come from the exact order-statistic primitive."""
-    _, edges = exact_quantiles(df, p, [i / n_bins for i in range(n_bins + 1)])
-    interior = edges[1:-1]
-    b = F.lit(0)
-    for e in interior:
-        b = b + F.when(F.col(p) > F.lit(e), 1).otherwise(0)
-    return df.filter(F.col(p).isNotNull()).groupBy(b.alias("bin")).agg(
+    bin. The edges come from the exact order-statistic primitive: n_bins - 1
+    of them for each group, so they are broadcast."""
+    g = group_cols or []
+    probs = [i / n_bins for i in range(1, n_bins)]
+    if g:
+        edges = grouped_quantiles(df, g, p, probs).groupBy(*g).agg(F.collect_list("value").alias("_edges"))
+        binned = df.join(F.broadcast(edges), g)
+    else:
+        binned = df.withColumn("_edges", F.array(*[F.lit(e).cast("double") for e in exact_quantiles(df, p, probs)[1]]))
+    bins = F.size(F.filter("_edges", lambda e: e < F.col(p)))
+    return binned.filter(F.col(p).isNotNull()).groupBy(*g, bins.alias("bin")).agg(
         F.count(F.lit(1)).cast("bigint").alias("n"),
         F.avg(F.col(y).cast("double")).alias("prob_true"),
         F.avg(F.col(p)).alias("prob_pred"),
@@ -205,29 +224,6 @@ def best_threshold(sweep: DataFrame, group_cols: list[str] | None = None) -> Dat
     return sweep.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
-# Poisson(1) inverse CDF on a uniform: weight w where cdf(w-1) <= u < cdf(w).
-# cdf(k) = e^-1 * sum_{i<=k} 1/i!  (computed, not tabulated)
-def _poisson1_cdf(kmax: int = 12) -> list[float]:
-    import math
-    out, acc, term = [], 0.0, math.exp(-1.0)
-    for k in range(kmax + 1):
-        if k > 0:
-            term /= k
-        acc += term
-        out.append(acc)
-    return out
-
-
-POISSON1_CDF = _poisson1_cdf()
-
-
-def poisson_weight(u: Column) -> Column:
-    w = F.lit(len(POISSON1_CDF))
-    for k in reversed(range(len(POISSON1_CDF))):
-        w = F.when(u < F.lit(POISSON1_CDF[k]), F.lit(k)).otherwise(w)
-    return w
-
-
 MIX = 73244475          # 0x45d9f3b, a 32-bit integer mixing multiplier
 GOLDEN = 2654435761     # 0x9e3779b1
 TWO32 = 4294967296
@@ -241,47 +237,56 @@ def mix32(x: Column) -> Column:
     return F.shiftright(x, 16).bitwiseXOR(x)
 
 
-def replicate_uniform(row_bits: Column, replicate: Column) -> Column:
-    """Uniform for (row, replicate): one md5 per row, integer mixing per replicate."""
-    key = row_bits.bitwiseXOR(F.pmod(replicate.cast("bigint") * F.lit(GOLDEN), F.lit(TWO32)))
-    return mix32(key) / F.lit(float(TWO32))
+CELLS = ("tn", "fp", "fn", "tp")
 
 
-def bootstrap_f1(df: DataFrame, id_col: str, y: str = "y", pred: str = "pred", n_boot: int = 1000,
-                 ci: float = 0.95, seed: int = C.SEED) -> DataFrame:
-    """A15, Poisson bootstrap: each row gets a Poisson(1) weight per
-    replicate from a hash of (seed, id) mixed with the replicate number.
-    Rows are expanded by replicate inside each task and reduced by a partial
-    aggregate on the replicate number, so only n_boot small rows per task are
-    shuffled. Replicate 0 carries weight 1 everywhere and gives the point
-    estimate. Nulls on empty input."""
-    from leakscope.functions.scalar import hash_bits
-    # F1 reads only tp, fp, fn: true negatives are not expanded per
-    # replicate (one marker row each keeps "input is not empty")
-    tn = ~F.col(y) & ~F.col(pred)
-    reps_of = F.when(tn, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.lit(n_boot)))
-    reps = df.select(hash_bits(f"boot{seed}", F.col(id_col)).alias("_h"), F.col(y).alias("_y"),
-                     F.col(pred).alias("_p"), F.explode(reps_of).alias("replicate"))
-    u = replicate_uniform(F.col("_h"), F.col("replicate"))
-    w = F.when(F.col("replicate") <= 0, F.lit(1)).otherwise(poisson_weight(u))
-    agg = reps.withColumn("_w", w).groupBy("replicate").agg(
-        F.sum(F.when(F.col("_y") & F.col("_p"), F.col("_w")).otherwise(0)).alias("tp"),
-        F.sum(F.when(~F.col("_y") & F.col("_p"), F.col("_w")).otherwise(0)).alias("fp"),
-        F.sum(F.when(F.col("_y") & ~F.col("_p"), F.col("_w")).otherwise(0)).alias("fn"),
-    )
-    f1 = _z(F.try_divide(2.0 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")))
+def replicate_uniform(draw: Column, seed: int) -> Column:
+    """Uniform in (0, 1) for a numbered draw: integer mixing, no row data."""
+    return (mix32(F.pmod(draw * F.lit(GOLDEN) + F.lit(seed), F.lit(TWO32))) + F.lit(0.5)) / F.lit(float(TWO32))
+
+
+def poisson_draw(n: Column, u1: Column, u2: Column) -> Column:
+    """Poisson(n) from two uniforms: a normal draw with the second-order
+    (Cornish-Fisher) term of the Poisson quantile, floored at 0."""
+    z = F.sqrt(-2.0 * F.log(u1)) * F.cos(F.lit(2.0 * math.pi) * u2)
+    return F.when(n > 0, F.greatest(F.lit(0.0), F.floor(n + F.sqrt(n) * z + (z * z - 1.0) / 6.0 + 0.5).cast("double"))) \
+        .otherwise(F.lit(0.0))
+
+
+def f1_of_counts(tn: Column, fp: Column, fn: Column, tp: Column) -> Column:
+    return _z(F.try_divide(2.0 * tp, 2.0 * tp + fp + fn))
+
+
+def bootstrap_counts(cm: DataFrame, metric=f1_of_counts, n_boot: int = 1000, ci: float = 0.95, seed: int = C.SEED,
+                     group_cols: list[str] | None = None) -> DataFrame:
+    """A15 for any metric of the four counts: a Poisson bootstrap gives every
+    row a Poisson(1) weight, and the weights of a cell's n rows add up to
+    Poisson(n). So each replicate draws four numbers from the counts and no
+    data row is touched again. ``metric`` maps the columns tn, fp, fn, tp to
+    the metric. Nulls on empty input."""
+    g = group_cols or []
+    reps = cm.select(*g, *[F.col(c).cast("double").alias(c) for c in CELLS],
+                     F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_boot).cast("bigint"))).alias("replicate"))
+    draw = lambda i, j: replicate_uniform(F.col("replicate") * 8 + (2 * i + j), seed)
+    drawn = reps.select(*g, "replicate", (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp") > 0).alias("_any"), *[
+        F.when(F.col("replicate") == 0, F.col(c)).otherwise(poisson_draw(F.col(c), draw(i, 0), draw(i, 1))).alias(c)
+        for i, c in enumerate(CELLS)])
+    value = drawn.select(*g, "replicate", "_any", metric(*[F.col(c) for c in CELLS]).alias("_m"))
     alpha = (1.0 - ci) / 2.0
-    rep_f1 = F.when(F.col("replicate") > 0, F.col("f1"))
-    nonempty = F.count(F.lit(1)) > 0
-    zero_if_rows = lambda c: F.when(nonempty, F.coalesce(c, F.lit(0.0)))
-    return agg.select("replicate", f1.alias("f1")).agg(
-        zero_if_rows(F.max(F.when(F.col("replicate") == 0, F.col("f1")))).alias("point_estimate"),
-        zero_if_rows(F.percentile(rep_f1, alpha)).alias("ci_low"),
-        zero_if_rows(F.percentile(rep_f1, 1 - alpha)).alias("ci_high"),
-    ).select("point_estimate", "ci_low", "ci_high", F.lit(ci).alias("ci_level"),
+    of_rep = F.when(F.col("_any") & (F.col("replicate") > 0), F.col("_m"))
+    return value.groupBy(*g).agg(
+        F.max(F.when(F.col("_any") & (F.col("replicate") == 0), F.col("_m"))).alias("point_estimate"),
+        F.percentile(of_rep, alpha).alias("ci_low"), F.percentile(of_rep, 1 - alpha).alias("ci_high"),
+    ).select(*g, "point_estimate", "ci_low", "ci_high", F.lit(ci).alias("ci_level"),
              F.lit(n_boot).cast("bigint").alias("n_bootstrap"))
 
 
+def bootstrap_f1(df: DataFrame, y: str = "y", pred: str = "pred", n_boot: int = 1000,
+                 ci: float = 0.95, seed: int = C.SEED) -> DataFrame:
+    """A15 for F1 over a prediction table: one confusion aggregate."""
+    return bootstrap_counts(confusion(df, y, pred), f1_of_counts, n_boot, ci, seed)
+
+
 def fold_aggregate(fold_metrics: DataFrame, metrics: list[str], group_cols: list[str] | None = None) -> DataFrame:
     """Per metric mean, sample std (0 with one fold), n, min, max;
     nulls ignored."""

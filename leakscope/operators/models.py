@@ -117,9 +117,13 @@ def with_reg(est, n_weight_sum: float):
     return est
 
 
+def preprocessor(fs: FeatureSet) -> AuditPreprocessor:
+    return AuditPreprocessor(numericCols=list(fs.numeric_features), categoricalCols=list(fs.categorical_features))
+
+
 def pipeline(fs: FeatureSet, model_name: str, params: dict | None = None, seed: int = C.SEED,
              n_weight_sum: float = 1.0, weighted: bool = True) -> Pipeline:
-    prep = AuditPreprocessor(numericCols=list(fs.numeric_features), categoricalCols=list(fs.categorical_features))
+    prep = preprocessor(fs)
     est = with_reg(classifier(model_name, params, seed, weighted), n_weight_sum)
     return Pipeline(stages=[prep, est])
 

@@ -14,6 +14,8 @@ import json
 import platform
 
 import pyspark
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,113 +24,214 @@ from leakscope import constants as C
 from leakscope.operators import metrics as M
 from leakscope.operators import models as MD
 from leakscope.operators.features import FEATURE_SETS, add_derived_features, assert_no_lineage_leakage, get_feature_set
-from leakscope.operators.split import split_table
-from leakscope.plans.q_metrics import error_profile, error_records, error_table
+from leakscope.plans.q_metrics import error_profile, error_table, grouped_error_records
 from leakscope.sources.raw import MissingInputError
 from leakscope.session import materialize, one_row
 
+KEYS = ["experiment", "model"]
 ARTIFACT_TABLES = ["metadata", "fold_metrics", "cv_metrics", "test_metrics", "confusion_matrix", "roc_curve",
-                   "pr_curve", "threshold_analysis", "calibration", "error_analysis", "feature_importance",
-                   "predictions", "shap_summary"]
+                   "pr_curve", "threshold_analysis", "calibration", "error_analysis", "error_records",
+                   "feature_importance", "permutation_importance", "predictions", "shap_summary"]
+FOLD_METRICS = ["accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc"]
+METADATA_DDL = ("experiment STRING, model STRING, experiment_name STRING, purpose STRING, dataset_path STRING, "
+                "provenance STRING, feature_columns STRING, random_seed INT, n_cv_folds INT, outer_test_size DOUBLE, "
+                "dataset_row_count BIGINT, train_rows BIGINT, test_rows BIGINT, best_hyperparameters STRING, "
+                "search_results STRING, tuned BOOLEAN, trained_at_utc STRING, python STRING, spark STRING")
+
+
+def metadata(spark: SparkSession, specs: list[dict], n_rows: int, n_test: int, seed: int = C.SEED,
+             dataset_path: str | None = None, provenance: dict | None = None) -> DataFrame:
+    """One row per combination; the driver holds the specs only."""
+    now = dt.datetime.now(dt.timezone.utc).isoformat()
+    rows = []
+    for s in specs:
+        fs = FEATURE_SETS[s["experiment"]]
+        rows.append((s["experiment"], s["model"], fs.display_name, s.get("purpose", fs.display_name), dataset_path,
+                     json.dumps(provenance, default=str), json.dumps(fs.feature_columns), seed, C.N_FOLDS, C.TEST_SIZE,
+                     n_rows, n_rows - n_test, n_test, json.dumps(s.get("best", {}), default=str),
+                     json.dumps(s.get("search", []), default=str), s["model"] in C.TUNABLE_MODELS, now,
+                     platform.python_version(), pyspark.__version__))
+    return spark.createDataFrame(rows, METADATA_DDL)
+
+
+def artifacts_from_scores(scored: DataFrame, features: list[str], seed: int = C.SEED) -> dict[str, DataFrame]:
+    """Every score-derived artifact of all combinations at once.
+
+    ``scored`` holds experiment, model, part ('oof' or 'holdout'), fold, id, y,
+    p, pred and ``features``, checkpointed. Each artifact is one grouped plan
+    over (experiment, model), so the number of Spark jobs does not grow with
+    the number of combinations. Thresholds come from out-of-fold scores only.
+    """
+    oof, hold = scored.filter("part = 'oof'"), scored.filter("part = 'holdout'")
+    by_fold = [*KEYS, "fold"]
+    fold_areas = M.curve_areas(M.curve_points(oof, group_cols=by_fold), by_fold)
+    fold_m = M.metrics_from_counts(M.confusion(oof, group_cols=by_fold)).join(
+        fold_areas.withColumnRenamed("average_precision", "pr_auc"), by_fold, "left")
+    fold_m = materialize(fold_m)
+    sweep = materialize(M.threshold_sweep(oof, group_cols=KEYS))
+    best = M.best_threshold(sweep, KEYS).select(*KEYS, "threshold", F.lit(True).alias("best_by_f1"))
+    points = materialize(M.curve_points(hold, group_cols=KEYS))
+    cm = materialize(M.confusion(hold, group_cols=KEYS))
+    boot = M.bootstrap_counts(cm, seed=seed, group_cols=KEYS).select(
+        *KEYS, F.col("point_estimate").alias("f1_point"), F.col("ci_low").alias("f1_ci_low"),
+        F.col("ci_high").alias("f1_ci_high"))
+    areas = M.curve_areas(points, KEYS).withColumnRenamed("average_precision", "pr_auc")
+    et = error_table(hold, features, keep=KEYS)
+    return {
+        "fold_metrics": fold_m,
+        "cv_metrics": M.fold_aggregate(fold_m, FOLD_METRICS, KEYS),
+        "test_metrics": M.metrics_from_counts(cm).join(areas, KEYS, "left").join(boot, KEYS, "left"),
+        "confusion_matrix": M.confusion_shares(cm),
+        "roc_curve": M.roc_from_points(points, KEYS),
+        "pr_curve": M.pr_from_points(points, KEYS),
+        "threshold_analysis": sweep.join(best, [*KEYS, "threshold"], "left").fillna(False, ["best_by_f1"]),
+        "calibration": M.calibration(hold, group_cols=KEYS),
+        "error_analysis": error_profile(et, features, KEYS),
+        "error_records": grouped_error_records(et, KEYS),
+        "predictions": et,
+    }
+
+
+def own_features(df: DataFrame) -> DataFrame:
+    """Rows of a feature that belongs to its experiment's feature set."""
+    sets = F.create_map(*[x for e in C.EXPERIMENTS for x in (
+        F.lit(e), F.array(*[F.lit(f) for f in FEATURE_SETS[e].feature_columns]))])
+    return df.filter(F.array_contains(F.element_at(sets, F.col("experiment")), F.col("feature")))
+
+
+class Folds:
+    """The preprocessed rows of one feature set: fitted once per fold and once
+    on all training rows, then shared by all models and settings."""
+
+    def __init__(self, mf: DataFrame, fs, fold_col: str = "fold"):
+        self.fs = fs
+        train, test = mf.filter(~F.col("is_test")), mf.filter(F.col("is_test"))
+        keep = [C.ID, fold_col, C.TARGET, MD.LABEL, MD.WEIGHT, "features"]
+        folds = sorted(r[0] for r in train.select(fold_col).distinct().collect())
+        self.parts = []
+        for k in folds:
+            own, other = train.filter(F.col(fold_col) != k), train.filter(F.col(fold_col) == k)
+            prep = MD.preprocessor(fs).fit(own)
+            # class weights and labels from the fold's own training rows
+            rows = materialize(prep.transform(MD.training_frame(own)).select(*keep))
+            held = materialize(prep.transform(other).select(C.ID, fold_col, C.TARGET, "features"))
+            self.parts.append((k, rows, rows.count(), held))
+        self.prep = MD.preprocessor(fs).fit(train)
+        self.train = materialize(self.prep.transform(MD.training_frame(train)).select(*keep))
+        self.n = self.train.count()
+        self.test = materialize(self.prep.transform(test).select(C.ID, C.TARGET, "features"))
+
+
+def tuned(folds: Folds, model_name: str, settings: list[dict], seed: int = C.SEED):
+    """M10 + M11: out-of-fold scores of every setting; the setting with the best
+    mean fold F1 is refitted on all training rows, and its out-of-fold scores
+    are kept (they need no second pass). Returns (model, best, search rows, oof)."""
+    weighted = model_name in ("logistic_regression", "random_forest")
+    scored = None
+    for i, s in enumerate(settings):
+        for k, rows, n, held in folds.parts:
+            est = MD.with_reg(MD.classifier(model_name, s, seed, weighted), n)
+            part = MD.scores(est.fit(rows).transform(held)).select(
+                C.ID, "fold", F.col(C.TARGET).alias("y"), "p", "pred", F.lit(i).alias("setting"))
+            scored = part if scored is None else scored.unionByName(part)
+    scored = materialize(scored)
+    f1 = M.metrics_from_counts(M.confusion(scored, group_cols=["setting", "fold"])).groupBy("setting").agg(
+        F.avg("f1").alias("mean"), F.stddev_pop("f1").alias("std")).orderBy("setting").collect()
+    search = [{"setting": r["setting"], "params": settings[r["setting"]], "mean_test_score": r["mean"],
+               "std_test_score": r["std"]} for r in f1]
+    best = max(search, key=lambda r: (r["mean_test_score"], -r["setting"]))
+    est = MD.with_reg(MD.classifier(model_name, best["params"], seed, weighted), folds.n)
+    model = PipelineModel(stages=[folds.prep, est.fit(folds.train)])
+    return model, best, (search if len(settings) > 1 else []), scored.filter(F.col("setting") == best["setting"]).drop("setting")
+
+
+def run_grid(spark: SparkSession, mf: DataFrame, root: str, experiments: list[str], models: list[str],
+             settings: dict | None = None, seed: int = C.SEED, n_iter: int = C.N_ITER, shap_rows: int | None = None,
+             permutation_repeats: int = 20, dataset_path: str | None = None, provenance: dict | None = None) -> dict:
+    """Tune, score and explain each combination, then write all artifacts
+    in one grouped pass. Returns {(experiment, model): fitted pipeline}."""
+    from leakscope.operators.attribution import global_mean_abs, permutation_importance, tree_attributions
+    from leakscope.operators.clean import verify_grain
+    from leakscope.operators.split import fixed_sample
+    verify_grain(mf, [C.ID])
+    fitted, specs, scores, tables = {}, [], None, {"feature_importance": [], "permutation_importance": [], "shap_summary": []}
+    test = mf.filter(F.col("is_test"))
+    for e in experiments:
+        fs = get_feature_set(e)
+        assert_no_lineage_leakage(mf, fs)
+        folds = Folds(mf, fs)
+        for m in models:
+            own = (settings or {}).get(m) or MD.search_settings(m, n_iter, seed)
+            model, best, search, oof = tuned(folds, m, own, seed)
+            hold = MD.scores(model.stages[-1].transform(folds.test)).select(
+                C.ID, F.lit(None).cast("int").alias("fold"), F.col(C.TARGET).alias("y"), "p", "pred")
+            both = oof.withColumn("part", F.lit("oof")).unionByName(hold.withColumn("part", F.lit("holdout")))
+            both = _tag(both, e, m)
+            scores = both if scores is None else scores.unionByName(both)
+            fitted[e, m] = model
+            specs.append({"experiment": e, "model": m, "best": best["params"], "search": search})
+            imp = MD.model_importance(model)
+            if imp:
+                tables["feature_importance"].append(_tag(spark.createDataFrame(imp, "feature STRING, importance DOUBLE"), e, m))
+            if permutation_repeats and m != "dummy_most_frequent":
+                tables["permutation_importance"].append(_tag(
+                    permutation_importance(model, test, fs.feature_columns, n_repeats=permutation_repeats, seed=seed), e, m))
+            if m == "random_forest":
+                rows = test if shap_rows is None else fixed_sample(test, shap_rows, seed)
+                names = folds.prep.feature_names()
+                attr = tree_attributions(folds.prep.transform(rows), model.stages[-1], names)
+                tables["shap_summary"].append(_tag(global_mean_abs(attr, names), e, m))
+    features = list(dict.fromkeys(f for e in experiments for f in FEATURE_SETS[e].numeric_features))
+    scored = materialize(scores.join(mf.select(C.ID, *features), C.ID))
+    out = artifacts_from_scores(scored, features, seed)
+    out["error_analysis"] = own_features(out["error_analysis"])
+    counts = mf.agg(F.count(F.lit(1)).alias("n"), F.count_if("is_test").alias("t")).first()
+    out["metadata"] = metadata(spark, specs, counts["n"], counts["t"], seed, dataset_path, provenance)
+    for name, parts in tables.items():
+        if parts:
+            table = parts[0]
+            for x in parts[1:]:
+                table = table.unionByName(x)
+            out[name] = table
+    write_artifacts(out, root)
+    for (e, m), model in fitted.items():
+        model.write().overwrite().save(f"{root}/models/{e}/{m}")
+    return fitted
+
+
+def run_one(spark: SparkSession, mf: DataFrame, root: str, experiment: str, model_name: str, **options) -> PipelineModel:
+    """M20 for one combination; see ``run_grid``."""
+    return run_grid(spark, mf, root, [experiment], [model_name], **options)[experiment, model_name]
+
+
+def run_all(spark: SparkSession, mf: DataFrame, root: str, experiments: list[str] | None = None,
+            models: list[str] | None = None, **options) -> DataFrame:
+    """M20 grid + S8: every requested combination, then the summary."""
+    run_grid(spark, mf, root, experiments or C.EXPERIMENTS, models or C.MODELS, **options)
+    return run_summary(spark, root)
 
 
 def _tag(df: DataFrame, experiment: str, model: str) -> DataFrame:
     return df.withColumn("experiment", F.lit(experiment)).withColumn("model", F.lit(model))
 
 
-def run_one(mf: DataFrame, experiment: str, model_name: str, seed: int = C.SEED, settings: list[dict] | None = None,
-            n_iter: int = C.N_ITER, shap_rows: int | None = None) -> tuple[dict[str, DataFrame], PipelineModel]:
-    """Tune on the training folds, second CV pass for fold metrics and
-    out-of-fold scores, threshold sweep on those only, holdout metrics at
-    the default threshold, error analysis, importances.
-
-    ``mf`` is the checkpointed modelling frame (derived features, is_test,
-    fold). ``settings`` overrides the searched settings (a reduced grid)."""
-    fs = get_feature_set(experiment)
-    assert_no_lineage_leakage(mf, fs)
-    spark = mf.sparkSession
-    train = mf.filter(~F.col("is_test"))
-    test = mf.filter(F.col("is_test"))
-    settings = settings if settings is not None else MD.search_settings(model_name, n_iter, seed)
-    weighted = model_name in ("logistic_regression", "random_forest")
-    model, best, search_rows = MD.random_search(train, fs, model_name, settings, seed=seed, weighted=weighted)
-    oof = materialize(MD.oof_predictions(train, fs, model_name, best, seed=seed, weighted=weighted))
-    fold_cm = M.metrics_from_counts(M.confusion(oof, group_cols=["fold"]))
-    fold_m = (fold_cm.join(M.roc_auc(oof, group_cols=["fold"]), "fold", "left")
-              .join(M.average_precision(oof, group_cols=["fold"]).withColumnRenamed("average_precision", "pr_auc"),
-                    "fold", "left"))
-    cv = M.fold_aggregate(fold_m, ["accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc"])
-    sweep = M.threshold_sweep(oof)
-    best_t = M.best_threshold(sweep).withColumn("best_by_f1", F.lit(True))
-    thr = sweep.join(best_t.select("threshold", "best_by_f1"), "threshold", "left").fillna(False, ["best_by_f1"])
-
-    scored = materialize(MD.scores(model.transform(test.withColumn(MD.LABEL, F.col(C.TARGET).cast("double"))))
-                         .withColumn("y", F.col(C.TARGET)))
-    cm = M.confusion(scored)
-    test_m = one_row(
-        M.metrics_from_counts(cm), M.roc_auc(scored),
-        M.average_precision(scored).withColumnRenamed("average_precision", "pr_auc"),
-        M.bootstrap_f1(scored, C.ID, seed=seed).select(
-            F.col("point_estimate").alias("f1_point"), F.col("ci_low").alias("f1_ci_low"),
-            F.col("ci_high").alias("f1_ci_high")))
-    et = error_table(scored, list(fs.numeric_features))
-    profile = error_profile(et, list(fs.numeric_features))
-    imp = MD.model_importance(model)
-    imp_df = spark.createDataFrame(imp, "feature STRING, importance DOUBLE") if imp else \
-        spark.createDataFrame([], "feature STRING, importance DOUBLE")
-    n_rows = mf.count()
-    n_test = test.count()
-    meta = spark.createDataFrame([(
-        fs.display_name, json.dumps(fs.feature_columns), seed, C.N_FOLDS, C.TEST_SIZE, n_rows, n_rows - n_test,
-        n_test, json.dumps(best, default=str), json.dumps(search_rows, default=str), model_name in C.TUNABLE_MODELS,
-        dt.datetime.now(dt.timezone.utc).isoformat(), platform.python_version(), pyspark.__version__,
-    )], "experiment_name STRING, feature_columns STRING, random_seed INT, n_cv_folds INT, outer_test_size DOUBLE, "
-        "dataset_row_count BIGINT, train_rows BIGINT, test_rows BIGINT, best_hyperparameters STRING, "
-        "search_results STRING, tuned BOOLEAN, trained_at_utc STRING, python STRING, spark STRING")
-    out = {
-        "metadata": meta, "fold_metrics": fold_m, "cv_metrics": cv, "test_metrics": test_m,
-        "confusion_matrix": M.confusion_shares(cm), "roc_curve": M.roc_curve(scored), "pr_curve": M.pr_curve(scored),
-        "threshold_analysis": thr, "calibration": M.calibration(scored), "error_analysis": profile,
-        "feature_importance": imp_df, "predictions": et,
-    }
-    if model_name == "random_forest":
-        from leakscope.operators.attribution import global_mean_abs, tree_attributions
-        from leakscope.operators.split import fixed_sample
-        prep, rf = model.stages[0], model.stages[-1]
-        rows = test if shap_rows is None else fixed_sample(test, shap_rows, seed)
-        attr = tree_attributions(prep.transform(rows), rf, prep.feature_names())
-        out["shap_summary"] = global_mean_abs(attr, prep.feature_names())
-    return {k: _tag(v, experiment, model_name) for k, v in out.items()}, model
-
-
-def write_artifacts(artifacts: dict[str, DataFrame], model: PipelineModel, root: str) -> None:
-    """Each artifact appended to its table, replacing only this
-    combination's partition; the model saved beside the tables."""
+def write_artifacts(artifacts: dict[str, DataFrame], root: str) -> None:
+    """Each artifact table, replacing only the partitions it brings."""
     for name, df in artifacts.items():
         (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("experiment", "model").parquet(f"{root}/{name}"))
-    meta = artifacts["metadata"].select("experiment", "model").first()
-    model.write().overwrite().save(f"{root}/models/{meta['experiment']}/{meta['model']}")
+         .partitionBy(*KEYS).parquet(f"{root}/{name}"))
 
 
 def read_artifact(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A missing table is an error; any other failure is raised as it is."""
     try:
         return spark.read.parquet(f"{root}/{name}")
-    except Exception as exc:
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
         raise MissingInputError(f"artifacts: table {name} not found under {root}") from exc
 
 
-def run_all(spark: SparkSession, mf: DataFrame, root: str, experiments: list[str] | None = None,
-            models: list[str] | None = None, settings: dict | None = None, seed: int = C.SEED,
-            shap_rows: int | None = None) -> DataFrame:
-    """M20 grid + S8: every requested combination, then the summary."""
-    for e in experiments or C.EXPERIMENTS:
-        for m in models or C.MODELS:
-            arts, model = run_one(mf, e, m, seed, settings=(settings or {}).get(m), shap_rows=shap_rows)
-            write_artifacts(arts, model, root)
-    return run_summary(spark, root)
-
-
 def run_summary(spark: SparkSession, root: str) -> DataFrame:
     """One row per executed combination (stacked partitions)."""
     tm = read_artifact(spark, root, "test_metrics")
@@ -155,20 +258,27 @@ def save_model(spark: SparkSession, model: PipelineModel, root: str, name: str,
 
 
 def load_model(root: str, name: str, version: str) -> PipelineModel:
+    path = f"{root}/registry/{name}/{version}/model"
     try:
-        return PipelineModel.load(f"{root}/registry/{name}/{version}/model")
-    except Exception as exc:
+        return PipelineModel.load(path)
+    except (AnalysisException, Py4JJavaError) as exc:
+        if "does not exist" not in str(exc) and "PATH_NOT_FOUND" not in str(exc):
+            raise
         raise MissingInputError(f"registry: no model {name}/{version}") from exc
 
 
 def registered_models(spark: SparkSession, root: str) -> DataFrame:
     """(model_name, version, metadata) of every entry that has a model,
-    sorted; read from the metadata tables in one scan."""
-    try:
-        meta = spark.read.parquet(f"{root}/registry/*/*/metadata")
-    except Exception:
-        return spark.createDataFrame([], "model_name STRING, version STRING, metadata STRING")
-    return meta.orderBy("model_name", "version")
+    sorted; metadata without a saved model beside it is left out."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(f"{root}/registry/*/*/model/metadata")
+    models = {tuple(s.getPath().toString().split("/")[-4:-2]) for s in at.getFileSystem(conf).globStatus(at) or []}
+    ddl = "model_name STRING, version STRING, metadata STRING"
+    if not models:
+        return spark.createDataFrame([], ddl)
+    meta = spark.read.schema(ddl).parquet(f"{root}/registry/*/*/metadata")
+    have = spark.createDataFrame(sorted(models), "model_name STRING, version STRING")
+    return meta.join(have, ["model_name", "version"], "left_semi").orderBy("model_name", "version")
 
 
 # --- M17 batch scoring -------------------------------------------------------------------

@@ -14,7 +14,7 @@ from leakscope.operators.flatten import missing_required
 from leakscope.operators.features import FEATURE_SETS, add_derived_features, feature_matrix
 from leakscope.plans.registry import normalise, query
 from leakscope.plans.sql_base import FLAT_DOUBLE_COLUMNS, hash_uniform_sql, with_flat
-from leakscope.session import materialize, run_table, scratch_path
+from leakscope.session import input_state, materialize, run_table, scratch_path
 from leakscope.sources import raw as RAW
 from leakscope.sources.analog import analog_flat, event_distance_text, event_rollup, load
 
@@ -27,7 +27,7 @@ def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat analog after F1, F2, W1 (keeps ``_ordinal``): the processed
     dataset, written once per run (checkpoint) and read by every later
     query, as the validation stage's output is."""
-    return run_table(spark, ("cleaned", sf_dir), lambda: materialize(CL.clean(flat(spark, sf_dir))))
+    return run_table(spark, ("cleaned", *input_state(spark, sf_dir)), lambda: materialize(CL.clean(flat(spark, sf_dir))))
 
 
 def cleaned_derived(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,9 @@ holdout rows; fold metrics on the training folds.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leakscope import constants as C
@@ -20,7 +22,7 @@ from leakscope.operators.rank import grouped_quantiles
 from leakscope.plans.q_ingest import cleaned_derived
 from leakscope.plans.registry import normalise, query
 from leakscope.plans.sql_base import hash_bits_sql, with_flat
-from leakscope.session import materialize, run_table
+from leakscope.session import input_state, materialize, run_table
 
 PROFILE_FEATURES = list(C.PHYSICAL_KINEMATIC_NUMERIC)
 
@@ -42,7 +44,7 @@ def split_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
         sc = materialize(scored(spark, sf_dir))
         sp = S.split_table(sc.select(C.ID, F.col("y").alias(C.TARGET)))
         return materialize(sc.join(sp.drop(C.TARGET), C.ID, "inner"))
-    return run_table(spark, ("split_scored", sf_dir), build)
+    return run_table(spark, ("split_scored", *input_state(spark, sf_dir)), build)
 
 
 def test_rows(spark, sf_dir) -> DataFrame:
@@ -307,47 +309,49 @@ def q_best_threshold(spark, sf_dir):
 
 
 # --- A15 --------------------------------------------------------------------------
-def _poisson_case(u: str) -> str:
-    parts = " ".join(f"WHEN {u} < {c!r} THEN {k}" for k, c in enumerate(M.POISSON1_CDF))
-    return f"CASE {parts} ELSE {len(M.POISSON1_CDF)} END"
-
-
 def _mix_sql(x: str) -> str:
     step = lambda v: f"((xor({v} >> 16, {v}) * {M.MIX}) % {M.TWO32})"
     y = step(step(x))
     return f"xor({y} >> 16, {y})"
 
 
-_U_BOOT = (f"({_mix_sql('xor(te.h, (r.replicate * ' + str(M.GOLDEN) + ') % ' + str(M.TWO32) + ')')}"
-           f" / {float(M.TWO32)})")
-
-
-@query("bootstrap_ci", with_split(f"""
-, reps AS (SELECT r.replicate, te.y, te.pred,
-                  CASE WHEN r.replicate = 0 THEN 1 ELSE {_poisson_case(_U_BOOT)} END AS w
-           FROM (SELECT *, {hash_bits_sql('boot42', 'neo_id')} AS h FROM te) te, range(0, 1001) r(replicate)),
-agg AS (SELECT replicate, sum(CASE WHEN y AND pred THEN w ELSE 0 END) AS tp,
-               sum(CASE WHEN NOT y AND pred THEN w ELSE 0 END) AS fp,
-               sum(CASE WHEN y AND NOT pred THEN w ELSE 0 END) AS fn FROM reps GROUP BY replicate),
-f AS (SELECT replicate, COALESCE(CASE WHEN 2 * tp + fp + fn = 0 THEN NULL ELSE 2.0 * tp / (2 * tp + fp + fn) END, 0)
-             AS f1 FROM agg)
-SELECT ROUND(max(CASE WHEN replicate = 0 THEN f1 END), 6) AS point_estimate,
-       ROUND(quantile_cont(CASE WHEN replicate > 0 THEN f1 END, 0.025), 6) AS ci_low,
-       ROUND(quantile_cont(CASE WHEN replicate > 0 THEN f1 END, 0.975), 6) AS ci_high,
-       CAST(0.95 AS DOUBLE) AS ci_level, CAST(1000 AS BIGINT) AS n_bootstrap
-FROM f
+def poisson_sql(n: str, cell: int, seed: int = C.SEED) -> str:
+    u = [f"(({_mix_sql(f'((replicate * 8 + {2 * cell + j}) * {M.GOLDEN} + {seed}) % {M.TWO32}')}) + 0.5) / {float(M.TWO32)}"
+         for j in (0, 1)]
+    z = f"(sqrt(-2.0 * ln({u[0]})) * cos({2 * math.pi!r} * ({u[1]})))"
+    return (f"CASE WHEN replicate = 0 THEN {n} WHEN {n} > 0 THEN greatest(0, floor({n} + sqrt({n}) * {z} "
+            f"+ ({z} * {z} - 1.0) / 6.0 + 0.5)) ELSE 0 END")
+
+
+def boot_sql(cm: str, group: str = "") -> str:
+    """CTE ``boot`` (point_estimate, ci_low, ci_high of F1, per group) from a table of counts."""
+    g = f"{group}, " if group else ""
+    draws = ", ".join(f"{poisson_sql(f'CAST({c} AS DOUBLE)', i)} AS {c}" for i, c in enumerate(M.CELLS))
+    return f"""
+, draws AS (SELECT {g}replicate, {draws} FROM {cm}, range(0, 1001) r(replicate)),
+bf AS (SELECT {g}replicate, COALESCE(CASE WHEN 2 * tp + fp + fn = 0 THEN NULL ELSE 2.0 * tp / (2 * tp + fp + fn) END, 0)
+              AS f1 FROM draws),
+boot AS (SELECT {g}max(CASE WHEN replicate = 0 THEN f1 END) AS point_estimate,
+                quantile_cont(CASE WHEN replicate > 0 THEN f1 END, 0.025) AS ci_low,
+                quantile_cont(CASE WHEN replicate > 0 THEN f1 END, 0.975) AS ci_high
+         FROM bf {f"GROUP BY {group}" if group else ""})
+"""
+
+
+@query("bootstrap_ci", with_split(", " + _CM_SQL + boot_sql("cm") + """
+SELECT ROUND(point_estimate, 6) AS point_estimate, ROUND(ci_low, 6) AS ci_low, ROUND(ci_high, 6) AS ci_high,
+       CAST(0.95 AS DOUBLE) AS ci_level, CAST(1000 AS BIGINT) AS n_bootstrap FROM boot
 """))
 def q_bootstrap_ci(spark, sf_dir):
-    return normalise(M.bootstrap_f1(test_rows(spark, sf_dir), C.ID))
+    return normalise(M.bootstrap_f1(test_rows(spark, sf_dir)))
 
 
 # --- A12 / A14: metrics per training fold, then mean/std/n/min/max -------------------
 def fold_metrics(sp: DataFrame) -> DataFrame:
     val = sp.filter(~F.col("is_test"))
     cm = M.metrics_from_counts(M.confusion(val, group_cols=["fold"]))
-    auc = M.roc_auc(val, group_cols=["fold"])
-    ap = M.average_precision(val, group_cols=["fold"]).withColumnRenamed("average_precision", "pr_auc")
-    return cm.join(auc, "fold", "left").join(ap, "fold", "left")
+    areas = M.curve_areas(M.curve_points(val, group_cols=["fold"]), ["fold"])
+    return cm.join(areas.withColumnRenamed("average_precision", "pr_auc"), "fold", "left")
 
 
 FOLD_METRICS = ["accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc"]
@@ -396,10 +400,10 @@ def q_fold_aggregate(spark, sf_dir):
 
 
 # --- P9 / J2: error table on the holdout ------------------------------------------------
-def error_table(te: DataFrame, features: list[str], id_col: str = C.ID) -> DataFrame:
-    """Features + id, actual and predicted text labels, probability, outcome."""
+def error_table(te: DataFrame, features: list[str], id_col: str = C.ID, keep: list[str] | None = None) -> DataFrame:
+    """Features + id (and ``keep``), actual and predicted text labels, probability, outcome."""
     return te.select(
-        id_col, *features,
+        *(keep or []), id_col, *features,
         label_text("y").alias("actual_label"),
         label_text("pred").alias("predicted_label"),
         F.col("p").alias("model_probability"),
@@ -442,23 +446,33 @@ def error_records(et: DataFrame, which: str, limit: int = 50, id_col: str = C.ID
         id_col, "outcome", "model_probability")
 
 
+def grouped_error_records(et: DataFrame, group_cols: list[str], limit: int = 50, id_col: str = C.ID) -> DataFrame:
+    """F6 + L9 for both kinds of error of every group. Spark keeps the first
+    ``limit`` rows of each window before the shuffle (a group limit)."""
+    w = Window.partitionBy(*group_cols, "outcome").orderBy(F.col("model_probability").desc_nulls_last(), F.col(id_col))
+    return (et.filter(F.col("outcome").isin("false_positive", "false_negative"))
+            .withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= limit)
+            .select(*group_cols, id_col, "outcome", "model_probability"))
+
+
 # --- A13 / U3 / R9 ------------------------------------------------------------------
-def error_profile(et: DataFrame, features: list[str]) -> DataFrame:
-    """Per outcome and feature: count, mean, median, sample std (0 for one
-    value), min, max; nulls skipped; plus n_rows of the outcome. Medians are
-    exact through the grouped order-statistic primitive."""
-    long = et.select("outcome", F.explode(F.array(*[
+def error_profile(et: DataFrame, features: list[str], group_cols: list[str] | None = None) -> DataFrame:
+    """Per outcome and feature (and group): count, mean, median, sample std (0
+    for one value), min, max; nulls skipped; plus n_rows of the outcome.
+    Medians are exact through the grouped order-statistic primitive."""
+    g = [*(group_cols or []), "outcome"]
+    long = et.select(*g, F.explode(F.array(*[
         F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features
-    ])).alias("s")).select("outcome", "s.feature", "s.value")
-    stats = long.filter(F.col("value").isNotNull()).groupBy("outcome", "feature").agg(
+    ])).alias("s")).select(*g, "s.feature", "s.value")
+    stats = long.filter(F.col("value").isNotNull()).groupBy(*g, "feature").agg(
         F.count(F.lit(1)).cast("bigint").alias("count"), F.avg("value").alias("mean"),
         F.when(F.count(F.lit(1)) > 1, F.stddev_samp("value")).otherwise(F.lit(0.0)).alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"))
-    med = grouped_quantiles(long, ["outcome", "feature"], "value", [0.5]).select(
-        "outcome", "feature", F.col("value").alias("median"))
-    rows = et.groupBy("outcome").agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"))
-    return (stats.join(F.broadcast(med), ["outcome", "feature"], "left")
-            .join(F.broadcast(rows), "outcome", "left"))
+    med = grouped_quantiles(long, [*g, "feature"], "value", [0.5]).select(
+        *g, "feature", F.col("value").alias("median"))
+    rows = et.groupBy(*g).agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"))
+    return (stats.join(F.broadcast(med), [*g, "feature"], "left")
+            .join(F.broadcast(rows), g, "left"))
 
 
 @query("error_profile", with_split(_ERR_SQL + ", lng AS (" + " UNION ALL ".join(

@@ -20,7 +20,7 @@ from leakscope.plans.q_ingest import cleaned_derived
 from leakscope.plans.q_metrics import SPLIT_CTES
 from leakscope.plans.registry import normalise, query
 from leakscope.plans.sql_base import with_flat
-from leakscope.session import materialize, run_table
+from leakscope.session import input_state, materialize, run_table
 
 FS_KEY = "leakage_aware"
 
@@ -40,7 +40,7 @@ def modelling_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
         d = materialize(cleaned_derived(spark, sf_dir).drop("_ordinal"))
         sp = split_table(d.select(C.ID, C.TARGET))
         return materialize(d.join(sp.drop(C.TARGET), C.ID, "inner"))
-    return run_table(spark, ("modelling_frame", sf_dir), build)
+    return run_table(spark, ("modelling_frame", *input_state(spark, sf_dir)), build)
 
 
 def train_rows(mf: DataFrame) -> DataFrame:
@@ -179,7 +179,7 @@ SEARCH_SPACE = {"C": [0.1, 1.0], "max_iter": [50]}
 
 
 def search_results(spark, sf_dir) -> DataFrame:
-    return run_table(spark, ("search_results", sf_dir), lambda: _search_results(spark, sf_dir))
+    return run_table(spark, ("search_results", *input_state(spark, sf_dir)), lambda: _search_results(spark, sf_dir))
 
 
 def _search_results(spark, sf_dir) -> DataFrame:
@@ -237,7 +237,7 @@ def anomaly_table(spark, sf_dir) -> DataFrame:
         d = materialize(cleaned_derived(spark, sf_dir).drop("_ordinal"))
         prep = PP.AuditPreprocessor(numericCols=C.ALL_NUMERIC, categoricalCols=C.CATEGORICAL).fit(d)
         return materialize(isolation_forest(prep.transform(d), keep=[C.ID, "name"]))
-    return run_table(spark, ("anomaly", sf_dir), build)
+    return run_table(spark, ("anomaly", *input_state(spark, sf_dir)), build)
 
 
 @query("anomaly_scores")
@@ -259,7 +259,7 @@ def fitted(spark, sf_dir, model_name: str, fs_key: str = FS_KEY):
         tr = MD.training_frame(train_rows(mf))
         return MD.pipeline(FEATURE_SETS[fs_key], model_name, QUICK[model_name], n_weight_sum=tr.count(),
                            weighted=model_name != "xgboost").fit(tr)
-    return run_table(spark, ("model", sf_dir, model_name, fs_key), build)
+    return run_table(spark, ("model", *input_state(spark, sf_dir), model_name, fs_key), build)
 
 
 @query("permutation_importance")
@@ -280,7 +280,7 @@ def attribution_table(spark, sf_dir) -> DataFrame:
         prep, rf = m.stages[0], m.stages[-1]
         feats = prep.transform(test_rows(mf))
         return materialize(tree_attributions(feats, rf, prep.feature_names()))
-    return run_table(spark, ("attribution", sf_dir), build)
+    return run_table(spark, ("attribution", *input_state(spark, sf_dir)), build)
 
 
 @query("attribution_local")

@@ -34,17 +34,22 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by the cluster.
-
-    The cluster's ``spark.checkpoint.dir`` wins; a scratch folder is only
-    created when nothing is configured (local tests).
-    """
+    """The shared checkpoint folder: the context's own where one is set, else
+    the one that ``spark.checkpoint.dir`` names. Without either, a local
+    session (driver and executors in one process) gets a scratch folder; on a
+    cluster that is an error."""
+    sc = spark.sparkContext
+    current = sc._jsc.sc().getCheckpointDir()
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="leakscope-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    spark.sparkContext.setCheckpointDir(configured)
-    return configured
+    if current.isDefined():
+        return current.get()
+    if configured:
+        sc.setCheckpointDir(configured)
+        return sc._jsc.sc().getCheckpointDir().get()
+    if sc.master.startswith("local[") or sc.master == "local":
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="leakscope-ckpt-"))
+        return sc._jsc.sc().getCheckpointDir().get()
+    raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -64,6 +69,17 @@ def materialize(df):
     return df.checkpoint(eager=True)
 
 
+def input_state(spark: SparkSession, sf_dir: str) -> tuple:
+    """The input's path with its files' names, sizes and times: a key under which
+    results of rewritten data are not taken for those of the old."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(sf_dir)
+    fs = at.getFileSystem(conf)
+    found = [s for pattern in ("*.parquet", "*.parquet/*") for s in
+             fs.globStatus(jvm.org.apache.hadoop.fs.Path(at, pattern)) or []]
+    return (sf_dir, *sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in found))
+
+
 _RUN_TABLES: dict = {}
 
 

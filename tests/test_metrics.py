@@ -68,9 +68,9 @@ def test_bootstrap_brackets_point(spark):
     rnd = random.Random(0)
     y = [rnd.random() < 0.4 for _ in range(200)]
     pred = [a if rnd.random() > 0.2 else not a for a in y]
-    r = M.bootstrap_f1(_pred(spark, y, pred), "id", n_boot=200).first()
+    r = M.bootstrap_f1(_pred(spark, y, pred), n_boot=200).first()
     assert r["ci_low"] <= r["point_estimate"] <= r["ci_high"]
-    empty = M.bootstrap_f1(_pred(spark, [], []).limit(0), "id", n_boot=10).first()
+    empty = M.bootstrap_f1(_pred(spark, [], []).limit(0), n_boot=10).first()
     assert empty["point_estimate"] is None and empty["ci_low"] is None
 
 
