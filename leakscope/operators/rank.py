@@ -81,13 +81,27 @@ def edge_bucket(col: Column, edges: list[float]) -> Column:
     return build(0, len(edges))
 
 
+def sized_edges(df: DataFrame, col: str, per_bucket: int = 50_000, most: int = 4096) -> list[float]:
+    """Edges that leave about ``per_bucket`` rows in a bucket: count and edges
+    come from one aggregate, and the edges are thinned to what the count asks for."""
+    probs = [i / most for i in range(1, most)]
+    row = df.agg(F.count(col).alias("n"), F.percentile_approx(col, probs, 2 * most).alias("e")).first()
+    step = max(1, most // min(most, max(16, (row["n"] or 0) // per_bucket)))
+    out: list[float] = []
+    for e in (row["e"] or [])[step - 1::step]:
+        if e is not None and not (isinstance(e, float) and math.isnan(e)) and (not out or e > out[-1]):
+            out.append(float(e))
+    return out
+
+
 def running_totals(df: DataFrame, part_cols: list[str], order_col: str, sum_cols: list[str],
-                   descending: bool = False, buckets: int = 256, edges: list[float] | None = None) -> DataFrame:
+                   descending: bool = False, buckets: int | None = None, edges: list[float] | None = None) -> DataFrame:
     """Cumulative sums of ``sum_cols`` along ``order_col`` (inclusive), per
     ``part_cols``. ``df`` should already be one row per (part, order value).
-    Buckets come from approximate-quantile edges of the order column."""
+    Buckets come from approximate-quantile edges of the order column, as many
+    as the number of rows asks for, or ``buckets``."""
     if edges is None:
-        edges = quantile_edges(df, order_col, buckets)
+        edges = quantile_edges(df, order_col, buckets) if buckets else sized_edges(df, order_col)
     bkt = edge_bucket(F.col(order_col), edges)
     if descending:
         bkt = F.lit(len(edges)) - bkt
@@ -122,7 +136,7 @@ def grouped_order_stats(vals: DataFrame, group_cols: list[str], wanted: dict[tup
     below lo and the wanted ranks inside. A range holding more than
     ``max_rows`` values is split by approximate-quantile edges and replaced
     by the buckets that hold wanted ranks (each pass divides it by about
-    ``buckets``). A small range is finished by sorting its distinct values
+    ``buckets``); a value that holds many rows becomes a range of its own. A small range is finished by sorting its distinct values
     with counts. Only per-range metadata reaches the driver, and no task
     sorts more than ``max_rows`` values of one range. ``sizes`` (rows per
     group) saves the first count pass when known.
@@ -162,12 +176,15 @@ def grouped_order_stats(vals: DataFrame, group_cols: list[str], wanted: dict[tup
                     rng.groupBy("_rid").agg(F.percentile_approx("v", qs, accuracy).alias("e")).collect()}
             edges = {}
             for rid, (k, lo, hi, off, n, rs) in large.items():
-                e = sorted({float(x) for x in (meta.get(rid) or []) if x is not None
-                            and (lo is None or x > lo) and (hi is None or x < hi)})
-                if e:
-                    edges[rid] = e
-                else:  # one distinct value left in range (heavy ties): sort it directly
-                    small[rid] = large[rid]
+                found = {float(x) for x in (meta.get(rid) or []) if x is not None}
+                # A value that holds many rows may be the only edge. Cutting just below it as
+                # well parts its rows from the smaller values, and a range of one value is done.
+                cuts = found | {math.nextafter(x, -math.inf) for x in found}
+                edges[rid] = sorted(x for x in cuts if (lo is None or x > lo) and (hi is None or x < hi))
+                if not edges[rid] and hi is not None and lo == math.nextafter(hi, -math.inf):
+                    del edges[rid]
+                    for r in rs:
+                        out[(k, r)] = hi
             if edges:
                 etab = spark.createDataFrame(list(edges.items()), "_rid INT, _edges ARRAY<DOUBLE>")
                 b = rng.join(F.broadcast(etab), "_rid").withColumn(
@@ -180,9 +197,11 @@ def grouped_order_stats(vals: DataFrame, group_cols: list[str], wanted: dict[tup
                     acc = off
                     for bkt, c in sorted(counts.get(rid, [])):
                         inside = [r for r in rs if acc <= r < acc + c]
-                        if inside:
-                            nxt[rid_next] = [k, lo if bkt == 0 else e[bkt - 1], hi if bkt == len(e) else e[bkt],
-                                             acc, c, inside]
+                        low, high = lo if bkt == 0 else e[bkt - 1], hi if bkt == len(e) else e[bkt]
+                        if inside and low is not None and high is not None and low == math.nextafter(high, -math.inf):
+                            out.update({(k, r): high for r in inside})  # the range holds one value
+                        elif inside:
+                            nxt[rid_next] = [k, low, high, acc, c, inside]
                             rid_next += 1
                         acc += c
             rng.unpersist()

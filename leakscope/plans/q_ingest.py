@@ -11,7 +11,8 @@ from leakscope import constants as C
 from leakscope.functions.scalar import hash_uniform, is_present, safe_double
 from leakscope.operators import clean as CL
 from leakscope.operators.flatten import missing_required
-from leakscope.operators.features import FEATURE_SETS, add_derived_features, feature_matrix
+from leakscope.operators.features import add_derived_features, as_sources, feature_matrix, FEATURE_SETS
+from leakscope.functions.scalar import date_text
 from leakscope.plans.registry import normalise, query
 from leakscope.plans.sql_base import FLAT_DOUBLE_COLUMNS, hash_uniform_sql, with_flat
 from leakscope.session import input_state, materialize, run_table, scratch_path
@@ -27,7 +28,7 @@ def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat analog after F1, F2, W1 (keeps ``_ordinal``): the processed
     dataset, written once per run (checkpoint) and read by every later
     query, as the validation stage's output is."""
-    return run_table(spark, ("cleaned", *input_state(spark, sf_dir)), lambda: materialize(CL.clean(flat(spark, sf_dir))))
+    return run_table(spark, ("cleaned", *input_state(spark, sf_dir)), lambda: as_sources(materialize(CL.clean(flat(spark, sf_dir)))))
 
 
 def cleaned_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -369,17 +370,23 @@ def q_rule_label(spark, sf_dir):
 
 # --- S1 / S2: landed raw records from the analog ----------------------------------------
 def landed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw nested records (the raw schema) built from the analog: each record
-    carries its closest approach only (pre-reduced by a partial aggregate),
-    so no object's event list is ever gathered into one record or task."""
+    """Raw nested records (the raw schema) built from the analog, each with its
+    own full event list in line order. A list is bounded by its object's own
+    events, as a record holds them in one document anyway."""
+    line = load(spark, sf_dir, "lineitem")
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
+    own = line.select("l_orderkey", F.struct(
+        *order, date_text("l_shipdate").alias("date"), event_distance_text(line).alias("dist")).alias("e"))
+    events = own.groupBy(F.col("l_orderkey").cast("string").alias("_id")).agg(F.array_sort(F.collect_list("e")).alias("_events"))
+    approaches = F.transform("_events", lambda e: F.struct(
+        e["date"].alias("close_approach_date"),
+        F.struct(e["l_quantity"].cast("string").alias("kilometers_per_second")).alias("relative_velocity"),
+        F.struct(e["dist"].alias("kilometers")).alias("miss_distance"),
+        F.lit("Earth").alias("orbiting_body")))
+    none = F.array().cast("array<struct<close_approach_date:string,relative_velocity:struct<kilometers_per_second:string>,"
+                          "miss_distance:struct<kilometers:string>,orbiting_body:string>>")
     f = flat(spark, sf_dir)
-    dist_txt = F.col("closest_miss_distance_km").cast("string")
-    approach = F.struct(
-        F.col("closest_approach_date").alias("close_approach_date"),
-        F.struct(F.col("closest_relative_velocity_km_s").cast("string").alias("kilometers_per_second"))
-        .alias("relative_velocity"),
-        F.struct(dist_txt.alias("kilometers")).alias("miss_distance"),
-        F.lit("Earth").alias("orbiting_body"))
+    f = f.join(events, F.col("neo_id") == F.col("_id"), "left")
     txt = lambda c: F.col(c).cast("string")
     return f.select(
         F.col("neo_id").alias("id"), "name", "designation", "absolute_magnitude_h",
@@ -387,10 +394,7 @@ def landed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
                           F.col("estimated_diameter_km_max").alias("estimated_diameter_max"))
                  .alias("kilometers")).alias("estimated_diameter"),
         C.TARGET, "is_sentry_object",
-        F.when(F.col("closest_miss_distance_km").isNotNull(), F.array(approach))
-        .otherwise(F.array().cast("array<struct<close_approach_date:string,relative_velocity:struct<"
-                                  "kilometers_per_second:string>,miss_distance:struct<kilometers:string>,"
-                                  "orbiting_body:string>>")).alias("close_approach_data"),
+        F.coalesce(approaches, none).alias("close_approach_data"),
         F.struct(F.col("data_arc_in_days"), F.col("observations_used").cast("bigint").alias("observations_used"),
                  txt("moid_au").alias("minimum_orbit_intersection"), txt("eccentricity").alias("eccentricity"),
                  txt("semi_major_axis_au").alias("semi_major_axis"), txt("inclination_deg").alias("inclination"),
@@ -413,26 +417,39 @@ def land(spark: SparkSession, sf_dir: str, stamps: list[str]) -> str:
     return root
 
 
-@query("scan_raw")
+@query("scan_raw", with_flat(f"SELECT {_FLAT_SELECT} FROM flat"))
 def q_scan_raw(spark, sf_dir):
-    """S1 -> P2: scan the landed JSON Lines with the explicit raw schema and
-    flatten; every analog object comes back once."""
+    """S1 -> P2 -> P4: scan the landed JSON Lines with the explicit raw schema
+    and flatten; the closest event comes out of each record's list."""
     root = land(spark, sf_dir, ["20240101T000000Z"])
-    raw = RAW.read_raw_records(spark, f"{root}/neows_browse_*.json", multiline=False)
+    raw = RAW.assert_record_list(RAW.read_raw_records(spark, f"{root}/neows_browse_*.json", multiline=False))
     from leakscope.operators.flatten import flatten_records
     return normalise(flatten_records(raw, keep_ordinal=False))
 
 
-@query("scan_latest_snapshot")
+@query("scan_latest_snapshot", with_flat("SELECT neo_id, 'neows_browse_20250101T000000Z.json' AS _snapshot FROM flat"))
 def q_scan_latest_snapshot(spark, sf_dir):
-    """Two snapshots landed; only the newest one's records are read."""
+    """Two snapshots landed; the newest is found by listing, and no other is read."""
+    root = land(spark, sf_dir, ["20240101T000000Z", "20250101T000000Z"])
+    raw = RAW.read_raw_records(spark, RAW.latest_snapshot_path(spark, root), multiline=False)
+    return raw.select(F.col("id").alias(C.ID), RAW.snapshot_of(raw).alias("_snapshot"))
+
+
+@query("snapshot_status", with_flat("""
+SELECT s AS snapshot, (SELECT count(*) FROM flat) AS n_records, s = '20250101T000000Z' AS is_latest
+FROM (VALUES ('20240101T000000Z'), ('20250101T000000Z')) v(s)
+"""))
+def q_snapshot_status(spark, sf_dir):
+    """Snapshot list: stamp, records, and which is the newest."""
     root = land(spark, sf_dir, ["20240101T000000Z", "20250101T000000Z"])
+    newest = RAW.latest_snapshot_path(spark, root).rstrip("/").rsplit("/", 1)[-1]
     raw = RAW.read_raw_records(spark, f"{root}/neows_browse_*.json", multiline=False)
-    latest = RAW.latest_snapshot_records(raw)
-    return latest.select(F.col("id").alias(C.ID), "_snapshot")
+    named = raw.select(RAW.snapshot_of(raw).alias("s"), "id")
+    return named.groupBy("s").agg(F.count("id").cast("bigint").alias("n_records")).select(
+        F.regexp_extract("s", r"neows_browse_(.*)\.json", 1).alias("snapshot"), "n_records", (F.col("s") == newest).alias("is_latest"))
 
 
-@query("landing_stream")
+@query("landing_stream", with_flat(f"SELECT {_FLAT_SELECT} FROM flat WHERE {C.TARGET} IS NOT NULL"))
 def q_landing_stream(spark, sf_dir):
     """2.12: two snapshots land one after the other; the stream processes
     each as it arrives and keeps one row per id across both."""

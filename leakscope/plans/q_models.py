@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from leakscope import constants as C
 from leakscope.operators import models as MD
 from leakscope.operators import preprocess as PP
-from leakscope.operators.features import FEATURE_SETS
+from leakscope.operators.features import FEATURE_SETS, checkpoint_with_lineage
 from leakscope.operators.split import split_table
 from leakscope.plans.q_ingest import cleaned_derived
 from leakscope.plans.q_metrics import SPLIT_CTES
@@ -37,9 +37,9 @@ def modelling_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean derived rows with is_test and fold: built once per run and
     input, checkpointed, reused by every model query."""
     def build():
-        d = materialize(cleaned_derived(spark, sf_dir).drop("_ordinal"))
+        d = checkpoint_with_lineage(cleaned_derived(spark, sf_dir).drop("_ordinal"))
         sp = split_table(d.select(C.ID, C.TARGET))
-        return materialize(d.join(sp.drop(C.TARGET), C.ID, "inner"))
+        return checkpoint_with_lineage(d.join(sp.drop(C.TARGET), C.ID, "inner"))
     return run_table(spark, ("modelling_frame", *input_state(spark, sf_dir)), build)
 
 

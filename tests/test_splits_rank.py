@@ -119,3 +119,27 @@ def test_order_stats_narrowing_path(spark):
     single = exact_order_stats(df, "v", [0, 2750, 5499], buckets=4)
     s = np.sort(vals)
     assert single == {0: s[0], 2750: s[2750], 5499: s[5499]}
+
+
+def test_order_stats_with_one_heavy_value_never_sort_more_than_allowed(spark, monkeypatch):
+    from leakscope.operators import rank as R
+    rows = [(7.0,)] * 9_900 + [(float(i) / 100,) for i in range(100)] + [(100.0 + i,) for i in range(100)]
+    df = spark.createDataFrame(rows, "v double")
+    largest = []
+    seen = R.grouped_order_stats
+
+    def counted(vals, *a, **k):
+        orig = type(vals).join
+
+        def join(self, other, *b, **c):
+            out = orig(self, other, *b, **c)
+            if "_local" in getattr(other, "columns", []):
+                largest.extend(r["n"] for r in self.groupBy("_rid").agg(F.count(F.lit(1)).alias("n")).collect())
+            return out
+        monkeypatch.setattr(type(vals), "join", join)
+        return seen(vals, *a, **k)
+    monkeypatch.setattr(R, "grouped_order_stats", counted)
+    want = sorted(r[0] for r in rows)
+    ranks = [0, 50, 99, 100, 5_000, 9_999, 10_000, 10_099]
+    assert R.exact_order_stats(df, "v", ranks, buckets=4, max_rows=30) == {r: want[r] for r in ranks}
+    assert largest and all(n <= 30 for n in largest)
