@@ -20,11 +20,11 @@ from . import (
     url_filter,
 )
 from .common import documents
+from .sql import SQL  # noqa: F401
 
 #: For the query only; a run on real data takes its own secret.
 PII_KEY = "query key"
 QUERIES: dict = {}
-SQL: dict[str, str] = {}
 
 
 def query(fn):
