@@ -140,23 +140,6 @@ LABEL_TRUE = "potentially_hazardous"
 LABEL_FALSE = "not_hazardous"
 OUTCOMES = ["true_positive", "true_negative", "false_positive", "false_negative"]
 
-# --- fixed values: artifact files per experiment and model -------------------
-ARTIFACT_FILES = [
-    "metadata.json",
-    "cv_metrics.json",
-    "fold_metrics.json",
-    "test_metrics.json",
-    "confusion_matrix.json",
-    "roc_curve.json",
-    "pr_curve.json",
-    "threshold_analysis.json",
-    "calibration.json",
-    "error_analysis.json",
-    "feature_importance.json",
-    "predictions.csv",
-    "model.joblib",
-]
-
 # --- fixed values: anomaly detector defaults ---------------------------------
 ISOLATION_TREES = 100
 ISOLATION_SAMPLE = 256

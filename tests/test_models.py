@@ -2,15 +2,19 @@
 attributions, outlier scores, registry), on a synthetic catalogue built
 from spark.range with hash uniforms."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from leakscope import constants as C
 from leakscope.operators import metrics as M
 from leakscope.operators import models as MD
-from leakscope.operators.features import FEATURE_SETS, add_derived_features
+from leakscope.operators.features import (
+    FEATURE_SETS, LeakageError, add_derived_features, as_sources, checkpoint_with_lineage)
 from leakscope.operators.preprocess import AuditPreprocessor, fit_medians
 from leakscope.operators.split import split_table
+from leakscope.plans import experiment as EX
 from leakscope.session import materialize
 
 
@@ -167,3 +171,35 @@ def test_registry_roundtrip_and_batch_predict(spark, mf, tmp_path):
     assert partial.count() == rows.count()
     with pytest.raises(Exception):
         EX.load_model(root, "nope", "v0")
+
+
+def checked_frame(spark):
+    clean = as_sources(materialize(synthetic(spark, 300).select(*C.FLAT_COLUMNS)))
+    split = split_table(clean.select(C.ID, C.TARGET)).drop(C.TARGET)
+    return checkpoint_with_lineage(add_derived_features(clean).join(split, C.ID))
+
+
+def test_run_one_writes_every_artifact(spark, tmp_path):
+    mf = checked_frame(spark)
+    settings = [{"n_estimators": 3, "max_depth": 2}, {"n_estimators": 4, "max_depth": 3}]
+    EX.run_one(spark, mf, str(tmp_path), "leakage_aware", "random_forest", settings={"random_forest": settings}, permutation_repeats=2)
+    for name in EX.ARTIFACT_TABLES:
+        assert EX.read_artifact(spark, str(tmp_path), name).count() > 0, name
+    meta = EX.read_artifact(spark, str(tmp_path), "metadata").first()
+    assert meta["train_rows"] + meta["test_rows"] == mf.count()
+    assert len(json.loads(meta["search_results"])) == 2
+    summary = EX.run_summary(spark, str(tmp_path)).collect()
+    assert [(r["experiment"], r["model"]) for r in summary] == [("leakage_aware", "random_forest")]
+    with pytest.raises(LeakageError):
+        bad = checkpoint_with_lineage(mf.withColumn("eccentricity", F.col("moid_au") * 2))
+        EX.run_one(spark, bad, str(tmp_path), "leakage_aware", "dummy_most_frequent")
+
+
+def test_run_all_stacks_combinations_and_replaces_only_its_own(spark, tmp_path):
+    mf = checked_frame(spark)
+    models = ["dummy_most_frequent", "logistic_regression"]
+    options = {"settings": {"logistic_regression": [{"C": 1.0, "max_iter": 5}]}, "permutation_repeats": 0}
+    out = EX.run_all(spark, mf, str(tmp_path), ["original", "orbital_only"], models, **options)
+    assert out.count() == 4
+    EX.run_one(spark, mf, str(tmp_path), "original", "dummy_most_frequent", permutation_repeats=0)
+    assert EX.run_summary(spark, str(tmp_path)).count() == 4
