@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from leakscope import constants as C
 
 # Text the Python float() parser rejects but Spark's cast accepts: a trailing
-# type suffix such as "1.5d" / "2f" / "3L" right after a digit or dot. Python
-# accepts "1_000", Spark does not; both are mapped to null so the two parsers
-# agree. Checked with character tests, not a regex (the parse is hot).
+# type suffix such as "1.5d" / "2f" / "3L" right after a digit or dot: null.
+# Checked with character tests, not a regex (the parse is hot). Single
+# underscores between digits are allowed, as in "1_000": taken out where the
+# text has any; a text with other underscores is null.
 _SUFFIXES = ["d", "f", "l"]
 _DIGITS = [str(i) for i in range(10)] + ["."]
 
@@ -21,6 +22,7 @@ def safe_double(c: Column | str) -> Column:
     col = F.col(c) if isinstance(c, str) else c
     text = F.trim(col.cast("string"))
     suffixed = F.lower(F.substring(text, -1, 1)).isin(_SUFFIXES) & F.substring(text, -2, 1).isin(_DIGITS)
+    text = F.when(text.contains("_"), F.regexp_replace(text, "(?<=[0-9])_(?=[0-9])", "")).otherwise(text)
     rejected = suffixed | text.contains("_")
     parsed = F.when(~rejected, text.try_cast("double"))
     return F.when(F.isnan(parsed), F.lit(None).cast("double")).otherwise(parsed)

@@ -76,12 +76,12 @@ def test_equal_distances_first_wins_and_null_distance_skipped(spark, tmp_path):
 
 
 def test_safe_double_matches_python_float(spark):
-    cases = [" 12.5 ", "inf", "-inf", "nan", "1e3", "", "0x10", "abc", None, "1.5d", "1_000", "+7"]
+    cases = [" 12.5 ", "inf", "-inf", "nan", "1e3", "", "0x10", "abc", None, "1.5d", "1_000", "1__0", "_1", "1_", "+7"]
     df = spark.createDataFrame([(c,) for c in cases], "t STRING")
     got = [r[0] for r in df.select(safe_double("t")).collect()]
     for c, g in zip(cases, got):
         try:
-            want = float(c) if c is not None and "_" not in c else None
+            want = float(c) if c is not None else None
         except ValueError:
             want = None
         if want is not None and math.isnan(want):
