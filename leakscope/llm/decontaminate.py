@@ -11,7 +11,9 @@
    leaked many times keeps its seeds, as all its n-grams are common alike.
 4. Around each seed's diagonal the document's words are cut out, a little more
    than the item is long, and aligned to the item (match 1, mismatch and gap
-   -0.5). The score is the alignment's share of the perfect score.
+   -0.5). The score is the alignment's share of the perfect score. An edited
+   word costs 1.5 at most, so copies with a similarity of s or more, that is
+   with edits in a share of 1 - s of the item's words, score 1 - 1.5 (1 - s).
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from leakscope.session import materialize
 
 from .common import NO_ID, Hashes, fresh, mixed
 
-NGRAM, THRESHOLD, RARE = 5, 0.8, 10.0
+NGRAM, SIMILARITY, RARE = 5, 0.8, 10.0
 BLOOM_BITS, PROBES = 1 << 23, 4
 MATCH, MISS, GAP = 1.0, -0.5, -0.5
 WORDS = re.compile(r"\w+")
@@ -162,11 +164,16 @@ def bloom_of(grams: DataFrame, bits: int) -> bytes:
     return out.tobytes()
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM, threshold: float = THRESHOLD,
+def least_score(similarity: float) -> float:
+    return 1 - (MATCH - min(MISS, GAP)) * (1 - similarity)
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM, similarity: float = SIMILARITY,
                        rare: float = RARE, bloom_bits: int = BLOOM_BITS, id_col: str = "doc_id", text_col: str = "text",
                        item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, score, stop): a row per document and item that it holds
-    with a score of ``threshold`` or more; ``stop`` is the word after the match.
+    with a similarity of ``similarity`` or more by its score; ``stop`` is the word
+    after the match.
 
     Items with equal words share their matches: each is given. Null or empty
     texts hold nothing; items under ``ngram`` words, null ones too, are found
@@ -198,7 +205,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM
     texts = distinct.select(F.col("item").alias("titem"), "words")
     scored = (contexts.join(texts, contexts["item"] == texts["titem"]).select("doc", "item", "start", "context", "words")
               .mapInArrow(align, "doc long, item long, score double, stop long")
-              .where(F.col("score") >= threshold)
+              .where(F.col("score") >= least_score(similarity) - 1e-9)
               .groupBy("doc", "item").agg(F.max(F.struct("score", "stop")).alias("best")))
     return scored.join(items.select("item_id", F.col("item").alias("iitem")), F.col("item") == F.col("iitem")).select(
         F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "item_id", "best.score", "best.stop")
