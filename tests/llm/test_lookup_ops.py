@@ -61,7 +61,7 @@ def test_decontamination_query_finds_what_whole_alignment_finds(spark):
     items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()}
     docs = dict(texts(real(spark)))
     want = {(d, i) for d, t in docs.items() for i, x in items.items()
-            if len(decontaminate.words_of(x)) >= 5 and plain_score(x, t) >= 0.8}
+            if len(decontaminate.words_of(x)) >= 5 and plain_score(x, t) >= 0.7 - 1e-9}
     got = {(r["doc_id"], r["item_id"]) for r in QUERIES["op1_decontamination"](spark, DIR).collect()}
     assert got == want
 
@@ -74,7 +74,8 @@ def leaky(spark):
         words = say(30) if i else ["the", "of", "and", "to", "in", "a"] * 5
         items.append((i, " ".join(words)))
         edited = list(words)
-        edited[7], edited[15] = "changed", "also"
+        edited[3], edited[9], edited[15] = "changed", "also", "here"
+        edited[27:27] = ["put", "in"]
         del edited[22]
         for k, (copy, leaks) in enumerate((([*words], True), (edited, True), (words[:12], False))):
             doc = 100 * i + k
