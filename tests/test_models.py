@@ -203,3 +203,34 @@ def test_run_all_stacks_combinations_and_replaces_only_its_own(spark, tmp_path):
     assert out.count() == 4
     EX.run_one(spark, mf, str(tmp_path), "original", "dummy_most_frequent", permutation_repeats=0)
     assert EX.run_summary(spark, str(tmp_path)).count() == 4
+
+
+def test_leaf_values_are_the_shapley_values_of_the_path_dependent_game():
+    import itertools
+    import math
+
+    import numpy as np
+    from leakscope.operators.attribution import expected_value, leaf_paths, leaf_shap
+    # a split on feature 0 that comes back below a split on feature 1
+    tree = {"left": np.array([1, 3, -1, 5, -1, -1, -1]), "right": np.array([2, 4, -1, 6, -1, -1, -1]),
+            "feature": np.array([0, 1, -1, 0, -1, -1, -1]), "threshold": np.array([0.5, 0.3, 0, 0.2, 0, 0, 0]),
+            "value": np.array([0, 0, 0.9, 0, 0.4, 0.1, 0.6]), "cover": np.array([100.0, 60, 40, 45, 15, 20, 25])}
+
+    def game(x, known, node=0):
+        if tree["left"][node] < 0:
+            return tree["value"][node]
+        a, b = tree["left"][node], tree["right"][node]
+        if tree["feature"][node] in known:
+            return game(x, known, a if x[tree["feature"][node]] <= tree["threshold"][node] else b)
+        return (tree["cover"][a] * game(x, known, a) + tree["cover"][b] * game(x, known, b)) / tree["cover"][node]
+
+    X = np.array([[0.1, 0.1, 5], [0.3, 0.1, 5], [0.4, 0.9, 5], [0.8, 0.2, 5]])
+    phi = np.zeros(X.shape)
+    pred = sum(leaf_shap(X, leaf, phi) for leaf in leaf_paths(tree))
+    for x, got, p in zip(X, phi, pred):
+        assert abs(p - game(x, {0, 1, 2})) < 1e-12 and abs(expected_value(tree) + got.sum() - p) < 1e-12
+        for j in range(3):
+            rest = [i for i in range(3) if i != j]
+            want = sum(math.factorial(len(s)) * math.factorial(2 - len(s)) / 6 * (game(x, {*s, j}) - game(x, set(s)))
+                       for n in range(3) for s in itertools.combinations(rest, n))
+            assert abs(got[j] - want) < 1e-12
