@@ -79,6 +79,13 @@ DERIVED_DEFINITIONS = [
     ("log_orbital_period_days", "log1p(orbital_period_days)",
      ["orbital_period_days"], "log(1 + days)"),
 ]
+# derived feature -> why it is derived
+DERIVED_RATIONALE = {
+    "diameter_km_mean": "one point for a range that comes from an assumed albedo",
+    "log_closest_miss_distance_km": "distances are right-skewed over many orders of magnitude",
+    "log_closest_relative_velocity_km_s": "velocities are right-skewed",
+    "log_orbital_period_days": "periods run from months to centuries",
+}
 DERIVED_NUMERIC = [d[0] for d in DERIVED_DEFINITIONS]
 ALL_NUMERIC = PASSTHROUGH_NUMERIC + DERIVED_NUMERIC
 

@@ -15,10 +15,8 @@ import random
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.tuning import CrossValidator
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -160,33 +158,25 @@ def search_settings(model_name: str, n_iter: int = C.N_ITER, seed: int = C.SEED,
 
 
 def random_search(train: DataFrame, fs: FeatureSet, model_name: str, settings: list[dict], fold_col: str = "fold",
-                  seed: int = C.SEED, parallelism: int = 2, weighted: bool = True):
-    """Cross-validated F1 of the positive class for each setting, the
-    whole pipeline refitted per fold; refit of the best on all training rows.
-    Returns (best PipelineModel, best settings, result rows)."""
-    tf = training_frame(train)
-    n = tf.count()
-    if len(settings) <= 1:
-        est = pipeline(fs, model_name, settings[0] if settings else {}, seed, n, weighted)
-        return est.fit(tf), (settings[0] if settings else {}), []
-    # one estimator per setting; CrossValidator with a pipeline-of-pipelines
-    # is avoided: each setting is its own Pipeline, evaluated on the same folds
-    evaluator = MulticlassClassificationEvaluator(labelCol=LABEL, predictionCol="prediction",
-                                                  metricName="fMeasureByLabel", metricLabel=1.0)
+                  seed: int = C.SEED, weighted: bool = True):
+    """Cross-validated F1 of the positive class for each setting, the whole
+    pipeline, its class weights included, refitted per fold; refit of the best on
+    all training rows. Returns (best PipelineModel, best settings, result rows).
+    ``plans.experiment.tuned`` does the same on shared, preprocessed folds."""
+    from leakscope.operators.metrics import confusion, metrics_from_counts
     results = []
-    k = tf.agg(F.max(fold_col)).first()[0]
-    folded = tf.withColumn("_fold0", (F.col(fold_col) - 1).cast("int"))
-    for i, s in enumerate(settings):
-        est = pipeline(fs, model_name, s, seed, n * (k - 1) / k, weighted)
-        cv = CrossValidator(estimator=est, estimatorParamMaps=[{}], evaluator=evaluator, foldCol="_fold0",
-                            numFolds=int(k), parallelism=parallelism, seed=seed)
-        m = cv.fit(folded)
-        mean = float(m.avgMetrics[0])
-        std = float(m.stdMetrics[0]) if getattr(m, "stdMetrics", None) else 0.0
-        results.append({"setting": i, "params": s, "mean_test_score": mean, "std_test_score": std})
-    best = max(results, key=lambda r: (r["mean_test_score"], -r["setting"]))
-    model = pipeline(fs, model_name, best["params"], seed, n, weighted).fit(tf)
-    return model, best["params"], results
+    if len(settings) > 1:
+        scored = None
+        for i, s in enumerate(settings):
+            part = oof_predictions(train, fs, model_name, s, fold_col, seed, weighted).withColumn("setting", F.lit(i))
+            scored = part if scored is None else scored.unionByName(part)
+        f1 = metrics_from_counts(confusion(scored, group_cols=["setting", fold_col])).groupBy("setting").agg(
+            F.avg("f1").alias("mean"), F.stddev_pop("f1").alias("std")).orderBy("setting").collect()
+        results = [{"setting": r["setting"], "params": settings[r["setting"]], "mean_test_score": r["mean"],
+                    "std_test_score": r["std"]} for r in f1]
+    best = max(results, key=lambda r: (r["mean_test_score"], -r["setting"]))["params"] if results else (settings or [{}])[0]
+    tf = training_frame(train)
+    return pipeline(fs, model_name, best, seed, tf.count(), weighted).fit(tf), best, results
 
 
 def oof_predictions(train: DataFrame, fs: FeatureSet, model_name: str, params: dict, fold_col: str = "fold",

@@ -269,12 +269,14 @@ def audit_rows(spark: SparkSession) -> DataFrame:
     retained = (mem.filter(F.col("experiment") != "original").select("feature").distinct()
                 .join(F.broadcast(abf), "feature", "left_anti").withColumn("category", F.lit("D")))
     rows = abf.unionByName(retained)
-    units = spark.createDataFrame([(d[0], d[3]) for d in C.DERIVED_DEFINITIONS], "feature STRING, derived_unit STRING")
+    units = spark.createDataFrame(
+        [(d[0], d[3], d[1], ", ".join(d[2]), C.DERIVED_RATIONALE[d[0]]) for d in C.DERIVED_DEFINITIONS],
+        "feature STRING, derived_unit STRING, formula STRING, source_fields STRING, rationale STRING")
     used = mem.groupBy("feature").pivot("experiment", C.EXPERIMENTS).agg(F.count(F.lit(1)))
     out = rows.join(F.broadcast(units), "feature", "left").join(F.broadcast(used), "feature", "left")
     return out.select(
         "feature", "category",
-        F.coalesce(F.col("derived_unit"), unit_from_name("feature")).alias("unit"),
+        F.coalesce(F.col("derived_unit"), unit_from_name("feature")).alias("unit"), "formula", "source_fields", "rationale",
         *[(F.coalesce(F.col(k), F.lit(0)) > 0).alias(f"used_{k}") for k in C.EXPERIMENTS],
     )
 
@@ -293,20 +295,22 @@ def _audit_ctes() -> str:
     abf = ", ".join([f"('{f}', 'A')" for f in C.CATEGORY_A_LABEL_DEFINING]
                     + [f"('{f}', 'B')" for f in C.CATEGORY_B_LABEL_DERIVED]
                     + [f"('{f}', 'F')" for f in C.CATEGORY_F_EPOCH_DEPENDENT])
-    units = ", ".join(f"('{d[0]}', '{d[3]}')" for d in C.DERIVED_DEFINITIONS)
+    units = ", ".join(f"('{d[0]}', '{d[3]}', '{d[1]}', '{', '.join(d[2])}', '{C.DERIVED_RATIONALE[d[0]]}')"
+                      for d in C.DERIVED_DEFINITIONS)
     used = ", ".join(
         f"count(*) FILTER (WHERE experiment = '{k}') > 0 AS used_{k}" for k in C.EXPERIMENTS)
     flags = ", ".join(f"COALESCE(x.used_{k}, false) AS used_{k}" for k in C.EXPERIMENTS)
     return f""", {_membership_sql()}, prof AS ({_profile_sql()}),
 abf(feature, category) AS (VALUES {abf}),
-units(feature, derived_unit) AS (VALUES {units}),
+units(feature, derived_unit, formula, source_fields, rationale) AS (VALUES {units}),
 arows AS (SELECT feature, category FROM abf
           UNION ALL
           SELECT feature, 'D' FROM (SELECT DISTINCT feature FROM membership WHERE experiment <> 'original') r
           WHERE feature NOT IN (SELECT feature FROM abf)),
 used AS (SELECT feature, {used} FROM membership GROUP BY feature),
 audit AS (
-  SELECT r.feature, r.category, COALESCE(u.derived_unit, {_unit_sql('r.feature')}) AS unit, {flags}, p.n_nonnull
+  SELECT r.feature, r.category, COALESCE(u.derived_unit, {_unit_sql('r.feature')}) AS unit, formula, source_fields, rationale,
+         {flags}, p.n_nonnull
   FROM arows r LEFT JOIN units u ON r.feature = u.feature LEFT JOIN used x ON r.feature = x.feature
   LEFT JOIN prof p ON r.feature = p.feature)
 """

@@ -175,17 +175,15 @@ def q_gbt(spark, sf_dir):
 
 
 # --- M10 / W6 ------------------------------------------------------------------------
-SEARCH_SPACE = {"C": [0.1, 1.0], "max_iter": [50]}
-
-
 def search_results(spark, sf_dir) -> DataFrame:
     return run_table(spark, ("search_results", *input_state(spark, sf_dir)), lambda: _search_results(spark, sf_dir))
 
 
 def _search_results(spark, sf_dir) -> DataFrame:
-    mf = modelling_frame(spark, sf_dir)
-    settings = MD.search_settings("logistic_regression", space=SEARCH_SPACE)
-    _, best, rows = MD.random_search(train_rows(mf), FEATURE_SETS[FS_KEY], "logistic_regression", settings)
+    """The whole space of the logistic regression on shared, preprocessed folds."""
+    from leakscope.plans.experiment import Folds, tuned
+    settings = [{**s, "max_iter": 100} for s in MD.search_settings("logistic_regression")]
+    _, best, rows, _ = tuned(Folds(modelling_frame(spark, sf_dir), FEATURE_SETS[FS_KEY]), "logistic_regression", settings)
     return spark.createDataFrame(
         [(r["setting"], str(r["params"]), r["mean_test_score"], r["std_test_score"]) for r in rows],
         "setting INT, params STRING, mean_test_score DOUBLE, std_test_score DOUBLE")
