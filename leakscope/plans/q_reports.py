@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 from leakscope import constants as C
 from leakscope.functions.scalar import strip_prefix
 from leakscope.plans import experiment as EX
-from leakscope.plans.q_ingest import cleaned_derived
-from leakscope.plans.q_models import QUICK, modelling_frame
+from leakscope.plans.q_ingest import cleaned_derived, q_clean_report
+from leakscope.plans.q_models import QUICK, anomaly_table, modelling_frame
 from leakscope.plans.q_metrics import PROFILE_FEATURES, split_scored, with_split
-from leakscope.plans.registry import normalise, query, round_half_up
+from leakscope.plans.registry import ORACLE, normalise, query, round_half_up
 from leakscope.plans.sql_base import with_flat
 from leakscope.session import input_state, materialize, run_table, scratch_path
 
@@ -368,6 +368,23 @@ def q_repro_record(spark, sf_dir):
         F.lit(pyspark.__version__).alias("session_spark"), F.count(F.lit(1)).over(Window.partitionBy("random_seed")).alias("n_executed"))
 
 
+# --- S6 / S10 sinks -------------------------------------------------------------------------
+@query("validation_report", ORACLE["clean_report"])
+def q_validation_report(spark, sf_dir):
+    """The cleaning report, written beside the run's tables and read again."""
+    path = scratch_path(spark, f"reports/{uuid.uuid4().hex}/validation_report")
+    q_clean_report(spark, sf_dir).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@query("anomaly_sink")
+def q_anomaly_sink(spark, sf_dir):
+    """The anomaly scores as a Parquet table."""
+    path = scratch_path(spark, f"reports/{uuid.uuid4().hex}/anomaly_scores")
+    anomaly_table(spark, sf_dir).write.parquet(path)
+    return normalise(spark.read.parquet(path))
+
+
 # --- 2.14 label correlation ----------------------------------------------------------------
 CORR_FEATURES = list(C.PHYSICAL_KINEMATIC_NUMERIC)
 
