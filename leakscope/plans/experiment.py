@@ -147,9 +147,11 @@ def tuned(folds: Folds, model_name: str, settings: list[dict], seed: int = C.SEE
 
 def run_grid(spark: SparkSession, mf: DataFrame, root: str, experiments: list[str], models: list[str],
              settings: dict | None = None, seed: int = C.SEED, n_iter: int = C.N_ITER, shap_rows: int | None = None,
-             permutation_repeats: int = 20, dataset_path: str | None = None, provenance: dict | None = None) -> dict:
+             permutation_repeats: int = 20, dataset_path: str | None = None, provenance: dict | None = None,
+             prepared: dict | None = None) -> dict:
     """Tune, score and explain each combination, then write all artifacts
-    in one grouped pass. Returns {(experiment, model): fitted pipeline}."""
+    in one grouped pass. ``prepared`` may hold ``Folds`` of ``mf`` by experiment.
+    Returns {(experiment, model): fitted pipeline}."""
     from leakscope.operators.attribution import global_mean_abs, permutation_importance, tree_attributions
     from leakscope.operators.clean import verify_grain
     from leakscope.operators.split import fixed_sample
@@ -159,7 +161,7 @@ def run_grid(spark: SparkSession, mf: DataFrame, root: str, experiments: list[st
     for e in experiments:
         fs = get_feature_set(e)
         assert_no_lineage_leakage(mf, fs)
-        folds = Folds(mf, fs)
+        folds = (prepared or {}).get(e) or Folds(mf, fs)
         for m in models:
             own = (settings or {}).get(m) or MD.search_settings(m, n_iter, seed)
             model, best, search, oof = tuned(folds, m, own, seed)

@@ -175,15 +175,22 @@ def q_gbt(spark, sf_dir):
 
 
 # --- M10 / W6 ------------------------------------------------------------------------
+def folds(spark, sf_dir):
+    """The preprocessed folds of the leakage-aware set, made once per run and input."""
+    from leakscope.plans.experiment import Folds
+    return run_table(spark, ("folds", *input_state(spark, sf_dir)),
+                     lambda: Folds(modelling_frame(spark, sf_dir), FEATURE_SETS[FS_KEY]))
+
+
 def search_results(spark, sf_dir) -> DataFrame:
     return run_table(spark, ("search_results", *input_state(spark, sf_dir)), lambda: _search_results(spark, sf_dir))
 
 
 def _search_results(spark, sf_dir) -> DataFrame:
     """The whole space of the logistic regression on shared, preprocessed folds."""
-    from leakscope.plans.experiment import Folds, tuned
+    from leakscope.plans.experiment import tuned
     settings = [{**s, "max_iter": 100} for s in MD.search_settings("logistic_regression")]
-    _, best, rows, _ = tuned(Folds(modelling_frame(spark, sf_dir), FEATURE_SETS[FS_KEY]), "logistic_regression", settings)
+    _, best, rows, _ = tuned(folds(spark, sf_dir), "logistic_regression", settings)
     return spark.createDataFrame(
         [(r["setting"], str(r["params"]), r["mean_test_score"], r["std_test_score"]) for r in rows],
         "setting INT, params STRING, mean_test_score DOUBLE, std_test_score DOUBLE")

@@ -18,7 +18,7 @@ from leakscope import constants as C
 from leakscope.functions.scalar import strip_prefix
 from leakscope.plans import experiment as EX
 from leakscope.plans.q_ingest import cleaned_derived, q_clean_report
-from leakscope.plans.q_models import QUICK, anomaly_table, modelling_frame
+from leakscope.plans.q_models import QUICK, anomaly_table, folds, modelling_frame
 from leakscope.plans.q_metrics import PROFILE_FEATURES, split_scored, with_split
 from leakscope.plans.registry import ORACLE, normalise, query, round_half_up
 from leakscope.plans.sql_base import with_flat
@@ -35,7 +35,7 @@ def one_root(spark: SparkSession, sf_dir: str) -> str:
     def build():
         root = scratch_path(spark, f"runs/{uuid.uuid4().hex}")
         EX.run_one(spark, modelling_frame(spark, sf_dir), root, *ONE, settings={ONE[1]: [QUICK[ONE[1]]]},
-                   dataset_path=sf_dir)
+                   dataset_path=sf_dir, prepared={ONE[0]: folds(spark, sf_dir)})
         return root
     return run_table(spark, ("one_root", *input_state(spark, sf_dir)), build)
 
