@@ -53,9 +53,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path for a written intermediate table, inside the shared checkpoint folder."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/leakscope/{name}"
+    """A path for a written intermediate table, inside the shared checkpoint
+    folder. The folder is the application's own and goes when the driver ends."""
+    own = f"{ensure_checkpoint_dir(spark).rstrip('/')}/leakscope"
+    at = spark._jvm.org.apache.hadoop.fs.Path(own)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+    return f"{own}/{name}"
 
 
 def materialize(df):
