@@ -99,22 +99,18 @@ def split_table(df: DataFrame, seed: int = C.SEED, test_size: float = C.TEST_SIZ
 
 
 def disjoint_check(split: DataFrame, n_folds: int = C.N_FOLDS, id_col: str = C.ID) -> DataFrame:
-    """Per fold, train ids semi-joined to validation ids must be empty;
-    also the holdout against all training rows (fold 0)."""
-    train = split.filter(~F.col("is_test"))
-    parts = []
-    for k in range(1, n_folds + 1):
-        tr = train.filter(F.col("fold") != k).select(id_col)
-        va = train.filter(F.col("fold") == k).select(id_col)
-        parts.append(tr.join(va, id_col, "left_semi").agg(F.count(F.lit(1)).alias("n_overlap"))
-                     .select(F.lit(k).alias("fold"), "n_overlap"))
-    te = split.filter(F.col("is_test")).select(id_col)
-    parts.append(train.select(id_col).join(te, id_col, "left_semi").agg(F.count(F.lit(1)).alias("n_overlap"))
-                 .select(F.lit(0).alias("fold"), "n_overlap"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Per fold, the training rows whose id is also in the fold's validation
+    rows (none, if the folds are disjoint); fold 0 holds the holdout against all
+    training rows. One aggregate per id gives all of them."""
+    is_train = ~F.col("is_test")
+    per_id = split.groupBy(id_col).agg(
+        F.count_if(is_train).alias("n"), F.count_if(F.col("is_test")).alias("c0"),
+        *[F.count_if(is_train & (F.col("fold") == k)).alias(f"c{k}") for k in range(1, n_folds + 1)])
+    others = lambda k: F.col("n") - (F.col(f"c{k}") if k else F.lit(0))
+    sums = per_id.agg(*[F.coalesce(F.sum(F.when(F.col(f"c{k}") > 0, others(k))), F.lit(0)).alias(f"s{k}")
+                        for k in range(n_folds + 1)])
+    return sums.select(F.explode(F.array(*[
+        F.struct(F.lit(k).alias("fold"), F.col(f"s{k}").alias("n_overlap")) for k in range(n_folds + 1)])).alias("r")).select("r.*")
 
 
 def fixed_sample(df: DataFrame, n: int, seed: int = C.SEED, id_col: str = C.ID) -> DataFrame:

@@ -143,3 +143,11 @@ def test_order_stats_with_one_heavy_value_never_sort_more_than_allowed(spark, mo
     ranks = [0, 50, 99, 100, 5_000, 9_999, 10_000, 10_099]
     assert R.exact_order_stats(df, "v", ranks, buckets=4, max_rows=30) == {r: want[r] for r in ranks}
     assert largest and all(n <= 30 for n in largest)
+
+
+def test_disjoint_check_counts_shared_ids(spark):
+    from leakscope.operators import split as S
+    rows = [("a", False, 1), ("a", False, 2), ("a", False, 2), ("b", True, None), ("b", False, 3), ("c", False, 1)]
+    got = {r["fold"]: r["n_overlap"] for r in S.disjoint_check(
+        spark.createDataFrame(rows, "neo_id string, is_test boolean, fold int")).collect()}
+    assert got == {0: 1, 1: 2, 2: 1, 3: 0, 4: 0, 5: 0}
