@@ -1,14 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 1. Items are reduced to their lower-cased words; items of equal words are one.
    Their n-grams set bits in a Bloom filter of ``bloom_bits`` bits, whatever the
    benchmark's size; it is the only thing broadcast.
 2. One pass over the documents keeps the n-grams that pass the filter; they
    join the items' n-grams on their hash.
-3. An n-gram is a seed of an item if it is rare: found in the corpus at most
-   ``rare`` times as often as the median of the item's n-grams that are found at
-   all. A phrase far more common than the item around it is no seed; an item
-   leaked many times keeps its seeds, as all its n-grams are common alike.
+3. Every n-gram that is found is a seed, however often it is found.
 4. Around each seed's diagonal the document's words are cut out, a little more
    than the item is long, and aligned to the item (match 1, mismatch and gap
    -0.5). The score is the alignment's share of the perfect score. An edited
@@ -29,9 +26,10 @@ from leakscope.session import materialize
 
 from .common import NO_ID, Hashes, fresh, mixed
 
-NGRAM, SIMILARITY, RARE = 5, 0.8, 10.0
+NGRAM, SIMILARITY = 5, 0.8
 BLOOM_BITS, PROBES = 1 << 23, 4
 MATCH, MISS, GAP = 1.0, -0.5, -0.5
+REMEMBERED = 10_000
 WORDS = re.compile(r"\w+")
 
 
@@ -136,13 +134,21 @@ def smith_waterman(item: np.ndarray, context: np.ndarray) -> tuple[float, int]:
 
 
 def align(batches):
-    """Partition function: (doc, item, start, context, text of the item) -> (doc, item, score, stop)."""
+    """Partition function: (doc, item, start, context, text of the item) -> (doc, item, score, stop).
+    Equal contexts of an item are aligned once while they are remembered."""
+    aligned: dict = {}
     for batch in batches:
         scores, stops = [], []
         for start, context, text in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
             item, there = text.split(" "), context.split(" ")
             number = {w: i for i, w in enumerate(dict.fromkeys(item))}
-            best, end = smith_waterman(np.array([number[w] for w in item]), np.array([number.get(w, -1) for w in there]))
+            numbers = np.array([number.get(w, -1) for w in there])
+            met = text, numbers.tobytes()
+            if met not in aligned:
+                if len(aligned) >= REMEMBERED:
+                    aligned.clear()
+                aligned[met] = smith_waterman(np.array([number[w] for w in item]), numbers)
+            best, end = aligned[met]
             scores.append(best / (MATCH * len(item)))
             stops.append(start + end)
         yield rows(["doc", "item", "score", "stop"], batch.column(0), batch.column(1),
@@ -169,7 +175,7 @@ def least_score(similarity: float) -> float:
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM, similarity: float = SIMILARITY,
-                       rare: float = RARE, bloom_bits: int = BLOOM_BITS, id_col: str = "doc_id", text_col: str = "text",
+                       bloom_bits: int = BLOOM_BITS, id_col: str = "doc_id", text_col: str = "text",
                        item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, score, stop): a row per document and item that it holds
     with a similarity of ``similarity`` or more by its score; ``stop`` is the word
@@ -190,11 +196,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_col).alias("text"))
     hits = materialize(keyed.mapInArrow(find_grams(ngram, bloom_bits, bloom), "doc long, p long, gram long"))
 
-    often = hits.groupBy(F.col("gram").alias("g")).agg(F.count("*").alias("often"))
-    met = grams.join(often, grams["gram"] == often["g"])
-    median = met.groupBy(F.col("item").alias("mitem")).agg(F.percentile("often", F.lit(0.5)).alias("median"))
-    seeds = (met.join(median, met["item"] == median["mitem"]).where(F.col("often") <= rare * F.col("median"))
-             .select("item", "m", "q", F.col("gram").alias("g")))
+    seeds = grams.select("item", "m", "q", F.col("gram").alias("g"))
     # Seeds of one match lie on few diagonals: one in a quarter of the item's length stands for its neighbours.
     grid = F.greatest(F.floor(F.col("m") / 4), F.lit(1))
     near = (hits.join(seeds, hits["gram"] == seeds["g"])

@@ -100,6 +100,16 @@ def test_an_item_leaked_often_keeps_its_seeds_and_a_common_phrase_is_none(spark)
     assert {(r["doc_id"], r["item_id"]) for r in got} == {(i, 1) for i in range(300)}
 
 
+def test_an_exact_copy_is_found_beside_many_edited_ones(spark):
+    words = [f"w{i}" for i in range(38)]
+    edited = [f"x{i}" if i % 6 == 5 else w for i, w in enumerate(words)]
+    docs = [(0, "before " + " ".join(words) + " after")] + [(i, f"b{i} " + " ".join(edited) + f" a{i}") for i in range(1, 41)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in decontaminate.find_contamination(df, items).collect()}
+    assert got == {i: pytest.approx(plain_score(" ".join(words), t)) for i, t in docs}
+
+
 def test_decontamination_edge_rows(spark):
     df = edge(spark)
     items = spark.createDataFrame([(1, EDGE[0][1]), (2, EDGE[0][1].upper()), (3, None), (4, ""), (5, "one"), (None, "a null id its text three")],
