@@ -1,32 +1,40 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 1. Items are reduced to their lower-cased words; items of equal words are one.
-   Their n-grams set bits in a Bloom filter of ``bloom_bits`` bits, whatever the
-   benchmark's size; it is the only thing broadcast.
+   Their n-grams (pairs of words) set bits in a Bloom filter of ``bloom_bits``
+   bits, whatever the benchmark's size; it is the only thing broadcast.
 2. One pass over the documents keeps the n-grams that pass the filter; they
    join the items' n-grams on their hash.
-3. Every n-gram that is found is a seed, however often it is found.
-4. Around each seed's diagonal the document's words are cut out, a little more
-   than the item is long, and aligned to the item (match 1, mismatch and gap
-   -0.5). The score is the alignment's share of the perfect score. An edited
-   word costs 1.5 at most, so copies with a similarity of s or more, that is
-   with edits in a share of 1 - s of the item's words, score 1 - 1.5 (1 - s).
+3. An alignment (match 1, mismatch and gap -0.5) of ``least`` of the item's m
+   words' score has matches M and errors c with M - c / 2 >= least * m. The
+   matches lie in c + 1 runs at most, so M - c - 1 >= (2 * least - 1) * m - 1 of
+   the item's pairs are found, on diagonals at most c <= 2 * (1 - least) * m
+   apart. A document with fewer of them on such diagonals can't hold the item.
+   Of an item's pairs the most frequent need not be looked up: what the rest
+   must still show is the bound less the number left out.
+4. Around the diagonals of what is left the document's words are cut out and
+   aligned to the item. The score is the alignment's share of the perfect score,
+   so what is found is what aligning every item to every document finds. An
+   edited word costs 1.5 at most, so copies with a similarity of s or more, that
+   is with edits in a share of 1 - s of the item's words, score 1 - 1.5 (1 - s).
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from leakscope.session import materialize
 
 from .common import NO_ID, Hashes, fresh, mixed
 
-NGRAM, SIMILARITY = 5, 0.8
+LEAST_WORDS, SIMILARITY = 5, 0.8
 BLOOM_BITS, PROBES = 1 << 23, 4
 MATCH, MISS, GAP = 1.0, -0.5, -0.5
 REMEMBERED = 10_000
@@ -94,16 +102,15 @@ def find_grams(n: int, bits: int, bloom):
 
 
 def cut_out(batches):
-    """Partition function: (doc, text, near [struct(item, m, d diagonal)]) -> (doc, item,
-    start, context): the words around the diagonals, united per item where they overlap."""
+    """Partition function: (doc, text, near [struct(item, m, d first diagonal, wide)]) -> (doc,
+    item, start, context): the words on the diagonals, united per item where they overlap."""
     for batch in batches:
         out = [[], [], [], []]
         for doc, text, near in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
             words = words_of(text.as_py())
             spans: dict = {}
             for x in sorted(near, key=lambda x: (x["item"], x["d"])):
-                slack = x["m"] // 2 + 1
-                a, z = max(0, x["d"] - slack), min(len(words), x["d"] + x["m"] + slack)
+                a, z = max(0, x["d"]), min(len(words), x["d"] + x["wide"] + x["m"])
                 own = spans.setdefault(x["item"], [])
                 if own and a <= own[-1][1]:
                     own[-1][1] = max(z, own[-1][1])
@@ -174,7 +181,25 @@ def least_score(similarity: float) -> float:
     return 1 - (MATCH - min(MISS, GAP)) * (1 - similarity)
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM, similarity: float = SIMILARITY,
+def seed_length(least: float, least_words: int) -> int:
+    """Two words, or one where an alignment of score ``least`` need not hold a pair of the item's."""
+    return 2 if math.ceil((2 * least - 1) * least_words - 1 - 1e-9) > 0 else 1
+
+
+def seeds_of(grams: DataFrame, hits: DataFrame, least: float, n: int) -> DataFrame:
+    """(item, m, q, g, need): the n-grams to look up, the rarest of each item, and
+    how many of them an alignment of score ``least`` shows."""
+    often = hits.groupBy(F.col("gram").alias("g")).agg(F.count("*").alias("often"))
+    rarest = Window.partitionBy("item").orderBy(F.coalesce("often", F.lit(0)), "gram", "q")
+    share = (2 * least - 1, 1) if n == 2 else (least, 0)
+    bound = F.ceil(F.col("m") * F.lit(share[0]) - F.lit(share[1] + 1e-9))
+    ranked = (grams.join(often, grams["gram"] == often["g"], "left").withColumn("nth", F.row_number().over(rarest))
+              .withColumn("out", F.floor((bound - 1) / 2)).withColumn("need", bound - F.col("out")))
+    return (ranked.where((F.col("often") > 0) & (F.col("nth") <= F.col("m") - (n - 1) - F.col("out")))
+            .select("item", "m", "q", F.col("gram").alias("g"), "need"))
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, least_words: int = LEAST_WORDS, similarity: float = SIMILARITY,
                        bloom_bits: int = BLOOM_BITS, id_col: str = "doc_id", text_col: str = "text",
                        item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, score, stop): a row per document and item that it holds
@@ -182,13 +207,15 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM
     after the match.
 
     Items with equal words share their matches: each is given. Null or empty
-    texts hold nothing; items under ``ngram`` words, null ones too, are found
+    texts hold nothing; items under ``least_words`` words, null ones too, are found
     nowhere, as they can't be told from ordinary prose. Rows that share an id
     count as one document with several texts; a null id is given back as null.
     """
+    least = least_score(similarity)
+    ngram = seed_length(least, least_words)
     norm = F.pandas_udf(normal_texts, "string")
     items = materialize(benchmark.select(F.col(item_col).alias("item_id"), norm(F.col(item_text_col)).alias("words"))
-                        .where(F.size(F.split("words", " ")) >= ngram)
+                        .where(F.size(F.split("words", " ")) >= least_words)
                         .withColumn("item", F.xxhash64("words")))
     distinct = items.groupBy("item").agg(F.min("words").alias("words"))
     grams = materialize(distinct.mapInArrow(item_grams(ngram), "item long, m long, q long, gram long"))
@@ -196,18 +223,21 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_col).alias("text"))
     hits = materialize(keyed.mapInArrow(find_grams(ngram, bloom_bits, bloom), "doc long, p long, gram long"))
 
-    seeds = grams.select("item", "m", "q", F.col("gram").alias("g"))
-    # Seeds of one match lie on few diagonals: one in a quarter of the item's length stands for its neighbours.
-    grid = F.greatest(F.floor(F.col("m") / 4), F.lit(1))
+    seeds = seeds_of(grams, hits, least, ngram)
+    # The diagonals of a match lie in one of the windows of two steps each, whatever they start with.
+    step = F.floor(F.col("m") * F.lit(2 * (1 - least)) + F.lit(1e-9)) + 1
+    at = F.floor((F.col("p") - F.col("q")) / step)
     near = (hits.join(seeds, hits["gram"] == seeds["g"])
-            .select("doc", "item", "m", (F.floor((F.col("p") - F.col("q")) / grid) * grid).alias("d")).distinct()
-            .groupBy(F.col("doc").alias("ndoc")).agg(F.collect_list(F.struct("item", "m", "d")).alias("near")))
+            .select("doc", "item", "m", "q", "need", step.alias("step"), F.explode(F.array(at - 1, at)).alias("at"))
+            .groupBy("doc", "item", "at", "m", "need", "step").agg(F.countDistinct("q").alias("n")).where("n >= need")
+            .groupBy(F.col("doc").alias("ndoc")).agg(F.collect_list(F.struct(
+                "item", "m", (F.col("at") * F.col("step")).alias("d"), (2 * F.col("step")).alias("wide"))).alias("near")))
     contexts = (keyed.join(near, keyed["doc"] == near["ndoc"]).select("doc", "text", "near")
                 .mapInArrow(cut_out, "doc long, item long, start long, context string"))
     texts = distinct.select(F.col("item").alias("titem"), "words")
     scored = (contexts.join(texts, contexts["item"] == texts["titem"]).select("doc", "item", "start", "context", "words")
               .mapInArrow(align, "doc long, item long, score double, stop long")
-              .where(F.col("score") >= least_score(similarity) - 1e-9)
+              .where(F.col("score") >= least - 1e-9)
               .groupBy("doc", "item").agg(F.max(F.struct("score", "stop")).alias("best")))
     return scored.join(items.select("item_id", F.col("item").alias("iitem")), F.col("item") == F.col("iitem")).select(
         F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "item_id", "best.score", "best.stop")

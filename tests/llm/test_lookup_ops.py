@@ -110,6 +110,23 @@ def test_an_exact_copy_is_found_beside_many_edited_ones(spark):
     assert got == {i: pytest.approx(plain_score(" ".join(words), t)) for i, t in docs}
 
 
+@pytest.mark.parametrize("kind", ["changed", "inserted", "dropped"])
+def test_evenly_edited_copies_are_found_like_by_whole_alignment(spark, kind):
+    items, docs = [], []
+    for m in (5, 6, 10, 20, 38, 60):
+        words = [f"w{m}x{i}" for i in range(m)]
+        items.append((m, " ".join(words)))
+        for every in range(1, 12):
+            edits = {"changed": lambda i, w: ["new"], "inserted": lambda i, w: [w, "new"], "dropped": lambda i, w: []}[kind]
+            copy = [x for i, w in enumerate(words) for x in (edits(i, w) if i % every == every - 1 else [w])]
+            docs.append((100 * m + every, " ".join(["left"] * 50 + copy + ["right"] * 50)))
+    want = {(d, m) for d, t in docs for m, x in items if plain_score(x, t) >= 0.7 - 1e-9}
+    assert {m for _, m in want} == {m for m, _ in items}
+    got = decontaminate.find_contamination(spark.createDataFrame(docs, "doc_id long, text string"),
+                                           spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want
+
+
 def test_decontamination_edge_rows(spark):
     df = edge(spark)
     items = spark.createDataFrame([(1, EDGE[0][1]), (2, EDGE[0][1].upper()), (3, None), (4, ""), (5, "one"), (None, "a null id its text three")],
