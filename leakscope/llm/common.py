@@ -31,6 +31,12 @@ def fresh(df: DataFrame, name: str) -> str:
     return out
 
 
+def row_print(text_col: str):
+    """A column that tells rows of one id, or of none, apart by their texts. Rows
+    of equal id and text are copies; a clash of prints matters only within an id."""
+    return F.xxhash64(F.col(text_col))
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared checkpoint folder, read again: it
     cuts the lineage like a checkpoint but compressed and by column. The table

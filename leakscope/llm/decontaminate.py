@@ -32,7 +32,7 @@ from pyspark.sql.window import Window
 
 from leakscope.session import materialize
 
-from .common import NO_ID, Hashes, fresh, mixed
+from .common import Hashes, fresh, mixed
 
 LEAST_WORDS, SIMILARITY = 5, 0.8
 BLOOM_BITS, PROBES = 1 << 23, 4
@@ -102,12 +102,12 @@ def find_grams(n: int, bits: int, bloom):
 
 
 def cut_out(batches):
-    """Partition function: (doc, text, near [struct(item, m, d first diagonal, wide)]) -> (doc,
-    item, start, context): the words on the diagonals, united per item where they overlap."""
+    """Partition function: (doc, id, text, near [struct(item, m, d first diagonal, wide)]) -> (doc,
+    id, item, start, context): the words on the diagonals, united per item where they overlap."""
     for batch in batches:
-        out = [[], [], [], []]
-        for doc, text, near in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-            words = words_of(text.as_py())
+        out = [[], [], [], [], []]
+        for doc, ident, text, near in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            words = words_of(text)
             spans: dict = {}
             for x in sorted(near, key=lambda x: (x["item"], x["d"])):
                 a, z = max(0, x["d"]), min(len(words), x["d"] + x["wide"] + x["m"])
@@ -118,9 +118,9 @@ def cut_out(batches):
                     own.append([a, z])
             for item, own in spans.items():
                 for a, z in own:
-                    for to, x in zip(out, (doc, item, a, " ".join(words[a:z]))):
+                    for to, x in zip(out, (doc, ident, item, a, " ".join(words[a:z]))):
                         to.append(x)
-        yield rows(["doc", "item", "start", "context"], *out[:3], pa.array(out[3], pa.string()))
+        yield rows(["doc", "id", "item", "start", "context"], *(pa.array(x, pa.int64()) for x in out[:4]), pa.array(out[4], pa.string()))
 
 
 def smith_waterman(item: np.ndarray, context: np.ndarray) -> tuple[float, int]:
@@ -141,12 +141,12 @@ def smith_waterman(item: np.ndarray, context: np.ndarray) -> tuple[float, int]:
 
 
 def align(batches):
-    """Partition function: (doc, item, start, context, text of the item) -> (doc, item, score, stop).
+    """Partition function: (doc, id, item, start, context, text of the item) -> (doc, id, item, score, stop).
     Equal contexts of an item are aligned once while they are remembered."""
     aligned: dict = {}
     for batch in batches:
         scores, stops = [], []
-        for start, context, text in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
+        for start, context, text in zip(*(batch.column(i).to_pylist() for i in (3, 4, 5))):
             item, there = text.split(" "), context.split(" ")
             number = {w: i for i, w in enumerate(dict.fromkeys(item))}
             numbers = np.array([number.get(w, -1) for w in there])
@@ -158,7 +158,7 @@ def align(batches):
             best, end = aligned[met]
             scores.append(best / (MATCH * len(item)))
             stops.append(start + end)
-        yield rows(["doc", "item", "score", "stop"], batch.column(0), batch.column(1),
+        yield rows(["doc", "id", "item", "score", "stop"], batch.column(0), batch.column(1), batch.column(2),
                    pa.array(scores, pa.float64()), pa.array(stops, pa.int64()))
 
 
@@ -208,9 +208,21 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, least_words: int =
 
     Items with equal words share their matches: each is given. Null or empty
     texts hold nothing; items under ``least_words`` words, null ones too, are found
-    nowhere, as they can't be told from ordinary prose. Rows that share an id
-    count as one document with several texts; a null id is given back as null.
+    nowhere, as they can't be told from ordinary prose. Rows that share an id, or
+    have none, are documents of their own unless their texts are equal, too; a
+    null id is given back as null.
     """
+    return keyed_contamination(docs, benchmark, least_words, similarity, bloom_bits, id_col, text_col, item_col, item_text_col).drop("doc")
+
+
+def doc_key(id_col: str, text_col: str):
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
+
+
+def keyed_contamination(docs: DataFrame, benchmark: DataFrame, least_words: int = LEAST_WORDS, similarity: float = SIMILARITY,
+                        bloom_bits: int = BLOOM_BITS, id_col: str = "doc_id", text_col: str = "text",
+                        item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """``find_contamination`` and doc, the ``doc_key`` of the row."""
     least = least_score(similarity)
     ngram = seed_length(least, least_words)
     norm = F.pandas_udf(normal_texts, "string")
@@ -220,8 +232,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, least_words: int =
     distinct = items.groupBy("item").agg(F.min("words").alias("words"))
     grams = materialize(distinct.mapInArrow(item_grams(ngram), "item long, m long, q long, gram long"))
     bloom = docs.sparkSession.sparkContext.broadcast(bloom_of(grams, bloom_bits))
-    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_col).alias("text"))
-    hits = materialize(keyed.mapInArrow(find_grams(ngram, bloom_bits, bloom), "doc long, p long, gram long"))
+    keyed = docs.select(doc_key(id_col, text_col).alias("doc"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    hits = materialize(keyed.select("doc", "text").mapInArrow(find_grams(ngram, bloom_bits, bloom), "doc long, p long, gram long"))
 
     seeds = seeds_of(grams, hits, least, ngram)
     # The diagonals of a match lie in one of the windows of two steps each, whatever they start with.
@@ -232,15 +244,15 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, least_words: int =
             .groupBy("doc", "item", "at", "m", "need", "step").agg(F.countDistinct("q").alias("n")).where("n >= need")
             .groupBy(F.col("doc").alias("ndoc")).agg(F.collect_list(F.struct(
                 "item", "m", (F.col("at") * F.col("step")).alias("d"), (2 * F.col("step")).alias("wide"))).alias("near")))
-    contexts = (keyed.join(near, keyed["doc"] == near["ndoc"]).select("doc", "text", "near")
-                .mapInArrow(cut_out, "doc long, item long, start long, context string"))
+    contexts = (keyed.join(near, keyed["doc"] == near["ndoc"]).select("doc", "id", "text", "near")
+                .mapInArrow(cut_out, "doc long, id long, item long, start long, context string"))
     texts = distinct.select(F.col("item").alias("titem"), "words")
-    scored = (contexts.join(texts, contexts["item"] == texts["titem"]).select("doc", "item", "start", "context", "words")
-              .mapInArrow(align, "doc long, item long, score double, stop long")
+    scored = (contexts.join(texts, contexts["item"] == texts["titem"]).select("doc", "id", "item", "start", "context", "words")
+              .mapInArrow(align, "doc long, id long, item long, score double, stop long")
               .where(F.col("score") >= least - 1e-9)
-              .groupBy("doc", "item").agg(F.max(F.struct("score", "stop")).alias("best")))
+              .groupBy("doc", "id", "item").agg(F.max(F.struct("score", "stop")).alias("best")))
     return scored.join(items.select("item_id", F.col("item").alias("iitem")), F.col("item") == F.col("iitem")).select(
-        F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "item_id", "best.score", "best.stop")
+        "doc", F.col("id").alias("doc_id"), "item_id", "best.score", "best.stop")
 
 
 def normal_texts(texts):
@@ -248,10 +260,10 @@ def normal_texts(texts):
     return pd.Series([" ".join(words_of(t)) for t in texts], dtype=object)
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                         **options) -> DataFrame:
     """The rows of ``docs`` that hold no item of the benchmark."""
     key, bad = fresh(docs, "key"), fresh(docs, "bad")
-    found = find_contamination(docs, benchmark, id_col=id_col, **options).select(
-        F.coalesce("doc_id", F.lit(NO_ID)).alias(bad)).distinct()
-    keyed = docs.withColumn(key, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)))
+    found = keyed_contamination(docs, benchmark, id_col=id_col, text_col=text_col, **options).select(F.col("doc").alias(bad)).distinct()
+    keyed = docs.withColumn(key, doc_key(id_col, text_col))
     return keyed.join(found, keyed[key] == found[bad], "left_anti").select(*docs.columns)

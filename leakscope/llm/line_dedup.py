@@ -43,9 +43,9 @@ def remove_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words
     A run is deleted where ``min_lines`` consecutive lines with at least
     ``min_words`` words together also start earlier (smaller id, or earlier in
     the same document). Lines without a word are no part of a run and stay. A
-    null text gives an empty kept_text. Rows that share an id are copies of one
-    document and do not repeat each other; null ids count as one document
-    before all others. Other columns pass through, except that columns named
+    null text gives an empty kept_text. Rows of equal id and text are copies
+    of one document and do not repeat each other; other rows that share an id,
+    or have none, are documents of their own, null ids before all others. Other columns pass through, except that columns named
     like the three results are replaced.
     """
     base = docs.drop("kept_text", "n_lines", "n_lines_removed")

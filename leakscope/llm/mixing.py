@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from leakscope.session import materialize
 
-from .common import WORD, fresh, rank_within, uniform
+from .common import WORD, fresh, rank_within, row_print, uniform
 
 WEIGHTS, MOST, SEED = (1, 2, 3), 3, "mix-1"
 
@@ -44,9 +44,14 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataF
     return table.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: str = SEED,
+def mix(docs: DataFrame, *args, **options) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, taken), a row per row of ``docs``; see ``dealt``."""
+    return dealt(docs, *args, **options).drop("print")
+
+
+def dealt(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: str = SEED,
         id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, size, source_size, target, copies, taken), a row per row of ``docs``.
+    """``mix`` and print, which tells rows of one id apart.
 
     Size is the number of words; null and empty texts have size 0 and no copy.
     A null source is a source of its own. Rows that tie, also repeated ones,
@@ -55,10 +60,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: str = SEED,
     a document are taken. The same rows and seed give the same result.
     """
     sized = materialize(docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
+        F.col(id_col).alias("doc_id"), row_print(text_col).alias("print"), F.col(source_col).alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
     targets = source_targets(sized.select("source", "size"), weights, most)
-    lined = rank_within(sized.withColumn("nulls", F.col("doc_id").isNull()), "source", ["size", "nulls", "doc_id"], "nth")
+    lined = rank_within(sized.withColumn("nulls", F.col("doc_id").isNull()), "source", ["size", "nulls", "doc_id", "print"], "nth")
     rates = targets.select(
         F.col("source").alias("tsource"), "source_size", "target",
         F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rate"),
@@ -67,20 +72,21 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: str = SEED,
     copies = F.least(crossed(F.col("nth") + 1) - crossed(F.col("nth")), F.lit(most).cast("long"))
     return (lined.join(rates, F.col("source").eqNullSafe(F.col("tsource")))
             .withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(0))
-            .select("doc_id", "source", "size", "source_size", "target", "copies",
+            .select("doc_id", "print", "source", "size", "source_size", "target", "copies",
                     (F.col("copies") * F.col("size")).alias("taken")))
 
 
 def take(docs: DataFrame, **options) -> DataFrame:
     """The mixture itself: ``docs`` with each row as often as the mix takes it,
-    numbered from 1 in ``copy`` (a column of that name is replaced). Rows that
-    share an id must be equal: the copies of all of them are dealt in turn."""
+    numbered from 1 in ``copy`` (a column of that name is replaced). Rows of equal
+    id and text must be equal: the copies of all of them are dealt in turn."""
     base = docs.drop("copy")
-    id_col = options.get("id_col", "doc_id")
-    key, n, rows = (fresh(base, x) for x in ("key", "n", "rows"))
-    copies = (mix(base, **options).groupBy(F.col("doc_id").alias(key))
+    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
+    key, row, n, rows, own = (fresh(base, x) for x in ("key", "row", "n", "rows", "own"))
+    copies = (dealt(base, **options).groupBy(F.col("doc_id").alias(key), F.col("print").alias(row))
               .agg(F.sum("copies").alias(n), F.count("*").alias(rows)).where(F.col(n) > 0))
-    joined = base.join(copies, base[id_col].eqNullSafe(F.col(key)))
-    if_repeated = joined.where(F.col(rows) > 1).dropDuplicates([id_col])
+    marked = base.withColumn(own, row_print(text_col))
+    joined = marked.join(copies, marked[id_col].eqNullSafe(F.col(key)) & (marked[own] == F.col(row)))
+    if_repeated = joined.where(F.col(rows) > 1).dropDuplicates([id_col, own])
     return (joined.where(F.col(rows) == 1).union(if_repeated)
             .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(n).cast("int")))).select(*base.columns, "copy"))

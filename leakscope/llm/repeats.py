@@ -2,8 +2,8 @@
 
 A document is a sequence of units; a window is ``size`` consecutive units with
 at least ``min_words`` words. A unit is *repeated* when it lies in a window
-whose unit sequence also starts earlier (smaller doc_id, or the same document
-at an earlier start). The search is exact and emits no pairs:
+whose unit sequence also starts earlier (smaller doc_id, then print of the text, or
+the same document at an earlier start). The search is exact and emits no pairs:
 
 1. Seeds. Winnowing picks, in each window, the ``gram``-unit piece with the
    smallest hash (the leftmost of equal ones). Equal windows pick the same
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import NO_ID, Hashes, Powers, fresh, mixed, prefix_sums, range_hashes, stored
+from .common import NO_ID, Hashes, Powers, fresh, mixed, prefix_sums, range_hashes, row_print, stored
 
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 BITS = 8  # of the packed lengths, so size <= 256
@@ -116,12 +116,21 @@ def earlier_first(key1, key2, doc, at) -> np.ndarray:
     return out
 
 
-FOUND = "key1 long, key2 long, doc long, start int, more int"
+FOUND = "key1 long, key2 long, doc long, row long, start int, more int"
 
 
-def reduced(key1, key2, doc, start, more, size):
-    """A batch of occurrences: the first of each key goes on, the others are
-    united per document to repeated ranges [start, more) under null keys."""
+def places(batch) -> tuple[np.ndarray, list[int]]:
+    """The different (doc, row) of a batch in order, and each row's place among them."""
+    own = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+    known = sorted(set(own))
+    place = {x: i for i, x in enumerate(known)}
+    return np.array(known, np.int64).reshape(-1, 2), [place[x] for x in own]
+
+
+def reduced(known, key1, key2, doc, start, more, size):
+    """A batch of occurrences, documents by their place in ``known``: the first of
+    each key goes on, the others are united per document to repeated ranges
+    [start, more) under null keys."""
     first = earlier_first(key1, key2, doc, start)
     docs, a, b = doc[~first], start[~first], start[~first] + more[~first] + size
     done: tuple[list, list, list] = ([], [], [])
@@ -133,37 +142,40 @@ def reduced(key1, key2, doc, start, more, size):
     none = sum(map(len, done[0]))
     column = lambda x, extra, kind: pa.array(np.concatenate([x[first], *extra]), kind)
     null = pa.nulls(none, pa.int64())
+    place = np.concatenate([doc[first], *done[0]]).astype(np.int64)
     return pa.RecordBatch.from_arrays([
         pa.chunked_array([pa.array(key1[first]), null]).combine_chunks(),
         pa.chunked_array([pa.array(key2[first]), null]).combine_chunks(),
-        column(doc, done[0], pa.int64()),
+        pa.array(known[place, 0]), pa.array(known[place, 1]),
         column(start, done[1], pa.int32()), column(more, done[2], pa.int32())],
-        names=["key1", "key2", "doc", "start", "more"])
+        names=["key1", "key2", "doc", "row", "start", "more"])
 
 
 def scan(split, size, gram, min_words):
-    """Partition function: (doc, text) -> the anchors of each batch, reduced."""
+    """Partition function: (doc, row, text) -> the anchors of each batch, reduced."""
     def run(batches):
         seq = Sequences(split, size, gram, min_words)
         for batch in batches:
             parts = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            known, place = places(batch)
+            for doc, text in zip(place, batch.column(2)):
                 text = text.as_py()
                 if text and seq.load(text):
                     g, s, a, n = seq.anchors()
                     parts.append((g, s, np.full(len(g), doc, np.int64), a, n))
             if parts:
-                yield reduced(*(np.concatenate(x) for x in zip(*parts)), size)
+                yield reduced(known, *(np.concatenate(x) for x in zip(*parts)), size)
     return run
 
 
 def scan_windows(split, size, gram, min_words):
-    """Partition function: (doc, text, spans) -> the windows of the spans, reduced."""
+    """Partition function: (doc, row, text, spans) -> the windows of the spans, reduced."""
     def run(batches):
         seq = Sequences(split, size, gram, min_words)
         for batch in batches:
             parts = []
-            for doc, text, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            known, place = places(batch)
+            for doc, text, spans in zip(place, batch.column(2), batch.column(3)):
                 text = text.as_py()
                 if text and seq.load(text):
                     own = np.unique(spans.values.to_numpy())
@@ -172,45 +184,45 @@ def scan_windows(split, size, gram, min_words):
                     h1, h2, at = seq.windows(a[fits], n[fits])
                     parts.append((h1, h2, np.full(len(at), doc, np.int64), at, np.zeros(len(at), np.int64)))
             if parts:
-                yield reduced(*(np.concatenate(x) for x in zip(*parts)), size)
+                yield reduced(known, *(np.concatenate(x) for x in zip(*parts)), size)
     return run
 
 
-def repeated_ranges(docs: DataFrame, doc: str, text: str, split: Callable, size: int, gram: int,
+def repeated_ranges(docs: DataFrame, doc: str, row: str, text: str, split: Callable, size: int, gram: int,
                     min_words: int = 1) -> DataFrame:
-    """(doc, ranges array<long>) per document with repeated units.
+    """(doc, row, ranges array<long>) per document with repeated units.
 
-    ``doc`` (long, not null) and ``text`` (string) name columns of ``docs``. A
+    ``doc`` and ``row`` (longs, not null; together a document) and ``text`` (string) name columns of ``docs``. A
     range is packed as start << 32 | stop, in units; ranges may overlap. Texts
     that are null, empty or shorter than a window have none.
     """
-    found = stored(docs.select(doc, F.col(text).cast("binary")).mapInArrow(scan(split, size, gram, min_words), FOUND))
+    found = stored(docs.select(doc, row, F.col(text).cast("binary")).mapInArrow(scan(split, size, gram, min_words), FOUND))
     met = found.where("key1 is not null")
     again = (met.groupBy(F.col("key1").alias("k"))
              .agg(F.count("*").alias("n"), (F.min("key2") != F.max("key2")).alias("differ"))
              .where("n > 1").select("k", "differ"))
-    first = F.first(F.struct("doc", "start")).over(
-        Window.partitionBy("key1", "key2").orderBy("doc", "start"))
+    first = F.first(F.struct("doc", "row", "start")).over(
+        Window.partitionBy("key1", "key2").orderBy("doc", "row", "start"))
     judged = stored(
         met.join(again, met["key1"] == again["k"])
-        .withColumn("later", first != F.struct("doc", "start"))
-        .where("later or differ").select("doc", "start", "more", "later"))
-    spans = (judged.where("not later").groupBy(F.col("doc").alias(fresh(docs, "sdoc")))
+        .withColumn("later", first != F.struct("doc", "row", "start"))
+        .where("later or differ").select("doc", "row", "start", "more", "later"))
+    spans = (judged.where("not later").groupBy(F.col("doc").alias(fresh(docs, "sdoc")), F.col("row").alias(fresh(docs, "srow")))
              .agg(F.collect_list(F.shiftleft(F.col("start").cast("long"), BITS).bitwiseOR(F.col("more").cast("long")))
                   .alias(fresh(docs, "spans"))))
-    # The caller's plan joins all of ``docs`` by ``doc`` again. Taking all columns
+    # The caller's plan joins all of ``docs`` by ``doc`` and ``row`` again. Taking all columns
     # here too makes the two exchanges equal, and Spark moves the text once.
-    windows = (docs.join(spans, docs[doc] == spans[fresh(docs, "sdoc")])
-               .select(doc, F.col(text).cast("binary"), fresh(docs, "spans"), *[docs[c] for c in docs.columns if c not in (doc, text)])
+    windows = (docs.join(spans, (docs[doc] == spans[fresh(docs, "sdoc")]) & (docs[row] == spans[fresh(docs, "srow")]))
+               .select(doc, row, F.col(text).cast("binary"), fresh(docs, "spans"), *[docs[c] for c in docs.columns if c not in (doc, row, text)])
                .mapInArrow(scan_windows(split, size, gram, min_words), FOUND))
-    compared = (windows.withColumn("later", first != F.struct("doc", "start"))
+    compared = (windows.withColumn("later", first != F.struct("doc", "row", "start"))
                 .where("key1 is null or later"))
     packed = lambda stop: F.shiftleft(F.col("start").cast("long"), 32).bitwiseOR(stop.cast("long"))
     ends = F.col("start") + F.col("more") + F.lit(size)
-    ranges = (found.where("key1 is null").select("doc", packed(F.col("more")).alias("r"))
-              .union(judged.where("later").select("doc", packed(ends).alias("r")))
-              .union(compared.select("doc", packed(F.when(F.col("key1").isNull(), F.col("more")).otherwise(ends)).alias("r"))))
-    return ranges.groupBy("doc").agg(F.collect_list("r").alias("ranges"))
+    ranges = (found.where("key1 is null").select("doc", "row", packed(F.col("more")).alias("r"))
+              .union(judged.where("later").select("doc", "row", packed(ends).alias("r")))
+              .union(compared.select("doc", "row", packed(F.when(F.col("key1").isNull(), F.col("more")).otherwise(ends)).alias("r"))))
+    return ranges.groupBy("doc", "row").agg(F.collect_list("r").alias("ranges"))
 
 
 def kept_mask(n: int, ranges) -> np.ndarray:
@@ -226,11 +238,13 @@ def kept_mask(n: int, ranges) -> np.ndarray:
 def with_ranges(docs: DataFrame, split, size, gram, min_words=1, id_col="doc_id", text_col="text"):
     """``docs`` with a column of its repeated ranges; also that column's name.
 
-    Rows with a null id count as one document before all others. Rows that
-    share an id count as copies of one document: they never repeat each other.
+    Rows with a null id come before all others. Rows that share an id, or have
+    none, are documents of their own, in the order of their texts' prints; only
+    those of equal texts count as copies of one document, which never repeat
+    each other.
     """
-    doc, ranges, key = (fresh(docs, x) for x in ("doc", "ranges", "rdoc"))
-    keyed = docs.withColumn(doc, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)))
-    found = repeated_ranges(keyed, doc, text_col, split, size, gram, min_words).select(
-        F.col("doc").alias(key), F.col("ranges").alias(ranges))
-    return keyed.join(found, F.col(doc) == F.col(key), "left").drop(key), ranges
+    doc, row, ranges, key, rkey = (fresh(docs, x) for x in ("doc", "row", "ranges", "rdoc", "rrow"))
+    keyed = docs.withColumn(doc, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).withColumn(row, row_print(text_col))
+    found = repeated_ranges(keyed, doc, row, text_col, split, size, gram, min_words).select(
+        F.col("doc").alias(key), F.col("row").alias(rkey), F.col("ranges").alias(ranges))
+    return keyed.join(found, (F.col(doc) == F.col(key)) & (F.col(row) == F.col(rkey)), "left").drop(key, rkey), ranges

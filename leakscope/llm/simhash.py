@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from leakscope.session import materialize
 
-from .common import NO_ID, connected_components, fresh, mixed
+from .common import NO_ID, connected_components, fresh, mixed, row_print
 
 SHINGLE, MAX_BITS, SEED = 3, 2, 42
 BLOCK = 2048
@@ -191,39 +191,44 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) ->
         todo, level = large.select("fp", "id", "path"), level + 1
 
 
+def grouped(docs: DataFrame, shingle: int, max_bits: int, block: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, print, fp, group): a row per row of ``docs``; the group is the smallest fingerprint of the row's component."""
+    marked = materialize(docs.select(
+        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), row_print(text_col).alias("print"),
+        fingerprints_of(shingle)(F.col(text_col).cast("binary")).alias("fp")))
+    # Fingerprints stand for themselves, so that rows of one id, or of none, are linked by their texts alone.
+    distinct = materialize(marked.select("fp").distinct().withColumn("id", F.col("fp")))
+    groups = connected_components(links(distinct, max_bits, block)).select(
+        F.col("id").alias("gfp"), F.col("component").alias("group"))
+    return marked.join(groups, marked["fp"] == groups["gfp"], "left").select(
+        "id", "print", "fp", F.coalesce("group", "fp").alias("group"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, block: int = BLOCK,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id), a row per row of ``docs``.
 
     Null and empty texts have the fingerprint zero and are linked like any
-    other. Rows that share an id each get a row; a null id counts as the
-    smallest and is given back as null. Component ids are the smallest ids
-    reachable over links of at most ``max_bits`` differing bits.
+    other. Each row is a document of its own, also where rows share an id or
+    have none. Component ids are the smallest ids reachable over links of at
+    most ``max_bits`` differing bits; a null id counts as the smallest and is
+    given back as null.
     """
-    marked = materialize(docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"),
-        fingerprints_of(shingle)(F.col(text_col).cast("binary")).alias("fp")))
-    distinct = materialize(marked.groupBy("fp").agg(F.min("id").alias("id")))
-    # An id on several rows ties their fingerprints together, as it is one document.
-    same = marked.groupBy("id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo != hi").select("id")
-    tied = (marked.join(same, "id").select(F.col("id").alias("a"), "fp").distinct()
-            .join(distinct.select("fp", F.col("id").alias("b")), "fp").select("a", "b"))
-    groups = connected_components(links(distinct, max_bits, block).union(tied)).select(
-        F.col("id").alias("gid"), F.col("component").alias("gcomponent"))
-    by_fp = (distinct.join(groups, distinct["id"] == groups["gid"], "left")
-             .select(F.col("fp").alias("gfp"), F.coalesce("gcomponent", "id").alias("component")))
+    rows = materialize(grouped(docs, shingle, max_bits, block, id_col, text_col))
+    least = rows.groupBy(F.col("group").alias("lgroup")).agg(F.min("id").alias("component"))
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return marked.join(by_fp, marked["fp"] == by_fp["gfp"]).select(
+    return rows.join(least, rows["group"] == least["lgroup"]).select(
         real("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         real("component").alias("component_id"))
 
 
 def one_per_group(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS,
                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is its component's smallest; one row an id."""
-    kept, key = fresh(docs, "kept"), fresh(docs, "key")
-    ids = (near_duplicates(docs, shingle, max_bits, id_col=id_col, text_col=text_col)
-           .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-           .select(F.coalesce("doc_id", F.lit(NO_ID)).alias(kept)).distinct())
-    keyed = docs.withColumn(key, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)))
-    return keyed.join(ids, keyed[key] == ids[kept]).dropDuplicates([key]).select(*docs.columns)
+    """One row of ``docs`` for each component: one with its smallest id."""
+    key, row, kid, krow = (fresh(docs, x) for x in ("key", "row", "kid", "krow"))
+    kept = (grouped(docs, shingle, max_bits, BLOCK, id_col, text_col)
+            .groupBy("group").agg(F.min(F.struct("id", "print")).alias("least"))
+            .select(F.col("least.id").alias(kid), F.col("least.print").alias(krow)))
+    keyed = docs.withColumn(key, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).withColumn(row, row_print(text_col))
+    return (keyed.join(kept, (keyed[key] == kept[kid]) & (keyed[row] == kept[krow]))
+            .dropDuplicates([key, row]).select(*docs.columns))

@@ -39,9 +39,10 @@ def remove_repeated_substrings(docs: DataFrame, size: int = SIZE, gram: int = GR
     """``docs`` with kept_text, n_words and n_removed.
 
     Words are runs of anything but space and U+0009 to U+000D, compared byte by
-    byte. A null or empty text has no words and an empty kept_text. Rows that
-    share an id are copies of one document and do not repeat each other; null
-    ids count as one document before all others. Texts shorter than ``size``
+    byte. A null or empty text has no words and an empty kept_text. Rows of
+    equal id and text are copies of one document and do not repeat each other;
+    other rows that share an id, or have none, are documents of their own, null
+    ids before all others. Texts shorter than ``size``
     words lose nothing. Other columns pass through, except that columns named
     like the three results are replaced.
     """

@@ -137,3 +137,12 @@ def test_decontamination_edge_rows(spark):
     assert left.columns == df.columns and left.count() == df.count() - 1
     assert decontaminate.find_contamination(df.where(F.lit(False)), items).count() == 0
     assert decontaminate.find_contamination(df, items.where(F.lit(False))).count() == 0
+
+
+def test_only_contaminated_rows_of_an_id_go(spark):
+    item = " ".join(f"w{i}" for i in range(20))
+    rows = [(None, f"x {item} y"), (None, "clean text without an id"), (7, f"z {item}"), (7, "other clean text")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert sorted(texts(decontaminate.without_contaminated(df, items)), key=str) == sorted([rows[1], rows[3]], key=str)
+    assert sorted(map(str, (r["doc_id"] for r in decontaminate.find_contamination(df, items).collect()))) == ["7", "None"]

@@ -88,3 +88,19 @@ def test_line_dedup_on_few_different_lines(spark):
     rng = random.Random(5)
     rows = [(i, "\n".join(rng.choice(["a", "b b", "c c c", " ", "d"]) for _ in range(rng.randrange(30)))) for i in range(30)]
     check_lines(spark.createDataFrame(rows, "doc_id long, text string"), 3, 4)
+
+
+@pytest.mark.parametrize("ident", [None, 7])
+def test_rows_without_an_id_of_their_own_are_documents_of_their_own(spark, ident):
+    passage = [f"p{i}" for i in range(25)]
+    own = [[f"{c}{i}" for i in range(60)] for c in "abc"]
+    # Two hold the passage at one position; the third repeats its own start.
+    texts_ = [passage + own[0], passage + own[1], own[2][:25] + ["x"] + own[2][:25] + own[2][25:]]
+    rows = [(ident, " ".join(t)) for t in texts_]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["text"]: r for r in remove_repeated_substrings(df).collect()}
+    assert sorted(got[rows[i][1]]["n_removed"] for i in (0, 1)) == [0, 25]
+    assert all(got[" ".join(passage + own[i])]["kept_text"].endswith(" ".join(own[i])) for i in (0, 1))
+    assert got[rows[2][1]]["kept_text"] == " ".join(own[2][:25] + ["x"] + own[2][25:])
+    by_line = spark.createDataFrame([(i, t.replace(" ", "\n")) for i, t in rows], "doc_id long, text string")
+    assert sorted(r["n_lines_removed"] for r in remove_repeated_lines(by_line, 3, 3).collect()) == [0, 25, 25]

@@ -149,3 +149,16 @@ def test_mixing_edge_rows(spark):
     assert mixing.mix(empty).count() == 0 and mixing.take(empty).count() == 0
     none = df.where("doc_id in (9000001, 9000002)")
     assert [r["taken"] for r in mixing.mix(none).collect()] == [0, 0]
+
+
+def test_rows_without_an_id_of_their_own_keep_their_texts(spark):
+    say = lambda c: " ".join(f"{c}{i}" for i in range(60))
+    rows = [(i, say(f"{c}{i}"), "s") for i in (None, 7) for c in "ab"] + [(8, say("a7"), "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = sorted(texts(simhash.one_per_group(df)), key=str)
+    assert kept == sorted([(i, t) for i, t, _ in rows[:4]], key=str)
+    got = {r["fingerprint"]: r["component_id"] for r in simhash.near_duplicates(df).collect()}
+    assert len(got) == 4 and sorted(map(str, got.values())) == ["7", "7", "None", "None"]
+    out = mixing.take(df, weights=(1,)).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in out), key=str) == sorted([(i, t) for i, t, _ in rows], key=str)
+    assert all(r["copy"] == 1 for r in out)
