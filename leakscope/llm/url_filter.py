@@ -1,9 +1,9 @@
 """URL filters: allow and block rules, and boosted trees for the URLs without a rule.
 
 The URLs that a rule judges are the labelled ones. Gradient-boosted trees learn
-from a bounded sample of them on lexical features: length, depth, digit ratio,
+from a bounded sample of the different ones of each label on lexical features: length, depth, digit ratio,
 entropy, parameter counts and the shares of blocked URLs under the host's suffix
-and under the path's first segment.
+and under the path's first segment. The shares are counted over all labelled rows.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "
          ("com/fr/", "allow"), ("com/de/", "block"))
 MOST_RULES = 1_000  # rules are one expression; that bounds its size
 SAMPLE, ROUNDS, DEPTH, SEED = 20_000, 20, 4, 11
-MOST_SHARES, PRIOR = 1_000, 20.0  # most suffixes, and segments, with a share of their own; rows that the overall share counts as
+PRIOR = 20.0  # rows that the overall share counts as
 FEATURES = ("length", "host_length", "path_length", "depth", "digit_ratio", "entropy", "n_params", "query_length",
             "n_hyphens", "n_labels", "longest_label", "suffix_share", "segment_share")
 SHARES = ("suffix", "segment")
@@ -89,29 +89,37 @@ def judge(pages: DataFrame, rules=RULES, sample: int = SAMPLE, rounds: int = ROU
     split = base.withColumns({"host": host, "path": path}).withColumn(hit, matched(rules, F.col("host"), F.col("path")))
     split = lexical(split, url_col, "host", "path", pre)
 
-    # The sample: the labelled URLs with the smallest hashes, so that its size bounds all that the fit holds.
-    label = (F.col(f"{hit}.verdict") == "block").cast("double")
-    known = materialize(
-        split.where(F.col(hit).isNotNull()).select(F.col(url_col).alias("url"), label.alias("label"), *[pre + s for s in SHARES], *[
-            f[n] for n in FEATURES if n.removesuffix("_share") == n]).orderBy(F.xxhash64("url"), "url").limit(sample))
-    n, blocked = known.agg(F.count("label"), F.sum("label")).first()
-    overall = (blocked or 0.0) / n if n else 0.0
-    shares = {k: {r[pre + k]: (r["blocked"] + PRIOR * overall) / (r["n"] + PRIOR) for r in
-                  known.groupBy(pre + k).agg(F.count("*").alias("n"), F.sum("label").alias("blocked"))
-                  .orderBy(F.desc("n"), pre + k).limit(MOST_SHARES).collect()} for k in SHARES}
+    labelled = split.where(F.col(hit).isNotNull()).select(
+        F.col(url_col).alias("url"), "host", "path", (F.col(f"{hit}.verdict") == "block").cast("double").alias("label"),
+        *[pre + s for s in SHARES])
+    counts = {r["label"]: r for r in labelled.groupBy("label").agg(
+        F.count("*").alias("n"), F.countDistinct("url").alias("urls")).collect()}
+    n = sum(r["n"] for r in counts.values())
+    overall = counts[1.0]["n"] / n if 1.0 in counts else 0.0
 
     def with_share(df):
-        for k, table in shares.items():
-            known_share = F.try_element_at(F.create_map(*[F.lit(x) for p in table.items() for x in p]), F.col(pre + k)) if table else F.lit(None)
-            df = df.withColumn(f"{pre}{k}_share", F.coalesce(known_share, F.lit(overall)))
+        for k in SHARES:
+            key, share = f"{pre}{k}_key", f"{pre}{k}_share"
+            table = labelled.groupBy(F.col(pre + k).alias(key)).agg(
+                ((F.sum("label") + F.lit(PRIOR * overall)) / (F.count("*") + F.lit(PRIOR))).alias(share))
+            df = df.join(table, df[pre + k] == table[key], "left").withColumn(share, F.coalesce(share, F.lit(overall)))
         return df
 
+    # The sample: each label's different URLs with the smallest hashes, so that its size bounds all that
+    # the fit holds. A label takes half of it, or what the other leaves; weights restore the labels' shares.
+    def drawn(label):
+        urls = counts[label]["urls"]
+        most = min(urls, max(1, sample // 2, sample - counts[1 - label]["urls"]))
+        of_label = labelled.where(F.col("label") == label).select("url", "host", "path", "label").distinct()
+        return of_label.orderBy(F.xxhash64("url"), "url").limit(most).withColumn(pre + "weight", F.lit(urls / most))
+
     assembler = VectorAssembler(inputCols=list(f.values()), outputCol=fresh(split, "vec"))
-    if 0 < (blocked or 0) < n:
-        trees = (GBTClassifier(featuresCol=assembler.getOutputCol(), labelCol="label", maxIter=rounds, maxDepth=depth,
+    if len(counts) == 2:
+        known = materialize(with_share(lexical(drawn(0.0).union(drawn(1.0)), "url", "host", "path", pre)))
+        trees = (GBTClassifier(featuresCol=assembler.getOutputCol(), labelCol="label", weightCol=pre + "weight", maxIter=rounds, maxDepth=depth,
                                seed=SEED, predictionCol=pre + "p")
                  .setProbabilityCol(pre + "prob").setRawPredictionCol(pre + "raw"))
-        model = trees.fit(assembler.transform(with_share(known)))
+        model = trees.fit(assembler.transform(known))
         scored = model.transform(assembler.transform(with_share(split))).withColumn(
             "block_score", vector_to_array(F.col(pre + "prob"))[1])
     else:

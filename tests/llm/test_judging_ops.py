@@ -181,3 +181,12 @@ def test_pii_edge_rows(spark):
     assert got.columns == [*df.columns, "n_entities"]
     assert sorted(map(str, texts(got))) == sorted(map(str, texts(df)))
     assert pii.replace_entities(df.where(F.lit(False)), "k").count() == 0
+
+
+def test_a_hot_url_does_not_fill_the_sample_and_shares_count_all_rows(spark):
+    urls = [f"http://site{i}.com/{x}/page" for i in range(40) for x in ("fr", "de")]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    hot = df.orderBy(F.xxhash64("url"), "url").first()["url"]
+    got = url_filter.judge(df.union(spark.createDataFrame([(hot,)] * 100, "url string")), sample=40).collect()
+    assert len(got) == 180
+    assert all((r["block_score"] > 0.5) == (r["verdict"] == "block") for r in got)
