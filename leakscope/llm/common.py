@@ -37,16 +37,23 @@ def row_print(text_col: str):
     return F.xxhash64(F.col(text_col))
 
 
-def stored(df: DataFrame) -> DataFrame:
+def shared_folder(spark: SparkSession) -> str:
+    """A new path in the shared checkpoint folder; what is written there goes when the driver ends."""
+    path = scratch_path(spark, f"llm/{uuid.uuid4().hex}")
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return path
+
+
+def stored(df: DataFrame, **options) -> DataFrame:
     """``df`` as a Parquet table in the shared checkpoint folder, read again: it
     cuts the lineage like a checkpoint but compressed and by column. The table
     goes when the driver ends."""
-    spark = df.sparkSession
-    path = scratch_path(spark, f"llm/{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    path = f"{shared_folder(df.sparkSession)}/table"
+    df.write.options(**options).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def uniform(*parts):

@@ -17,9 +17,10 @@ from . import (
     simhash,
     substring_dedup,
     token_count,
+    token_output,
     url_filter,
 )
-from .common import documents
+from .common import documents, shared_folder
 from .sql import SQL  # noqa: F401
 
 #: For the query only; a run on real data takes its own secret.
@@ -85,3 +86,10 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(documents(spark, sf_dir))
+
+
+@query
+def op11_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark)
+    token_output.write_token_files(documents(spark, sf_dir), path)
+    return token_output.read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
