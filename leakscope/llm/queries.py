@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import (
     decontaminate,
     line_dedup,
+    merkle,
     mixing,
     pii,
     quality_rules,
@@ -21,11 +22,13 @@ from . import (
     url_filter,
 )
 from .common import documents, shared_folder
-from .sql import SQL  # noqa: F401
+from .sql import SQL
+from .sql_trees import SQL as TREES
 
 #: For the query only; a run on real data takes its own secret.
 PII_KEY = "query key"
 QUERIES: dict = {}
+SQL = SQL | TREES
 
 
 def query(fn):
@@ -93,3 +96,13 @@ def op11_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark)
     token_output.write_token_files(documents(spark, sf_dir), path)
     return token_output.read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # What is tampered with are the line ends of half of the texts.
+    cut = F.when(F.col("text").isNotNull(), F.replace(F.col("text"), F.lit("\n"), F.lit("")))
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0,
+                      merkle.row_digest([*map(F.col, merkle.FIELDS[:-1]), cut]))
+    checked = merkle.verify(merkle.manifest(documents(spark, sf_dir), claim=tampered))
+    return checked.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
