@@ -20,6 +20,8 @@ from __future__ import annotations
 import re
 import sys
 import types
+from array import array
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,7 @@ from .common import row_print, stored
 MODEL, END = "word_bpe_49k.json", 1
 BLOCK = 1 << 17  # ids
 CHUNK = 1 << 18  # values coded or decoded at once, a multiple of four
-CACHE = 250_000  # entries of a cache's generation
+CACHE = 300_000  # entries of a cache's generation
 LONGEST = 64  # bytes; longer words are encoded each time and not remembered
 BLOCKS = "shard int, block int, start long, n_ids long, doc_ids array<long>, lengths array<long>, control binary, data binary"
 DOCUMENTS = "doc_id long, shard int, start long, n_tokens long, ids binary"
@@ -102,6 +104,19 @@ class Kept(dict):
 LATIN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^a-zªµºß-öø-ÿ0-9²³¹¼½¾\x09-\x0D\x20\x85\xa0]+")
 
 
+#: What commonly ends a word, a pre-token of its own after letters.
+MARKS = frozenset(".,;:!?)")
+ID = attrgetter("id")
+
+
+def is_latin(s: str) -> bool:
+    try:
+        s.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def byte_letters() -> dict[int, str]:
     """The letter that stands for each byte in a byte-level vocabulary: printable
     Latin-1 stands for itself, the rest for U+0100 onwards in order."""
@@ -128,6 +143,8 @@ class Encoder:
         self.kind = "<u2" if top < 1 << 16 else "<u4"
         self.special = re.compile("|".join(re.escape(t.content) for t in self.model.get_added_tokens_decoder().values()) or r"(?!)")
         self.letters = byte_letters()
+        self.code = {2: "H", 4: "I"}[int(self.kind[-1])]
+        self.merges = self.model.model.tokenize
         self.pieces = Kept(self.piece)
         self.words = Kept(self.word)
         self.latin = True
@@ -136,22 +153,26 @@ class Encoder:
     def probes(self):
         for c in map(chr, range(0x100)):
             if not c.isascii() or not c.isspace():
-                yield from (f"a{c}b".encode(), f"{c}{c}1".encode(), f"é'{c}s".encode())
-
-    def packed(self, ids) -> bytes:
-        return np.array(ids, self.kind).tobytes()
+                yield from (f"a{c}b".encode(), f"{c}{c}1".encode(), f"é'{c}s".encode(), f"B{c}".encode())
 
     def whole(self, word: bytes) -> bytes:
-        return self.packed(self.model.encode(word.decode(), add_special_tokens=False).ids)
+        return array(self.code, self.model.encode(word.decode(), add_special_tokens=False).ids).tobytes()
 
     def piece(self, piece: str) -> bytes:
-        return self.packed([t.id for t in self.model.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))])
+        if not (piece.isascii() and piece.isprintable()):
+            piece = piece.encode().decode("latin-1").translate(self.letters)
+        return array(self.code, map(ID, self.merges(piece))).tobytes()
 
     def word(self, word: bytes) -> bytes:
         s = word.decode()
-        if not self.latin or max(s) > "\xff" or self.special.search(s):
+        if not (word.isascii() or is_latin(s)) or not self.latin or self.special.search(s):
             return self.whole(word)
-        return b"".join(map(self.pieces.__getitem__, LATIN.findall(s.lower())))
+        s = s.lower()
+        if s.isalpha():
+            return self.pieces[s]
+        if s[-1] in MARKS and s[:-1].isalpha():
+            return self.pieces[s[:-1]] + self.pieces[s[-1]]
+        return b"".join(map(self.pieces.__getitem__, LATIN.findall(s)))
 
     def text(self, text: bytes | None) -> bytes:
         return b"".join(map(self.words.__getitem__, text.split())) if text else b""
