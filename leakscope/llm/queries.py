@@ -13,6 +13,7 @@ from . import (
     merkle,
     mixing,
     pii,
+    prefix_trie,
     quality_rules,
     rule_classifier,
     simhash,
@@ -106,3 +107,8 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
                       merkle.row_digest([*map(F.col, merkle.FIELDS[:-1]), cut]))
     checked = merkle.verify(merkle.manifest(documents(spark, sf_dir), claim=tampered))
     return checked.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))

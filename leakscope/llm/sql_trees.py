@@ -58,3 +58,26 @@ SELECT p.doc_id, p.leaf, p.subroot, root, coalesce(q.proof, sha256('')) AS proof
 FROM path p LEFT JOIN proofs q ON q.tree = p.tree AND q.idx = p.idx
 JOIN folds f ON f.tree = p.tree AND f.idx = p.idx AND f.k = coalesce(q.n_steps, 0) CROSS JOIN root
 """
+
+SQL["op13_prefix_trie"] = f"""
+WITH {_TABLE},
+t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS pos,
+             strlen(role) || ':' || role || strlen(text) || ':' || text AS x, CAST(length(text) AS BIGINT) AS chars FROM t),
+n AS (SELECT conv_id, count(*) AS own FROM o GROUP BY conv_id),
+h AS (SELECT conv_id, own, conv_id - conv_id % 100 AS base, {_crc("CAST(conv_id AS VARCHAR)")} % 6 AS h FROM n, crc),
+c AS (SELECT h.*, least(h.h, coalesce(n.own, 0)) AS given FROM h LEFT JOIN n ON n.conv_id = h.base),
+r AS (SELECT c.conv_id, o.pos AS depth, x, chars FROM c JOIN o ON o.conv_id = c.base AND o.pos <= c.given
+      UNION ALL SELECT c.conv_id, o.pos - c.h + c.given, x, chars FROM c JOIN o ON o.conv_id = c.conv_id AND o.pos > c.h),
+k AS (SELECT conv_id, depth, chars, string_agg(x, '') OVER (PARTITION BY conv_id ORDER BY depth) AS k FROM r
+      UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+m AS (SELECT *, max(depth) OVER (PARTITION BY conv_id) AS len FROM k),
+node AS (SELECT k, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(len) = depth AS leaf, (count(*) - 1) * min(chars) AS saved,
+                coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len = depth), '') AS ends FROM m GROUP BY k, depth),
+up AS (SELECT m.k, m.depth, sum(CAST(u.leaf AS BIGINT)) AS n_leaves, sum(u.saved) AS saved, count(*) FILTER (u.depth = m.depth + 1) AS n_children
+       FROM node u JOIN m ON m.conv_id = u.conv_id AND m.depth <= u.depth GROUP BY m.k, m.depth),
+par AS (SELECT u.k, u.depth, v.conv_id FROM node u JOIN m ON m.conv_id = u.conv_id AND m.depth = u.depth - 1 JOIN node v ON v.k = m.k AND v.depth = m.depth)
+SELECT node.conv_id, CAST(node.depth AS BIGINT) AS depth, par.conv_id AS parent_conv_id, n_convs, n_children,
+       CAST(n_leaves AS BIGINT) AS n_leaves, CAST(up.saved AS BIGINT) AS saved_tokens, sha256(ends) AS ends_sha256
+FROM node JOIN up ON up.k = node.k AND up.depth = node.depth LEFT JOIN par ON par.k = node.k AND par.depth = node.depth
+"""
