@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from leakscope import constants as C
 from leakscope.functions.scalar import hash_uniform, is_present, safe_double
 from leakscope.operators import clean as CL
 from leakscope.operators.flatten import missing_required
-from leakscope.operators.features import add_derived_features, as_sources, feature_matrix, FEATURE_SETS
+from leakscope.operators.features import add_derived_features, as_sources, feature_matrix, FEATURE_SETS, with_lineage
 from leakscope.functions.scalar import date_text
 from leakscope.plans.registry import normalise, query
 from leakscope.plans.sql_base import FLAT_DOUBLE_COLUMNS, hash_uniform_sql, with_flat
@@ -286,15 +288,21 @@ def q_processed_roundtrip(spark, sf_dir):
 
 
 def write_processed(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
+    """With the columns' lineage in their metadata, so that the guard (M21) reads it from the files."""
+    with_lineage(df).write.mode("overwrite").parquet(path)
 
 
 def read_processed(spark: SparkSession, path: str) -> DataFrame:
     from leakscope.sources.schemas import FLAT_DDL
     try:
-        return spark.read.schema(FLAT_DDL).parquet(path)
-    except Exception as exc:
+        found = spark.read.parquet(path)
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
         raise RAW.MissingInputError(f"read_processed: no processed dataset at {path}") from exc
+    stated = {f.name: f.metadata for f in found.schema.fields}
+    schema = StructType([StructField(f.name, f.dataType, True, stated.get(f.name, {})) for f in StructType.fromDDL(FLAT_DDL).fields])
+    return spark.read.schema(schema).parquet(path)
 
 
 # --- P5–P7, P8 ---------------------------------------------------------------------

@@ -73,7 +73,9 @@ def read_raw_records(spark: SparkSession, path: str, multiline: bool = True,
             .option("columnNameOfCorruptRecord", "_corrupt_record")
             .json(path)
         )
-    except AnalysisException as exc:  # PATH_NOT_FOUND and friends
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
         raise MissingInputError(f"{stage}: no raw input at {path}") from exc
     return _with_ordinal(df)
 
