@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from leakscope import constants as C
 from leakscope.functions.scalar import label_text, outcome
 from leakscope.operators import metrics as M
+from leakscope.operators.bootstrap import bootstrap_scores
 from leakscope.operators import split as S
 from leakscope.operators.rank import grouped_quantiles
 from leakscope.plans.q_ingest import cleaned_derived
@@ -346,6 +347,36 @@ def q_bootstrap_ci(spark, sf_dir):
     return normalise(M.bootstrap_f1(test_rows(spark, sf_dir)))
 
 
+# --- A15 for metrics of the scores: intervals from replicate vectors -------------------
+_KS_BRIER = """
+, each AS (SELECT 'roc_auc' AS metric, CASE WHEN max(P_) > 0 AND max(N_) > 0
+                  THEN sum(pos * (N_ - fp) + 0.5 * pos * neg) / (max(P_) * max(N_)) END AS v FROM pts
+  UNION ALL SELECT 'average_precision', CASE WHEN max(P_) > 0 AND max(N_) > 0 THEN sum((pos / P_) * (tp / (tp + fp))) END FROM pts
+  UNION ALL SELECT 'ks_statistic', CASE WHEN max(P_) > 0 AND max(N_) > 0 THEN max(abs(tp / P_ - fp / N_)) END FROM pts
+  UNION ALL SELECT 'brier_score', avg(pow(p - CAST(y AS DOUBLE), 2)) FROM te)
+"""
+
+
+@query("bootstrap_scores", with_split(_points_sql("te") + _KS_BRIER + """
+SELECT metric, ROUND(v, 6) AS point_estimate, true AS ordered, CAST(1000 AS BIGINT) AS n_defined, CAST(1000 AS BIGINT) AS n_bootstrap FROM each
+"""))
+def q_bootstrap_scores(spark, sf_dir):
+    """The point estimates, and that each lies within its interval; the intervals' ends are in ``bootstrap_intervals``."""
+    b = score_intervals(spark, sf_dir)
+    inside = (F.col("ci_low") <= F.col("point_estimate")) & (F.col("point_estimate") <= F.col("ci_high"))
+    return normalise(b.select("metric", "point_estimate", inside.alias("ordered"), "n_defined", "n_bootstrap"))
+
+
+@query("bootstrap_intervals")
+def q_bootstrap_intervals(spark, sf_dir):
+    return normalise(score_intervals(spark, sf_dir))
+
+
+def score_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_table(spark, ("score_intervals", *input_state(spark, sf_dir)),
+                     lambda: materialize(bootstrap_scores(test_rows(spark, sf_dir))))
+
+
 # --- A12 / A14: metrics per training fold, then mean/std/n/min/max -------------------
 def fold_metrics(sp: DataFrame) -> DataFrame:
     val = sp.filter(~F.col("is_test"))
