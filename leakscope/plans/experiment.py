@@ -178,7 +178,7 @@ def run_grid(spark: SparkSession, mf: DataFrame, root: str, experiments: list[st
             if permutation_repeats and m != "dummy_most_frequent":
                 tables["permutation_importance"].append(_tag(
                     permutation_importance(model, test, fs.feature_columns, n_repeats=permutation_repeats, seed=seed), e, m))
-            if m == "random_forest":
+            if m in ("random_forest", "xgboost"):
                 rows = test if shap_rows is None else fixed_sample(test, shap_rows, seed)
                 names = folds.prep.feature_names()
                 attr = tree_attributions(folds.prep.transform(rows), model.stages[-1], names)

@@ -314,3 +314,16 @@ def q_attribution_check(spark, sf_dir):
     return normalise(a.select(C.ID, (F.col("base_value") + F.aggregate("contributions", F.lit(0.0),
                                                                          lambda acc, v: acc + v)
                                      - F.col("prediction")).alias("residual")))
+
+
+@query("attribution_boosted")
+def q_attribution_boosted(spark, sf_dir):
+    """M15 for boosted trees: per holdout row the margin, the base value, and how
+    far base + contributions is from the margin that the model itself gives."""
+    from leakscope.operators.attribution import boosted_margin, tree_attributions
+    m = fitted(spark, sf_dir, "xgboost")
+    feats = m.stages[0].transform(test_rows(modelling_frame(spark, sf_dir)))
+    own = m.stages[-1].transform(feats).select(F.col(C.ID).alias("own_id"), boosted_margin(m.stages[-1]).alias("margin"))
+    a = tree_attributions(feats, m.stages[-1], m.stages[0].feature_names())
+    total = F.col("base_value") + F.aggregate("contributions", F.lit(0.0), lambda acc, v: acc + v)
+    return normalise(a.join(own, a[C.ID] == own["own_id"]).select(C.ID, "margin", "base_value", (total - F.col("margin")).alias("residual")))

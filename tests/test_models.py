@@ -234,3 +234,45 @@ def test_leaf_values_are_the_shapley_values_of_the_path_dependent_game():
             want = sum(math.factorial(len(s)) * math.factorial(2 - len(s)) / 6 * (game(x, {*s, j}) - game(x, set(s)))
                        for n in range(3) for s in itertools.combinations(rest, n))
             assert abs(got[j] - want) < 1e-12
+
+
+def test_boosted_attributions_add_up_to_the_margin_and_are_shapley_values(spark, mf):
+    import itertools
+    import math
+
+    import numpy as np
+    from pyspark.ml.functions import vector_to_array
+
+    from leakscope.operators.attribution import boosted_arrays, boosted_margin, leaf_paths, tree_attributions
+    fs = FEATURE_SETS["physical_kinematic_only"]
+    tr = MD.training_frame(mf.filter("not is_test"))
+    model = MD.pipeline(fs, "xgboost", {"n_estimators": 6, "max_depth": 3, "learning_rate": 0.3}).fit(tr)
+    prep, gbt = model.stages[0], model.stages[-1]
+    feats = prep.transform(mf.filter("is_test"))
+    attr = {r[C.ID]: r for r in tree_attributions(feats, gbt, prep.feature_names()).collect()}
+    trees = boosted_arrays(gbt)
+
+    def game(x, known):
+        """The margin when only ``known`` features are known, over all trees."""
+        def value(t, node=0):
+            if t["left"][node] < 0:
+                return t["value"][node]
+            a, b, f = t["left"][node], t["right"][node], t["feature"][node]
+            if f in known:
+                return value(t, a if x[f] <= t["threshold"][node] else b)
+            return (t["cover"][a] * value(t, a) + t["cover"][b] * value(t, b)) / t["cover"][node]
+        return sum(value(t) for t in trees)
+
+    rows = gbt.transform(feats).select(C.ID, vector_to_array("features").alias("x"), boosted_margin(gbt).alias("margin")).collect()
+    for i, r in enumerate(rows):
+        got = attr[r[C.ID]]
+        assert abs(got["base_value"] + sum(got["contributions"]) - r["margin"]) < 1e-9
+        assert abs(got["prediction"] - r["margin"]) < 1e-9 and abs(got["base_value"] - game(r["x"], set())) < 1e-9
+        if i < 5:
+            k = len(r["x"])
+            for j in range(k):
+                rest = [f for f in range(k) if f != j]
+                want = sum(math.factorial(len(s)) * math.factorial(k - 1 - len(s)) / math.factorial(k)
+                           * (game(r["x"], {*s, j}) - game(r["x"], set(s))) for n in range(k) for s in itertools.combinations(rest, n))
+                assert abs(got["contributions"][j] - want) < 1e-9
+    assert any(np.abs(list(r["contributions"])).max() > 0.01 for r in attr.values()) and leaf_paths(trees[0])
