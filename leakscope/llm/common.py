@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import xxhash
@@ -63,6 +64,19 @@ def uniform(*parts):
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, most: int):
+    """Plans run inside hand at most ``most`` rows at a time to Python, so that a
+    worker holds few texts; what is set before holds again afterwards."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, min(most, int(before)) if int(before) > 0 else most)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Hashes(dict):
     """unit (bytes or str) -> 64-bit hash, remembered up to ``limit`` units."""
 

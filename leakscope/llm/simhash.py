@@ -21,11 +21,14 @@ from pyspark.sql import functions as F
 
 from leakscope.session import materialize
 
-from .common import NO_ID, connected_components, fresh, mixed, row_print
+from .common import NO_ID, arrow_rows, connected_components, fresh, mixed, row_print
 
 SHINGLE, MAX_BITS, SEED = 3, 2, 42
 BLOCK = 2048
 CHUNK = 1 << 16
+CELLS = 1 << 18  # pairs of a bucket compared at once
+INDEXED = 1024  # fingerprints indexed at once
+TEXTS = 1000  # texts of an Arrow batch
 ENTRY = "key long, path long, fp long, id long"
 LINK = f"{ENTRY}, other long"
 
@@ -84,34 +87,45 @@ def bits_left(levels: int, max_bits: int) -> int:
 
 
 def index(level: int, max_bits: int):
-    """Partition function: (fp, id, path) -> a row for each deletion variant of the
-    free bits. The key is a hash of path and fixed bits; a clash of two keys
-    only adds candidates, as links are verified on all bits."""
+    """Partition function: (fp, id, path, key) -> a row for each deletion variant of
+    the free bits. The new key is a hash of the bucket's key so far, the path and
+    the bits fixed now, so members of a bucket agree in all bits fixed at any
+    level; a clash of two keys only adds candidates, as links are verified on all
+    bits."""
     def run(batches):
         masks: dict = {}
-        for batch in batches:
-            fp, ident, path = (batch.column(i).to_numpy() for i in range(3))
-            for p in np.unique(path).tolist():
-                if p not in masks:
-                    masks[p] = np.array(variants(free_bits(p, level, max_bits), max_bits), np.uint64)
-                m, own = masks[p], path == p
-                to = p * 64 + np.arange(len(m))
-                fixed = fp[own].view(np.uint64)[:, None] & m[None, :]
-                key = mixed(mixed(fixed) ^ mixed((to + 1).astype(np.uint64) + np.uint64(level << 56))[None, :])
-                n = len(m)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.reshape(-1).view(np.int64)), pa.array(np.tile(to, own.sum())),
-                     pa.array(np.repeat(fp[own], n)), pa.array(np.repeat(ident[own], n))],
-                    names=["key", "path", "fp", "id"])
+        for whole in batches:
+            for at in range(0, len(whole), INDEXED):
+                yield from indexed(whole.slice(at, INDEXED), masks)
+
+    def indexed(batch, masks):
+        fp, ident, path, before = (batch.column(i).to_numpy() for i in range(4))
+        for p in np.unique(path).tolist():
+            if p not in masks:
+                masks[p] = np.array(variants(free_bits(p, level, max_bits), max_bits), np.uint64)
+            m, own = masks[p], path == p
+            to = p * 64 + np.arange(len(m))
+            fixed = fp[own].view(np.uint64)[:, None] & m[None, :]
+            key = mixed(mixed(fixed) ^ mixed((to + 1).astype(np.uint64) + np.uint64(level << 56))[None, :])
+            if level:
+                key = mixed(key ^ before[own].view(np.uint64)[:, None])
+            n = len(m)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key.reshape(-1).view(np.int64)), pa.array(np.tile(to, own.sum())),
+                 pa.array(np.repeat(fp[own], n)), pa.array(np.repeat(ident[own], n))],
+                names=["key", "path", "fp", "id"])
     return run
 
 
 def linked(fp: np.ndarray, max_bits: int) -> np.ndarray:
     """For each fingerprint of a bucket, the smallest index it is linked with through the bucket."""
-    near = np.bitwise_count((fp[:, None] ^ fp[None, :]).view(np.uint64)) <= max_bits
-    label = np.arange(len(fp))
+    n, strip = len(fp), max(1, CELLS // max(1, len(fp)))
+    near = np.empty((n, n), bool)
+    for at in range(0, n, strip):
+        near[at:at + strip] = np.bitwise_count((fp[at:at + strip, None] ^ fp[None, :]).view(np.uint64)) <= max_bits
+    label = np.arange(n, dtype=np.int32)
     while True:
-        low = np.where(near, label[None, :], len(fp)).min(axis=1)
+        low = np.concatenate([np.where(near[at:at + strip], label[None, :], np.int32(n)).min(axis=1) for at in range(0, n, strip)])
         if (low == label).all():
             return label
         label = low
@@ -175,12 +189,16 @@ def compare(max_bits: int, block: int):
 def links(distinct: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
     """(a, b) over the ids of ``distinct`` (fp, id): enough links to connect all
     that a chain of fingerprints at most ``max_bits`` apart connects."""
-    todo, level, out = distinct.select("fp", "id", F.lit(0).cast("long").alias("path")), 0, None
+    zero = F.lit(0).cast("long")
+    todo, level, out = distinct.select("fp", "id", zero.alias("path"), zero.alias("key")), 0, None
+    # A fingerprint becomes one row per variant: a number that is not merged to a few tasks by the small size before.
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while True:
-        # Fingerprints are distinct, so a bucket holds 2 ** (free bits) at most: few bits left end the descent.
+        # Fingerprints are distinct and a bucket's members agree in all bits but the free
+        # ones, so it holds 2 ** (free bits) at most: few bits left end the descent.
         left = bits_left(level + 1, max_bits)
         compared = materialize(
-            todo.mapInArrow(index(level, max_bits), ENTRY)
+            todo.repartition(tasks, "fp").mapInArrow(index(level, max_bits), ENTRY)
             .repartition("key").sortWithinPartitions("key", "path")
             .mapInArrow(compare(max_bits, max(block, 1 << left) if left <= 12 else block), LINK))
         found = compared.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b"))
@@ -188,14 +206,15 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) ->
         large = compared.where("other is null")
         if large.isEmpty():
             return out.distinct()
-        todo, level = large.select("fp", "id", "path"), level + 1
+        todo, level = large.select("fp", "id", "path", "key"), level + 1
 
 
 def grouped(docs: DataFrame, shingle: int, max_bits: int, block: int, id_col: str, text_col: str) -> DataFrame:
     """(id, print, fp, group): a row per row of ``docs``; the group is the smallest fingerprint of the row's component."""
-    marked = materialize(docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), row_print(text_col).alias("print"),
-        fingerprints_of(shingle)(F.col(text_col).cast("binary")).alias("fp")))
+    with arrow_rows(docs.sparkSession, TEXTS):
+        marked = materialize(docs.select(
+            F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), row_print(text_col).alias("print"),
+            fingerprints_of(shingle)(F.col(text_col).cast("binary")).alias("fp")))
     # Fingerprints stand for themselves, so that rows of one id, or of none, are linked by their texts alone.
     distinct = materialize(marked.select("fp").distinct().withColumn("id", F.col("fp")))
     groups = connected_components(links(distinct, max_bits, block)).select(

@@ -162,3 +162,45 @@ def test_rows_without_an_id_of_their_own_keep_their_texts(spark):
     out = mixing.take(df, weights=(1,)).collect()
     assert sorted(((r["doc_id"], r["text"]) for r in out), key=str) == sorted([(i, t) for i, t, _ in rows], key=str)
     assert all(r["copy"] == 1 for r in out)
+
+
+def test_buckets_of_unrelated_clusters_do_not_meet_and_the_descent_ends(spark, monkeypatch):
+    """Many large clusters share each path: a bucket must not hold members of several, at any level."""
+    import numpy as np
+    rng = np.random.default_rng(3)
+    centres = rng.integers(-(1 << 62), 1 << 62, 40)
+    flips = np.array([0, *(1 << b for b in range(20)), *((1 << b) ^ (1 << (b + 1)) for b in range(20))], np.int64)
+    fps = np.unique((centres[:, None] ^ flips[None, :]).ravel())
+    levels = []
+    real_index = simhash.index
+    monkeypatch.setattr(simhash, "index", lambda level, bits: levels.append(level) or real_index(level, bits))
+    df = spark.createDataFrame([(int(x), int(x)) for x in fps], "fp long, id long")
+    found = {(r["a"], r["b"]) for r in simhash.links(df, block=4).collect()}
+    assert max(levels) <= 6
+    parent = {int(x): int(x) for x in fps}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+    for a, b in found:
+        assert bin((a ^ b) & (2 ** 64 - 1)).count("1") <= 2
+        parent[root(a)] = root(b)
+    groups = {}
+    for x in parent:
+        groups.setdefault(root(x), set()).add(x)
+    near = np.bitwise_count((fps[:, None] ^ fps[None, :]).view(np.uint64)) <= 2
+    label = np.arange(len(fps))
+    while True:
+        low = np.where(near, label[None, :], len(fps)).min(axis=1)
+        if (low == label).all():
+            break
+        label = low
+    want = {}
+    for x, k in zip(fps.tolist(), label):
+        want.setdefault(int(k), set()).add(x)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
+
+
+def test_near_duplicates_of_an_empty_table(spark):
+    assert simhash.near_duplicates(edge(spark).where(F.lit(False))).count() == 0
