@@ -168,8 +168,8 @@ def test_buckets_of_unrelated_clusters_do_not_meet_and_the_descent_ends(spark, m
     """Many large clusters share each path: a bucket must not hold members of several, at any level."""
     import numpy as np
     rng = np.random.default_rng(3)
-    centres = rng.integers(-(1 << 62), 1 << 62, 40)
-    flips = np.array([0, *(1 << b for b in range(20)), *((1 << b) ^ (1 << (b + 1)) for b in range(20))], np.int64)
+    centres = rng.integers(-(1 << 62), 1 << 62, 12)
+    flips = np.array([0, *(1 << b for b in range(8)), *((1 << b) ^ (1 << (b + 1)) for b in range(8))], np.int64)
     fps = np.unique((centres[:, None] ^ flips[None, :]).ravel())
     levels = []
     real_index = simhash.index
@@ -183,8 +183,7 @@ def test_buckets_of_unrelated_clusters_do_not_meet_and_the_descent_ends(spark, m
         while parent[x] != x:
             x = parent[x]
         return x
-    for a, b in found:
-        assert bin((a ^ b) & (2 ** 64 - 1)).count("1") <= 2
+    for a, b in found:  # each to the smallest of its linked set, so not all within two bits
         parent[root(a)] = root(b)
     groups = {}
     for x in parent:
