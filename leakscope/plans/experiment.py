@@ -1,10 +1,11 @@
 """One experiment x model combination end to end, the grid,
 artifact tables, the model registry, batch scoring and re-evaluation.
 
-Artifacts are Parquet tables partitioned by ``experiment`` and ``model``
-(dynamic partition overwrite: re-running a combination replaces only its
-partition). Models are saved with Spark ML persistence. The driver holds
-only specs, fitted models and small result rows.
+Artifacts are Parquet tables partitioned by ``experiment`` and ``model``, staged
+by run and made visible by one commit (``plans.runs``): re-running a combination
+replaces only its partitions, and readers see whole runs only. Models are saved
+with Spark ML persistence. The driver holds only specs, fitted models and small
+result rows.
 """
 
 from __future__ import annotations
@@ -12,10 +13,12 @@ from __future__ import annotations
 import datetime as dt
 import json
 import platform
+from concurrent.futures import ThreadPoolExecutor
 
 import pyspark
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +27,7 @@ from leakscope import constants as C
 from leakscope.operators import metrics as M
 from leakscope.operators import models as MD
 from leakscope.operators.features import FEATURE_SETS, add_derived_features, assert_no_lineage_leakage, get_feature_set
+from leakscope.plans import runs as R
 from leakscope.plans.q_metrics import error_profile, error_table, grouped_error_records
 from leakscope.sources.raw import MissingInputError
 from leakscope.session import materialize, one_row
@@ -100,40 +104,53 @@ def own_features(df: DataFrame) -> DataFrame:
 
 
 class Folds:
-    """The preprocessed rows of one feature set: fitted once per fold and once
-    on all training rows, then shared by all models and settings."""
+    """The preprocessing of one feature set, fitted once per fold and once on all
+    training rows, then shared by all models and settings. Only the fitted
+    constants are kept: they are literals in each fold's plan over the one table
+    of rows, and no copy of the rows is written."""
 
     def __init__(self, mf: DataFrame, fs, fold_col: str = "fold"):
         self.fs = fs
         train, test = mf.filter(~F.col("is_test")), mf.filter(F.col("is_test"))
         keep = [C.ID, fold_col, C.TARGET, MD.LABEL, MD.WEIGHT, "features"]
-        folds = sorted(r[0] for r in train.select(fold_col).distinct().collect())
+        sizes = {r[fold_col]: r["count"] for r in train.groupBy(fold_col).count().collect()}
+        self.n = sum(sizes.values())
         self.parts = []
-        for k in folds:
+        for k in sorted(sizes):
             own, other = train.filter(F.col(fold_col) != k), train.filter(F.col(fold_col) == k)
             prep = MD.preprocessor(fs).fit(own)
             # class weights and labels from the fold's own training rows
-            rows = materialize(prep.transform(MD.training_frame(own)).select(*keep))
-            held = materialize(prep.transform(other).select(C.ID, fold_col, C.TARGET, "features"))
-            self.parts.append((k, rows, rows.count(), held))
+            rows = prep.transform(MD.training_frame(own)).select(*keep)
+            held = prep.transform(other).select(C.ID, fold_col, C.TARGET, "features")
+            self.parts.append((k, rows, self.n - sizes[k], held))
         self.prep = MD.preprocessor(fs).fit(train)
-        self.train = materialize(self.prep.transform(MD.training_frame(train)).select(*keep))
-        self.n = self.train.count()
-        self.test = materialize(self.prep.transform(test).select(C.ID, C.TARGET, "features"))
+        self.train = self.prep.transform(MD.training_frame(train)).select(*keep)
+        self.test = self.prep.transform(test).select(C.ID, C.TARGET, "features")
 
 
-def tuned(folds: Folds, model_name: str, settings: list[dict], seed: int = C.SEED):
+def tuned(folds: Folds, model_name: str, settings: list[dict], seed: int = C.SEED, parallel: int = 1):
     """M10 + M11: out-of-fold scores of every setting; the setting with the best
     mean fold F1 is refitted on all training rows, and its out-of-fold scores
-    are kept (they need no second pass). Returns (model, best, search rows, oof)."""
+    are kept (they need no second pass). Fits of settings and folds are
+    independent: up to ``parallel`` run at a time, sharing the executors (fairly
+    where spark.scheduler.mode is FAIR). Returns (model, best, search rows, oof)."""
     weighted = model_name in ("logistic_regression", "random_forest")
-    scored = None
-    for i, s in enumerate(settings):
-        for k, rows, n, held in folds.parts:
-            est = MD.with_reg(MD.classifier(model_name, s, seed, weighted), n)
-            part = MD.scores(est.fit(rows).transform(held)).select(
-                C.ID, "fold", F.col(C.TARGET).alias("y"), "p", "pred", F.lit(i).alias("setting"))
-            scored = part if scored is None else scored.unionByName(part)
+
+    def fit(task):
+        i, (k, rows, n, held) = task
+        est = MD.with_reg(MD.classifier(model_name, settings[i], seed, weighted), n)
+        return MD.scores(est.fit(rows).transform(held)).select(
+            C.ID, "fold", F.col(C.TARGET).alias("y"), "p", "pred", F.lit(i).alias("setting"))
+
+    tasks = [(i, part) for i in range(len(settings)) for part in folds.parts]
+    if parallel > 1:
+        with ThreadPoolExecutor(parallel) as pool:
+            parts = list(pool.map(inheritable_thread_target(folds.train.sparkSession)(fit), tasks))
+    else:
+        parts = list(map(fit, tasks))
+    scored = parts[0]
+    for part in parts[1:]:
+        scored = scored.unionByName(part)
     scored = materialize(scored)
     f1 = M.metrics_from_counts(M.confusion(scored, group_cols=["setting", "fold"])).groupBy("setting").agg(
         F.avg("f1").alias("mean"), F.stddev_pop("f1").alias("std")).orderBy("setting").collect()
@@ -145,62 +162,83 @@ def tuned(folds: Folds, model_name: str, settings: list[dict], seed: int = C.SEE
     return model, best, (search if len(settings) > 1 else []), scored.filter(F.col("setting") == best["setting"]).drop("setting")
 
 
+def run_combination(spark: SparkSession, mf: DataFrame, folds: Folds, experiment: str, model_name: str, settings: list[dict],
+                    seed: int, shap_rows: int | None, permutation_repeats: int, parallel: int) -> tuple:
+    """One combination tuned, scored and explained: (spec, pipeline, {table: rows})."""
+    from leakscope.operators.attribution import global_mean_abs, permutation_importance, tree_attributions
+    from leakscope.operators.split import fixed_sample
+    test = mf.filter(F.col("is_test"))
+    model, best, search, oof = tuned(folds, model_name, settings, seed, parallel)
+    hold = MD.scores(model.stages[-1].transform(folds.test)).select(
+        C.ID, F.lit(None).cast("int").alias("fold"), F.col(C.TARGET).alias("y"), "p", "pred")
+    tables = {"scores": oof.withColumn("part", F.lit("oof")).unionByName(hold.withColumn("part", F.lit("holdout")))}
+    imp = MD.model_importance(model)
+    if imp:
+        tables["feature_importance"] = spark.createDataFrame(imp, "feature STRING, importance DOUBLE")
+    if permutation_repeats and model_name != "dummy_most_frequent":
+        tables["permutation_importance"] = permutation_importance(
+            model, test, folds.fs.feature_columns, n_repeats=permutation_repeats, seed=seed)
+    if model_name in ("random_forest", "xgboost"):
+        rows = test if shap_rows is None else fixed_sample(test, shap_rows, seed)
+        names = folds.prep.feature_names()
+        tables["shap_summary"] = global_mean_abs(tree_attributions(folds.prep.transform(rows), model.stages[-1], names), names)
+    spec = {"experiment": experiment, "model": model_name, "best": best["params"], "search": search}
+    return spec, model, {k: _tag(t, experiment, model_name) for k, t in tables.items()}
+
+
+def rows_digest(mf: DataFrame) -> list:
+    """Count and checksum of the modelling rows, for the ledger's key."""
+    return list(mf.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*sorted(mf.columns)))).first())
+
+
 def run_grid(spark: SparkSession, mf: DataFrame, root: str, experiments: list[str], models: list[str],
              settings: dict | None = None, seed: int = C.SEED, n_iter: int = C.N_ITER, shap_rows: int | None = None,
              permutation_repeats: int = 20, dataset_path: str | None = None, provenance: dict | None = None,
-             prepared: dict | None = None) -> dict:
+             prepared: dict | None = None, parallel: int = 1) -> dict:
     """Tune, score and explain each combination, then write all artifacts
-    in one grouped pass. ``prepared`` may hold ``Folds`` of ``mf`` by experiment.
-    Returns {(experiment, model): fitted pipeline}."""
-    from leakscope.operators.attribution import global_mean_abs, permutation_importance, tree_attributions
+    in one grouped pass and commit them as one run. A combination's outputs go to
+    the ledger when it is done; a grid that was stopped takes them from there if
+    rows, settings and seed are the same. ``prepared`` may hold ``Folds`` of ``mf``
+    by experiment. Returns {(experiment, model): fitted pipeline}."""
     from leakscope.operators.clean import verify_grain
-    from leakscope.operators.split import fixed_sample
     verify_grain(mf, [C.ID])
-    fitted, specs, scores, tables = {}, [], None, {"feature_importance": [], "permutation_importance": [], "shap_summary": []}
-    test = mf.filter(F.col("is_test"))
+    fitted, specs, tables = {}, [], {}
+    digest = rows_digest(mf)
     for e in experiments:
         fs = get_feature_set(e)
         assert_no_lineage_leakage(mf, fs)
-        folds = (prepared or {}).get(e) or Folds(mf, fs)
+        folds = (prepared or {}).get(e)
         for m in models:
             own = (settings or {}).get(m) or MD.search_settings(m, n_iter, seed)
-            model, best, search, oof = tuned(folds, m, own, seed)
-            hold = MD.scores(model.stages[-1].transform(folds.test)).select(
-                C.ID, F.lit(None).cast("int").alias("fold"), F.col(C.TARGET).alias("y"), "p", "pred")
-            both = oof.withColumn("part", F.lit("oof")).unionByName(hold.withColumn("part", F.lit("holdout")))
-            both = _tag(both, e, m)
-            scores = both if scores is None else scores.unionByName(both)
-            fitted[e, m] = model
-            specs.append({"experiment": e, "model": m, "best": best["params"], "search": search})
-            imp = MD.model_importance(model)
-            if imp:
-                tables["feature_importance"].append(_tag(spark.createDataFrame(imp, "feature STRING, importance DOUBLE"), e, m))
-            if permutation_repeats and m != "dummy_most_frequent":
-                tables["permutation_importance"].append(_tag(
-                    permutation_importance(model, test, fs.feature_columns, n_repeats=permutation_repeats, seed=seed), e, m))
-            if m in ("random_forest", "xgboost"):
-                rows = test if shap_rows is None else fixed_sample(test, shap_rows, seed)
-                names = folds.prep.feature_names()
-                attr = tree_attributions(folds.prep.transform(rows), model.stages[-1], names)
-                tables["shap_summary"].append(_tag(global_mean_abs(attr, names), e, m))
+            ledger = R.Ledger(spark, root, R.ledger_key(
+                rows=digest, experiment=e, features=fs.feature_columns, model=m, settings=own, seed=seed, folds=C.N_FOLDS,
+                shap_rows=shap_rows, repeats=permutation_repeats))
+            if ledger.done() is None:
+                folds = folds or Folds(mf, fs)
+                ledger.keep(*run_combination(spark, mf, folds, e, m, own, seed, shap_rows, permutation_repeats, parallel))
+            spec = ledger.done()
+            fitted[e, m] = ledger.model()
+            specs.append(spec)
+            for name in spec["tables"]:
+                tables.setdefault(name, []).append(ledger.table(name))
     features = list(dict.fromkeys(f for e in experiments for f in FEATURE_SETS[e].numeric_features))
-    scored = materialize(scores.join(mf.select(C.ID, *features), C.ID))
-    out = artifacts_from_scores(scored, features, seed)
+    stacked = {name: _stacked(parts) for name, parts in tables.items()}
+    scored = materialize(stacked.pop("scores").join(mf.select(C.ID, *features), C.ID))
+    out = artifacts_from_scores(scored, features, seed) | stacked
     out["error_analysis"] = own_features(out["error_analysis"])
     counts = mf.agg(F.count(F.lit(1)).alias("n"), F.count_if("is_test").alias("t")).first()
     out["metadata"] = metadata(spark, specs, counts["n"], counts["t"], seed, dataset_path, provenance)
-    for name, parts in tables.items():
-        if parts:
-            table = parts[0]
-            for x in parts[1:]:
-                table = table.unionByName(x)
-            out[name] = table
-    write_artifacts(out, root)
-    for (e, m), model in fitted.items():
-        model.write().overwrite().save(f"{root}/models/{e}/{m}")
+    write_artifacts(out, root, fitted)
     return fitted
 
 
+def _stacked(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def run_one(spark: SparkSession, mf: DataFrame, root: str, experiment: str, model_name: str, **options) -> PipelineModel:
     """M20 for one combination; see ``run_grid``."""
     return run_grid(spark, mf, root, [experiment], [model_name], **options)[experiment, model_name]
@@ -217,21 +255,21 @@ def _tag(df: DataFrame, experiment: str, model: str) -> DataFrame:
     return df.withColumn("experiment", F.lit(experiment)).withColumn("model", F.lit(model))
 
 
-def write_artifacts(artifacts: dict[str, DataFrame], root: str) -> None:
-    """Each artifact table, replacing only the partitions it brings."""
-    for name, df in artifacts.items():
-        (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy(*KEYS).parquet(f"{root}/{name}"))
+def write_artifacts(artifacts: dict[str, DataFrame], root: str, models: dict | None = None) -> None:
+    """All tables (and models by combination) of a run, then one commit; the
+    combinations are those of the ``metadata`` table."""
+    spark = artifacts["metadata"].sparkSession
+    run = R.new_run()
+    R.stage(artifacts, root, run)
+    for (e, m), model in (models or {}).items():
+        model.write().save(f"{root}/models/run={run}/{e}/{m}")
+    combinations = [tuple(r) for r in artifacts["metadata"].select(*KEYS).collect()]
+    R.commit(spark, root, run, combinations, list(artifacts))
 
 
 def read_artifact(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A missing table is an error; any other failure is raised as it is."""
-    try:
-        return spark.read.parquet(f"{root}/{name}")
-    except AnalysisException as exc:
-        if exc.getCondition() != "PATH_NOT_FOUND":
-            raise
-        raise MissingInputError(f"artifacts: table {name} not found under {root}") from exc
+    """The committed rows of an artifact table; a missing table is an error."""
+    return R.read_table(spark, root, name)
 
 
 def run_summary(spark: SparkSession, root: str) -> DataFrame:

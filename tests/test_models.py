@@ -276,3 +276,71 @@ def test_boosted_attributions_add_up_to_the_margin_and_are_shapley_values(spark,
                            * (game(r["x"], {*s, j}) - game(r["x"], set(s))) for n in range(k) for s in itertools.combinations(rest, n))
                 assert abs(got["contributions"][j] - want) < 1e-9
     assert any(np.abs(list(r["contributions"])).max() > 0.01 for r in attr.values()) and leaf_paths(trees[0])
+
+
+def test_readers_see_whole_runs_only(spark, tmp_path, monkeypatch):
+    from leakscope.plans import runs as R
+    root = str(tmp_path)
+    table = lambda v, combos: spark.createDataFrame([(e, m, v) for e, m in combos], "experiment string, model string, v int")
+    both, one = [("a", "x"), ("b", "x")], [("a", "x")]
+    EX.write_artifacts({"metadata": table(1, both), "scores": table(1, both)}, root)
+
+    def broken(tables, at, run):
+        tables["metadata"].write.partitionBy(*R.KEYS).parquet(f"{at}/metadata/run={run}")
+        raise OSError("stopped between two tables")
+    with monkeypatch.context() as patch:
+        patch.setattr(R, "stage", broken)
+        with pytest.raises(OSError):
+            EX.write_artifacts({"metadata": table(2, both), "scores": table(2, both)}, root)
+    values = lambda name: sorted(tuple(r) for r in EX.read_artifact(spark, root, name).select("experiment", "model", "v").collect())
+    assert values("metadata") == values("scores") == [("a", "x", 1), ("b", "x", 1)]
+    EX.write_artifacts({"metadata": table(3, one), "extra": table(3, one)}, root)
+    assert values("metadata") == [("a", "x", 3), ("b", "x", 1)]
+    assert values("scores") == [("b", "x", 1)] and values("extra") == [("a", "x", 3)]
+    with pytest.raises(Exception, match="not found"):
+        EX.read_artifact(spark, root, "never")
+    scan = EX.read_artifact(spark, root, "scores")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in scan and "PartitionFilters: []" not in scan
+
+
+def test_two_writers_do_not_lose_each_other(spark, tmp_path, monkeypatch):
+    from leakscope.plans import runs as R
+    root = str(tmp_path)
+    real_put, late = R.Files.put, []
+
+    def put(self, name, value, still):
+        if not late:  # another writer commits first
+            late.append(1)
+            R.commit(spark, root, "r-other", [("b", "x")], ["t"])
+        return real_put(self, name, value, still)
+    monkeypatch.setattr(R.Files, "put", put)
+    monkeypatch.setattr(R, "CLAIM_WAIT", 0.5)
+    R.commit(spark, root, "r-mine", [("a", "x")], ["t"])
+    # a writer that stopped between its claim and its manifest holds up nobody for long
+    files = R.Files(spark, root)
+    files.fs.createNewFile(files.at(f"{R.MANIFESTS}/000000003.json.claim"))
+    R.commit(spark, root, "r-last", [("c", "x")], ["t"])
+    assert R.numbers(files) == [1, 2, 4] and ["c", "x", "r-last"] in R.manifest(spark, root)["combinations"]
+    assert R.ledger_key(model="m", seed=1) == R.ledger_key(seed=1, model="m") != R.ledger_key(model="m", seed=2)
+    assert sorted(map(tuple, R.manifest(spark, root)["combinations"]))[:2] == [("a", "x", "r-mine"), ("b", "x", "r-other")]
+
+
+def test_a_stopped_grid_goes_on_where_it_stopped(spark, tmp_path, monkeypatch):
+    mf = checked_frame(spark)
+    trained = []
+    real_run = EX.run_combination
+
+    def counting(s, m, f, experiment, model, *rest):
+        trained.append((experiment, model))
+        if len(trained) == 2:
+            raise RuntimeError("stopped")
+        return real_run(s, m, f, experiment, model, *rest)
+    monkeypatch.setattr(EX, "run_combination", counting)
+    options = {"settings": {"random_forest": [{"n_estimators": 3, "max_depth": 2}]}, "permutation_repeats": 0, "parallel": 3}
+    combos = (["leakage_aware"], ["random_forest", "dummy_most_frequent"])
+    with pytest.raises(RuntimeError, match="stopped"):
+        EX.run_all(spark, mf, str(tmp_path), *combos, **options)
+    with pytest.raises(Exception, match="not found"):
+        EX.run_summary(spark, str(tmp_path))
+    assert EX.run_all(spark, mf, str(tmp_path), *combos, **options).count() == 2
+    assert trained == [("leakage_aware", "random_forest"), ("leakage_aware", "dummy_most_frequent"), ("leakage_aware", "dummy_most_frequent")]
