@@ -103,27 +103,36 @@ def own_features(df: DataFrame) -> DataFrame:
     return df.filter(F.array_contains(F.element_at(sets, F.col("experiment")), F.col("feature")))
 
 
+def in_parallel(spark: SparkSession, fn, items: list, parallel: int) -> list:
+    """``fn`` of each item, in order; up to ``parallel`` at a time, each in a thread
+    of its own that only submits Spark jobs."""
+    if parallel <= 1:
+        return list(map(fn, items))
+    with ThreadPoolExecutor(parallel) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(fn), items))
+
+
 class Folds:
     """The preprocessing of one feature set, fitted once per fold and once on all
     training rows, then shared by all models and settings. Only the fitted
     constants are kept: they are literals in each fold's plan over the one table
     of rows, and no copy of the rows is written."""
 
-    def __init__(self, mf: DataFrame, fs, fold_col: str = "fold"):
+    def __init__(self, mf: DataFrame, fs, fold_col: str = "fold", parallel: int = 1):
         self.fs = fs
         train, test = mf.filter(~F.col("is_test")), mf.filter(F.col("is_test"))
         keep = [C.ID, fold_col, C.TARGET, MD.LABEL, MD.WEIGHT, "features"]
         sizes = {r[fold_col]: r["count"] for r in train.groupBy(fold_col).count().collect()}
         self.n = sum(sizes.values())
+        folds = sorted(sizes)
+        owns = [train.filter(F.col(fold_col) != k) for k in folds] + [train]
+        *preps, self.prep = in_parallel(mf.sparkSession, MD.preprocessor(fs).fit, owns, parallel)
         self.parts = []
-        for k in sorted(sizes):
-            own, other = train.filter(F.col(fold_col) != k), train.filter(F.col(fold_col) == k)
-            prep = MD.preprocessor(fs).fit(own)
+        for k, own, prep in zip(folds, owns, preps):
             # class weights and labels from the fold's own training rows
             rows = prep.transform(MD.training_frame(own)).select(*keep)
-            held = prep.transform(other).select(C.ID, fold_col, C.TARGET, "features")
+            held = prep.transform(train.filter(F.col(fold_col) == k)).select(C.ID, fold_col, C.TARGET, "features")
             self.parts.append((k, rows, self.n - sizes[k], held))
-        self.prep = MD.preprocessor(fs).fit(train)
         self.train = self.prep.transform(MD.training_frame(train)).select(*keep)
         self.test = self.prep.transform(test).select(C.ID, C.TARGET, "features")
 
@@ -143,11 +152,7 @@ def tuned(folds: Folds, model_name: str, settings: list[dict], seed: int = C.SEE
             C.ID, "fold", F.col(C.TARGET).alias("y"), "p", "pred", F.lit(i).alias("setting"))
 
     tasks = [(i, part) for i in range(len(settings)) for part in folds.parts]
-    if parallel > 1:
-        with ThreadPoolExecutor(parallel) as pool:
-            parts = list(pool.map(inheritable_thread_target(folds.train.sparkSession)(fit), tasks))
-    else:
-        parts = list(map(fit, tasks))
+    parts = in_parallel(folds.train.sparkSession, fit, tasks, parallel)
     scored = parts[0]
     for part in parts[1:]:
         scored = scored.unionByName(part)
@@ -202,22 +207,29 @@ def run_grid(spark: SparkSession, mf: DataFrame, root: str, experiments: list[st
     by experiment. Returns {(experiment, model): fitted pipeline}."""
     from leakscope.operators.clean import verify_grain
     verify_grain(mf, [C.ID])
-    fitted, specs, tables = {}, [], {}
     digest = rows_digest(mf)
     for e in experiments:
-        fs = get_feature_set(e)
-        assert_no_lineage_leakage(mf, fs)
-        folds = (prepared or {}).get(e)
+        assert_no_lineage_leakage(mf, get_feature_set(e))
+
+    def finished(e: str) -> list:
+        """The ledger entries of one experiment's combinations, those trained now included."""
+        fs, folds, out = get_feature_set(e), (prepared or {}).get(e), []
         for m in models:
             own = (settings or {}).get(m) or MD.search_settings(m, n_iter, seed)
             ledger = R.Ledger(spark, root, R.ledger_key(
                 rows=digest, experiment=e, features=fs.feature_columns, model=m, settings=own, seed=seed, folds=C.N_FOLDS,
                 shap_rows=shap_rows, repeats=permutation_repeats))
             if ledger.done() is None:
-                folds = folds or Folds(mf, fs)
+                folds = folds or Folds(mf, fs, parallel=parallel)
                 ledger.keep(*run_combination(spark, mf, folds, e, m, own, seed, shap_rows, permutation_repeats, parallel))
+            out.append(ledger)
+        return out
+
+    fitted, specs, tables = {}, [], {}
+    for ledgers in in_parallel(spark, finished, experiments, parallel):
+        for ledger in ledgers:
             spec = ledger.done()
-            fitted[e, m] = ledger.model()
+            fitted[spec["experiment"], spec["model"]] = ledger.model()
             specs.append(spec)
             for name in spec["tables"]:
                 tables.setdefault(name, []).append(ledger.table(name))
