@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from leakscope import constants as C
 from leakscope.functions.scalar import strip_prefix
 from leakscope.plans import experiment as EX
-from leakscope.plans.q_ingest import cleaned_derived, q_clean_report
+from leakscope.plans.q_ingest import cleaned_derived, q_clean_report, q_null_profile
 from leakscope.plans.q_models import QUICK, anomaly_table, folds, modelling_frame
 from leakscope.plans.q_metrics import PROFILE_FEATURES, split_scored, with_split
 from leakscope.plans.registry import ORACLE, normalise, query, round_half_up
@@ -390,12 +390,26 @@ def q_repro_record(spark, sf_dir):
 
 
 # --- S6 / S10 sinks -------------------------------------------------------------------------
+def validation_root(spark: SparkSession, sf_dir: str) -> str:
+    """The whole written report, the cleaning counts and the null profile of the cleaned table."""
+    def build():
+        root = scratch_path(spark, f"reports/{uuid.uuid4().hex}")
+        q_clean_report(spark, sf_dir).write.parquet(f"{root}/validation_report")
+        q_null_profile(spark, sf_dir).write.parquet(f"{root}/null_profile")
+        return root
+    return run_table(spark, ("validation_root", *input_state(spark, sf_dir)), build)
+
+
 @query("validation_report", ORACLE["clean_report"])
 def q_validation_report(spark, sf_dir):
-    """The cleaning report, written beside the run's tables and read again."""
-    path = scratch_path(spark, f"reports/{uuid.uuid4().hex}/validation_report")
-    q_clean_report(spark, sf_dir).write.parquet(path)
-    return spark.read.parquet(path)
+    """The cleaning counts as written, read again."""
+    return spark.read.parquet(f"{validation_root(spark, sf_dir)}/validation_report")
+
+
+@query("validation_null_profile", ORACLE["null_profile"])
+def q_validation_null_profile(spark, sf_dir):
+    """The null profile as written, read again."""
+    return spark.read.parquet(f"{validation_root(spark, sf_dir)}/null_profile")
 
 
 @query("anomaly_sink")
