@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from . import line_dedup, mixing, quality_rules, substring_dedup
+from . import line_dedup, mixing, substring_dedup
 from .common import WORD
 
 SQL: dict[str, str] = {}
@@ -65,23 +65,28 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_lines, CAST(coalesce(m.n,
 FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
 """
 
-_Q = quality_rules
-_VALUE = f"CASE WHEN bucket = {_Q.ZERO} THEN 0 ELSE pow({_Q.GAMMA!r}, bucket) * {2 / (_Q.GAMMA + 1)!r} END"
+#: Fixed values of op10, stated anew: buckets of 1 % error, quantile levels, resolutions.
+_GAMMA = 1.01 / 0.99
+_LEVELS = {"symbol_ratio": (0.9, 0.01), "dup_line_ratio": (0.99, 0.05), "repeat_ratio": (0.99, 0.05), "mean_word": (0.9, 0.1)}
+_VALUE = f"CASE WHEN bucket = -1000000 THEN 0 ELSE pow({_GAMMA!r}, bucket) * {2 / (_GAMMA + 1)!r} END"
 
 
-def _quartiles(name: str, source: str, keys: str) -> str:
+def _quantiles(name: str, source: str, keys: str) -> str:
     part = f"PARTITION BY {keys}metric"
-    at = ", ".join(f"min({_VALUE}) FILTER (WHERE upto >= {q} * n_all) AS q{i + 1}" for i, q in enumerate((0.25, 0.5, 0.75)))
+    at = ", ".join(f"min({_VALUE}) FILTER (WHERE upto >= {q} * n_all) AS {c}" for q, c in (("0.1", "lo"), ("0.5", "mid"), ("level", "hi")))
     return f"""
-{name}_c AS (SELECT *, sum(n) OVER ({part} ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS upto, sum(n) OVER ({part}) AS n_all FROM {source}),
-{name} AS (SELECT {keys}metric, max(n_all) AS n_rows, {at} FROM {name}_c GROUP BY {keys}metric)"""
+{name}_c AS (SELECT *, sum(n) OVER ({part} ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS upto, sum(n) OVER ({part}) AS n_all,
+             coalesce(sum(n) FILTER (WHERE bucket = -1000000) OVER ({part}), 0) AS n_none FROM {source} JOIN sp USING (metric)),
+{name} AS (SELECT {keys}metric, max(n_all) AS n_rows, {at},
+           coalesce(min({_VALUE}) FILTER (WHERE bucket != -1000000 AND upto - n_none >= 0.25 * (n_all - n_none)), 0) AS pos
+           FROM {name}_c GROUP BY {keys}metric)"""
 
 
-def _pick(q: str) -> str:
-    return (f"CASE WHEN own.n_rows >= {_Q.MIN_ROWS} THEN own.{q} WHEN lang_q.n_rows >= {_Q.MIN_ROWS} THEN lang_q.{q} "
-            f"ELSE every_q.{q} END AS {q}")
+def _pick(q: str, first: str = "") -> str:
+    return f"CASE {first}WHEN lang_q.n_rows >= 200 THEN lang_q.{q} ELSE every_q.{q} END"
 
 
+_BASE = "n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words"
 SQL["op10_quality_rules"] = f"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, {_WORDS} AS w,
                   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS ls FROM documents),
@@ -94,26 +99,31 @@ b AS (SELECT d.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(coa
              CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
              CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(g.n, 0) AS BIGINT) AS n_repeat_words,
              len(ls) AS n_lines FROM d LEFT JOIN g USING (doc_id)),
-m AS (SELECT *, CASE WHEN word_chars > 0 THEN n_symbols / word_chars ELSE 0 END AS symbol_ratio,
+m AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+             CASE WHEN word_chars > 0 THEN n_symbols / word_chars ELSE 0 END AS symbol_ratio,
              CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END AS dup_line_ratio,
              CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0 END AS repeat_ratio,
              CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0 END AS mean_word FROM b),
-v AS ({" UNION ALL ".join(f"SELECT lang, source, '{s}' AS metric, {s} AS x FROM m" for s in _Q.SPREADS)}),
-sketch AS (SELECT lang, source, metric, CASE WHEN x < {_Q.LEAST!r} THEN {_Q.ZERO} ELSE ceil(ln(x) / {math.log(_Q.GAMMA)!r}) END AS bucket,
+fit AS (SELECT DISTINCT * EXCLUDE (doc_id) FROM m WHERE NOT base_failed),
+v AS ({" UNION ALL ".join(f"SELECT lang, source, '{s}' AS metric, {s} AS x FROM fit" for s in _LEVELS)}),
+sp(metric, level, least) AS (VALUES {", ".join(f"('{k}', CAST({v} AS DOUBLE), CAST({r} AS DOUBLE))" for k, (v, r) in _LEVELS.items())}),
+sketch AS (SELECT lang, source, metric, CASE WHEN x < 1e-9 THEN -1000000 ELSE ceil(ln(x) / {math.log(_GAMMA)!r}) END AS bucket,
                   count(*) AS n FROM v GROUP BY ALL),
 by_lang AS (SELECT lang, metric, bucket, sum(n) AS n FROM sketch GROUP BY ALL),
 every AS (SELECT metric, bucket, sum(n) AS n FROM sketch GROUP BY ALL),
-{_quartiles("own", "sketch", "lang, source, ")}, {_quartiles("lang_q", "by_lang", "lang, ")}, {_quartiles("every_q", "every", "")},
-q AS (SELECT own.lang, own.source, own.metric, {_pick("q1")}, {_pick("q2")}, {_pick("q3")}
+{_quantiles("own", "sketch", "lang, source, ")}, {_quantiles("lang_q", "by_lang", "lang, ")}, {_quantiles("every_q", "every", "")},
+q AS (SELECT own.lang, own.source, own.metric, {", ".join(_pick(c, f"WHEN own.n_rows >= 200 THEN own.{c} ") + f" AS {c}" for c in ("lo", "mid", "hi", "pos"))},
+             {_pick("pos")} AS lang_pos
       FROM own JOIN lang_q ON own.lang IS NOT DISTINCT FROM lang_q.lang AND own.metric = lang_q.metric
       JOIN every_q ON own.metric = every_q.metric),
-sp(metric, spread) AS (VALUES {", ".join(f"('{k}', CAST({v} AS DOUBLE))" for k, v in _Q.SPREADS.items())}),
-fence AS (SELECT lang, source, metric, q2 - {_Q.REACH} * greatest(q2 - q1, spread) AS low, q2 + {_Q.REACH} * greatest(q3 - q2, spread) AS high
+fence AS (SELECT lang, source, metric,
+                 CASE WHEN metric = 'mean_word' THEN (mid - 3.0 * greatest(mid - lo, least)) / {_GAMMA!r} ELSE 0 END AS low,
+                 CASE WHEN metric = 'mean_word' THEN mid + 3.0 * greatest(hi - mid, least)
+                      ELSE greatest(2 * hi, pos / 2, lang_pos / 2, least) END * {_GAMMA!r} AS high
           FROM q JOIN sp USING (metric)),
-lim AS (SELECT lang, source, {", ".join(f"max({c}) FILTER (WHERE metric = '{s}') AS {c}_{s}" for s in _Q.SPREADS for c in ("low", "high"))}
+lim AS (SELECT lang, source, {", ".join(f"max({c}) FILTER (WHERE metric = '{s}') AS {c}_{s}" for s in _LEVELS for c in ("low", "high"))}
         FROM fence GROUP BY lang, source)
-SELECT doc_id, {", ".join(_Q.BASE)}, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
-       AND {" AND ".join(f"{s} BETWEEN low_{s} AND high_{s}" for s in _Q.SPREADS)} AS kept
-FROM m JOIN lim ON m.lang IS NOT DISTINCT FROM lim.lang AND m.source IS NOT DISTINCT FROM lim.source
+SELECT doc_id, {_BASE}, base_failed,
+       NOT base_failed AND {" AND ".join(f"{s} BETWEEN low_{s} AND high_{s}" for s in _LEVELS)} AS kept
+FROM m LEFT JOIN lim ON m.lang IS NOT DISTINCT FROM lim.lang AND m.source IS NOT DISTINCT FROM lim.source
 """

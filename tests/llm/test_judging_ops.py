@@ -4,6 +4,7 @@ from collections import Counter
 
 from leakscope.llm import pii, quality_rules, rule_classifier, url_filter
 from leakscope.llm.queries import QUERIES
+from leakscope.session import materialize
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -47,10 +48,35 @@ def test_thresholds_follow_their_group_and_small_groups_use_merged_sketches(spar
     rows = ([("en", "a", 0.01 * (i % 5)) for i in range(400)] + [("en", "b", 1 + 0.01 * (i % 5)) for i in range(400)]
             + [("en", "few", 9.0)] + [("xx", "only", 9.0)])
     df = spark.createDataFrame(rows, "lang string, source string, symbol_ratio double").withColumns(
-        {m: F.lit(0.5) for m in quality_rules.SPREADS if m != "symbol_ratio"})
+        {m: F.lit(0.5) for m in quality_rules.LEVELS if m != "symbol_ratio"})
     got = {(r["lang"], r["source"]): r for r in quality_rules.thresholds(df).collect()}
-    assert got["en", "a"]["high_symbol_ratio"] < 0.2 < 0.8 < got["en", "b"]["low_symbol_ratio"]
+    assert got["en", "a"]["high_symbol_ratio"] < 0.2 < 1.04 < got["en", "b"]["high_symbol_ratio"]
     assert got["en", "few"]["high_symbol_ratio"] < 9 and got["xx", "only"]["high_symbol_ratio"] < 9
+    assert all(r["low_mean_word"] < 0.5 < r["high_mean_word"] and r["high_repeat_ratio"] > 0.5 for r in got.values())
+
+
+def test_fences_differ_by_group_in_every_statistic_and_no_junk_slips_under(spark):
+    path = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{path}/{x}.parquet") for x in ("documents", "labels"))
+    measured = materialize(quality_rules.ratios(quality_rules.statistics(docs).drop("text")))
+    failed = (F.col("n_words") < 50) | (2 * F.col("n_repeat_words") > F.col("n_words"))
+    limits = quality_rules.thresholds(measured.where(~failed)).collect()
+    for m in quality_rules.LEVELS:
+        highs = {round(r[f"high_{m}"], 6) for r in limits}
+        assert len(highs) >= 4 and max(highs) > quality_rules.RESOLUTION[m] * quality_rules.GAMMA
+    got = quality_rules.judge(docs).join(labels, "doc_id").where("not base_failed").collect()
+    assert sum(r["kept"] for r in got if r["quality"] == 0) == 0
+    good = [r for r in got if r["quality"] == 1]
+    assert sum(r["kept"] for r in good) >= 0.99 * len(good)
+
+
+def test_copies_of_one_text_do_not_set_the_fences(spark):
+    text = lambda n, i: " ".join("w" * (3 + (n * 7 + j * j) % (4 + n % 3)) + str(j) for j in range(60 + i))
+    rows = [(i, text(i, i % 40)) for i in range(300)] + [(1000 + i, text(3, 5)) for i in range(5000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("a")})
+    alone = {r["doc_id"]: r["kept"] for r in quality_rules.judge(df.where("doc_id < 1000")).collect()}
+    both = {r["doc_id"]: r["kept"] for r in quality_rules.judge(df).collect()}
+    assert all(alone.values()) and all(both.values())
 
 
 def test_classifier_on_held_out_labels(spark):
