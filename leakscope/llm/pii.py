@@ -10,6 +10,13 @@ Distinctness is checked over all entities of the corpus: where two would share
 a surrogate, or a surrogate is itself an entity, one is drawn again until none
 clashes. Drawing again widens the space, so this ends. Only those entities are
 joined back to documents; all other surrogates are computed where they stand.
+
+Names are found after a title, up to three words with hyphens, apostrophes and
+inner or only capitals; the same document's mentions of that name, or of its
+surname, without a title are replaced alike. Not found: persons never named
+with a title, names in scripts without capitals, street addresses, dates of
+birth, phones of fewer than ten digits without country or area code, and two
+spellings of one IPv6 address count as two.
 """
 
 from __future__ import annotations
@@ -19,22 +26,26 @@ from pyspark.sql import functions as F
 
 from leakscope.session import materialize
 
-from .common import NO_ID, fresh
+from .common import NO_ID, fresh, row_print
 
 MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин", "Κύριος")
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа", "Κυρία")
 ANY = ("Dr", "Prof")
+TITLE = r"(?<!\p{L})(?:" + "|".join(sorted(MALE + FEMALE + ANY, key=lambda t: (-len(t), t))) + ")"
+PART = r"\p{Lu}\p{L}*(?:['’-]\p{L}+)*"
 #: What each kind looks like.
 PATTERNS = {
     "email": r"(?<![\w.%+-])[\w.%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+)+",
     "secret": r"(?<![0-9A-Za-z])(?:(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36})(?![0-9A-Za-z])",
-    "card": r"(?<![\d.])\d{4}(?:[ -]?\d{4}){3}(?!\d)",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)",
+    "card": r"(?<![\d.])(?:\d{4}(?:[ -]?\d{4}){3}|3[47]\d{2}[ -]?\d{6}[ -]?\d{5})(?!\d)",
+    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)"
+             r"|(?<![\w+.-])\d{3}(?:-\d{3}-|\.\d{3}\.| \d{3} )\d{4}(?![\d-])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
+    "ipv6": r"(?<![\w:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}"
+            r"|(?=[0-9A-Fa-f:]*\d)(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "iban": r"(?<![A-Z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Z0-9])",
-    "name": r"(?<!\p{L})(?:" + "|".join(sorted(MALE + FEMALE + ANY, key=lambda t: (-len(t), t)))
-            + r")\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
+    "name": TITLE + r"\.? " + PART + "(?: " + PART + "){0,2}",
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 DIGITS = ("card", "phone", "ssn")
@@ -49,7 +60,7 @@ ENDINGS = {"female": 0, "male": 3, "any": 1}
 def kind(e):
     """The kind of an entity, by the same patterns."""
     out = F.lit("name")
-    for name in ("iban", "ssn", "ip", "phone", "card", "secret", "email"):
+    for name in ("iban", "ssn", "ipv6", "ip", "phone", "card", "secret", "email"):
         out = F.when(F.regexp_extract(e, f"^(?:{PATTERNS[name]})$", 0) != "", F.lit(name)).otherwise(out)
     return out
 
@@ -57,7 +68,7 @@ def kind(e):
 def canonical(e, k):
     """One form for all mentions of an entity."""
     name = F.concat(gender(e), F.lit(" "), F.lower(F.regexp_extract(e, r"^\S+ (.*)$", 1)))
-    return (F.when(k.isin(*DIGITS), F.regexp_replace(e, "[^0-9]", "")).when(k == "email", F.lower(e))
+    return (F.when(k.isin(*DIGITS), F.regexp_replace(e, "[^0-9]", "")).when(k.isin("email", "ipv6"), F.lower(e))
             .when(k == "iban", F.regexp_replace(e, " ", "")).when(k == "name", name).otherwise(e))
 
 
@@ -92,15 +103,23 @@ def alike(text, hex_digits):
     return F.array_join(F.transform(F.split(text, ""), one), "")
 
 
-def laid_out(form, digits):
-    """The digits, one by one in the places of ``form``'s digits; more digits than places follow the last."""
+def laid_out(form, chars, place="[0-9]"):
+    """The characters, one by one in the places of ``form``; more of them than places follow the last."""
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def step(s, c):
-        is_digit = c.rlike("[0-9]")
-        return F.struct(F.concat(s["out"], F.when(is_digit, F.substring(digits, s["at"] + 1, F.lit(1))).otherwise(c)).alias("out"),
-                        (s["at"] + is_digit.cast("int")).alias("at"))
-    return F.aggregate(F.split(form, ""), start, step, lambda s: F.concat(s["out"], F.substring(digits, s["at"] + 1, F.lit(64))))
+        here = c.rlike(place)
+        return F.struct(F.concat(s["out"], F.when(here, F.substring(chars, s["at"] + 1, F.lit(1))).otherwise(c)).alias("out"),
+                        (s["at"] + here.cast("int")).alias("at"))
+    return F.aggregate(F.split(form, ""), start, step, lambda s: F.concat(s["out"], F.substring(chars, s["at"] + 1, F.lit(64))))
+
+
+def check_digits(country, rest):
+    """The two check digits of an IBAN: 98 less the remainder by 97, letters as 10 to 35."""
+    def step(s, c):
+        at = F.call_function("locate", c, F.lit(FIGURES + UPPER)) - 1
+        return F.pmod(s * F.when(at < 10, 10).otherwise(100) + at, F.lit(97))
+    return F.aggregate(F.split(F.concat(rest, country, F.lit("00")), ""), F.lit(0), step, lambda s: F.lpad((98 - s).cast("string"), 2, "0"))
 
 
 def more(hex_digits, attempt, alphabet):
@@ -136,13 +155,20 @@ def surrogate(e, k, c, h, attempt, key):
     prefix = F.when(plain_hex, F.lit("")).otherwise(F.regexp_extract(e, "^(?:AKIA|gh._)", 0))
     secret = F.when(plain_hex, F.substring(h, F.lit(1), F.length(e))).otherwise(
         F.concat(prefix, alike(F.substring(e, F.length(prefix) + 1, F.length(e)), h)))
-    iban = F.concat(F.substring(e, 1, 2), alike(F.substring(e, F.lit(3), F.length(e)), h))
+    country, account = F.substring(c, 1, 2), alike(F.substring(c, F.lit(5), F.length(c)), h)
+    iban = laid_out(e, F.concat(country, check_digits(country, account), account), "[0-9A-Z]")
+    hexes = F.array_join(F.transform(F.split(c, ""), lambda x, i: F.when(x == ":", x).otherwise(draw(h, i, "123456789abcdef"))), "")
+    hexes = F.concat(hexes, more(h, attempt, "123456789abcdef"))
+    ipv6 = F.when(e == F.upper(e), F.upper(hexes)).otherwise(hexes)
 
     title = F.regexp_extract(e, r"^\S+ ", 0)
-    names = F.split(F.regexp_extract(e, r"^\S+ (.*)$", 1), " ")
+    whole = F.regexp_extract(e, r"^\S+ (.*)$", 1)
+    names, gaps = F.split(whole, "[ -]"), F.split(whole, "[^ -]+")
+    before = F.regexp_extract(whole, "^(.*) ", 1)
+    n_given = F.when(before == "", 0).otherwise(F.size(F.split(before, "[ -]")))
 
     def name(word, i):
-        given = (i == 0) & (F.size(names) > 1)
+        given = i < n_given
         # A surname is drawn from itself alone: "Mr Roe" and "Mr Jan Roe" keep their surname in common.
         own = digest(key, F.lit("name"), F.when(given, gender(e)).otherwise(F.lit("")), F.lower(word), attempt)
         out = F.lit("")
@@ -154,11 +180,11 @@ def surrogate(e, k, c, h, attempt, key):
                 ending = F.when(gender(e) == g, F.lit(vowels[v])).otherwise(ending)
             made = F.initcap(F.when(given, F.concat(F.substring(made, F.lit(1), F.length(made) - 1), ending)).otherwise(made))
             out = F.when(word.rlike(f"^{letters}"), made).otherwise(out)
-        return out
-    person = F.concat(title, F.array_join(F.transform(names, name), " "))
+        return F.when((F.length(word) > 1) & (word == F.upper(word)), F.upper(out)).otherwise(out)
+    person = F.concat(title, F.array_join(F.zip_with(gaps, F.transform(names, name), lambda g, n: F.concat(g, F.coalesce(n, F.lit("")))), ""))
 
     return (F.when(k.isin(*DIGITS), digits).when(k == "email", email).when(k == "ip", ip).when(k == "secret", secret)
-            .when(k == "iban", iban).otherwise(person))
+            .when(k == "iban", iban).when(k == "ipv6", ipv6).otherwise(person))
 
 
 def resolve(entities: DataFrame, key: str) -> DataFrame:
@@ -190,32 +216,60 @@ def resolve(entities: DataFrame, key: str) -> DataFrame:
     return again.groupBy("kind", "canon").agg(F.max("attempt").alias("attempt"))
 
 
+def untitled(found):
+    """A pattern of the titled names in ``found`` and of their surnames as they
+    stand without a title; null where there are none. Names hold only letters,
+    blanks, hyphens and apostrophes."""
+    whole = F.transform(F.filter(found, lambda e: e.rlike(f"^{TITLE}")), lambda e: F.regexp_extract(e, r"^\S+ (.*)$", 1))
+    forms = F.concat(whole, F.transform(whole, lambda n: F.substring_index(n, " ", -1)))
+    # The longest first, so that a surname does not cut a whole name short.
+    forms = F.array_distinct(F.reverse(F.array_sort(F.transform(forms, lambda n: F.struct(F.length(n).alias("l"), n.alias("n"))))))
+    return F.when(F.size(whole) > 0, F.concat(F.lit(r"(?<![\p{L}'’-])(?:"), F.array_join(forms["n"], "|"), F.lit(r")(?![\p{L}])(?![-'’]\p{L})")))
+
+
+def last_words(name, n):
+    return F.array_join(F.slice(F.split(name, " "), -n, n), " ")
+
+
 def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with surrogates in its text, and n_entities.
 
     ``key`` is secret: with it, the same corpus gives the same surrogates. Null
-    texts stay null and empty ones empty, with no entities. Rows may repeat or
-    share an id. Other columns pass through; a column n_entities is replaced.
+    texts stay null and empty ones empty, with no entities; very long ones are
+    searched whole; an empty table gives no rows. Rows may repeat or share an
+    id, or have none. Other columns pass through; a column n_entities is replaced.
     """
     base = docs.drop("n_entities")
-    text, doc = F.col(text_col), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    mentions = base.select(doc.alias("doc"), F.explode(F.array_distinct(
-        F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)))).alias("form"))
+    text = F.col(text_col)
+    mentions = base.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), row_print(text_col).alias("row"),
+                           F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)))).alias("form"))
     mentions = mentions.withColumn("kind", kind(F.col("form")))
     mentions = materialize(mentions.withColumn("canon", canonical(F.col("form"), F.col("kind"))))
     entities = materialize(mentions.groupBy("kind", "canon").agg(F.min("form").alias("form")))
     again = resolve(entities, key).select(F.col("kind").alias("akind"), F.col("canon").alias("acanon"), "attempt")
-    adoc, attempts, found, key_col = (fresh(base, x) for x in ("adoc", "attempts", "found", "doc"))
+    adoc, arow, attempts, found, titled, key_col, row_col, more_names = (
+        fresh(base, x) for x in ("adoc", "arow", "attempts", "found", "titled", "doc", "row", "names"))
     per_doc = (mentions.join(again, (F.col("kind") == F.col("akind")) & (F.col("canon") == F.col("acanon")))
-               .groupBy(F.col("doc").alias(adoc))
+               .groupBy(F.col("doc").alias(adoc), F.col("row").alias(arow))
                .agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws(" ", "kind", "canon"), "attempt"))).alias(attempts)))
-    joined = base.withColumn(key_col, doc).join(per_doc, F.col(key_col) == F.col(adoc), "left")
-    joined = joined.withColumn(found, F.coalesce(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)), F.array().cast("array<string>")))
+    joined = base.withColumns({key_col: F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), row_col: row_print(text_col)})
+    joined = joined.join(per_doc, (F.col(key_col) == F.col(adoc)) & (F.col(row_col) == F.col(arow)), "left")
+    every = lambda pattern: F.coalesce(F.regexp_extract_all(text, pattern, F.lit(0)), F.array().cast("array<string>"))
+    joined = joined.withColumn(titled, every(F.lit(ENTITY)))
+    joined = joined.withColumn(more_names, untitled(F.col(titled)))
+    pattern = F.concat(F.lit(ENTITY + "|"), F.col(more_names))
+    joined = joined.withColumn(found, F.when(F.col(more_names).isNull(), F.col(titled)).otherwise(every(pattern)))
+
+    # A name without a title stands for the first titled name that ends like it.
+    def meant(e):
+        like = F.filter(F.col(titled), lambda f: f.rlike(f"^{TITLE}") & f.endswith(F.concat(F.lit(" "), e)))
+        return F.when(F.col(more_names).isNull() | F.array_contains(F.col(titled), e), e).otherwise(F.coalesce(F.get(like, F.lit(0)), e))
 
     # One step of transform per field, so that no field is worked out more than once a mention.
-    steps = [("k", lambda x: kind(x["e"])), ("c", lambda x: canonical(x["e"], x["k"])),
+    steps = [("t", lambda x: meant(x["e"])), ("k", lambda x: kind(x["t"])), ("c", lambda x: canonical(x["t"], x["k"])),
              ("a", lambda x: F.coalesce(F.try_element_at(F.col(attempts), F.concat_ws(" ", x["k"], x["c"])), F.lit(0))),
-             ("h", lambda x: digest(key, x["k"], x["c"], x["a"]))]
+             ("h", lambda x: digest(key, x["k"], x["c"], x["a"])),
+             ("s", lambda x: surrogate(x["t"], x["k"], x["c"], x["h"], x["a"], key))]
     def with_field(mention, have, name, value):
         return F.transform(mention, lambda x: F.struct(*[x[n].alias(n) for n in have], value(x).alias(name)))
 
@@ -223,9 +277,10 @@ def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col
     for name, value in steps:
         mention = with_field(mention, have, name, value)
         have.append(name)
-    new_forms = F.transform(mention, lambda x: surrogate(x["e"], x["k"], x["c"], x["h"], x["a"], key))
+    new_forms = F.transform(mention, lambda x: F.when(x["e"] == x["t"], x["s"]).otherwise(
+        last_words(x["s"], F.size(F.split(x["e"], " ")))))
 
-    gaps = F.split(text, ENTITY, -1)
+    gaps = F.when(F.col(more_names).isNull(), F.split(text, ENTITY, -1)).otherwise(F.split(text, pattern, -1))
     parts = F.zip_with(gaps, new_forms, lambda g, s: F.concat(g, F.coalesce(s, F.lit(""))))
     new = F.when(F.size(found) == 0, text).otherwise(F.array_join(parts, ""))
     return joined.select(*[new.alias(c) if c == text_col else base[c] for c in base.columns],

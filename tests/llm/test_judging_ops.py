@@ -194,6 +194,46 @@ def test_pii_formats_genders_scripts_and_coreference(spark):
     assert sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits)) % 10 == 0
 
 
+def iban_valid(x):
+    x = x.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+
+
+def test_pii_one_iban_in_two_layouts_has_one_valid_surrogate(spark):
+    text = "DE89370400440532013000 or DE89 3704 0044 0532 0130 00, GB82 WEST 1234 5698 7654 32"
+    out = pii.replace_entities(spark.createDataFrame([(1, text)], "doc_id long, text string"), "k").first()["text"]
+    m = re.fullmatch(r"(DE\d{20}) or (DE\d\d(?: \d{4}){4} \d\d), (GB\d\d [A-Z]{4}(?: \d{4}){3} \d\d)", out)
+    assert m and m.group(1) == m.group(2).replace(" ", "") and text[:22] != m.group(1)
+    assert all(map(iban_valid, m.groups()))
+
+
+def test_pii_names_of_every_form_and_untitled_mentions(spark):
+    names = ["Mr McDonald", "Mrs Anna Maria Roe", "Dr Anne-Marie O'Neil", "Herr Müller-Schmidt", "Mr. JONES", "Frau Ilse Vogt"]
+    text = "; ".join(names) + " | Anna Maria Roe, Roe, O'Neil, Jones, JONES, Müller-Schmidt, Vogt, Roebuck, Vogt-Xy and vogt"
+    df = spark.createDataFrame([(1, text), (2, "Roe and Vogt stay here")], "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in pii.replace_entities(df, "k").collect()}
+    titled, rest = out[1].split(" | ")
+    new = titled.split("; ")
+    for old, x in zip(names, new):
+        assert x.split(" ")[0] == old.split(" ")[0] and x.count(" ") == old.count(" ") and x.count("-") == old.count("-")
+        assert not set(re.split("[ -]", old)[1:]) & set(re.split("[ -]", x)[1:])
+    assert new[4].split(" ")[1].isupper()
+    last = [x.split(" ")[-1] for x in new]
+    assert rest == (f"{new[1].split(' ', 1)[1]}, {last[1]}, {last[2]}, Jones, {last[4]}, {last[3]}, {last[5]}, Roebuck, Vogt-Xy and vogt")
+    assert out[2] == "Roe and Vogt stay here"
+
+
+def test_pii_plain_phones_short_cards_and_ipv6(spark):
+    text = "555-123-4567 555.123.4567 3782 822463 10005 2001:db8::ff00:42 2001:0DB8:0:0:0:FF00:42:8329 std::map 12:30:45 1.5.2"
+    out = pii.replace_entities(spark.createDataFrame([(1, text)], "doc_id long, text string"), "k").first()["text"]
+    m = re.fullmatch(r"(\d{3}-\d{3}-\d{4}) (\d{3}\.\d{3}\.\d{4}) (3\d{3} \d{6} \d{5}) ([0-9a-f]{4}:[0-9a-f]{3}::[0-9a-f]{4}:[0-9a-f]{2}) "
+                     r"([0-9A-F]{4}:[0-9A-F]{4}(?::[0-9A-F]){3}:[0-9A-F]{4}:[0-9A-F]{2}:[0-9A-F]{4}) std::map 12:30:45 1\.5\.2", out)
+    assert m, out
+    assert m.group(1) == m.group(2).replace(".", "-") and not set(m.groups()) & set(text.split(" "))
+    digits = [int(c) for c in m.group(3) if c.isdigit()][::-1]
+    assert sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits)) % 10 == 0
+
+
 def test_pii_collisions_are_drawn_again(spark):
     mails = [f"{i:02d}@mail.example.com" for i in range(100)]  # two figures: surrogates must clash at first
     df = spark.createDataFrame([(i, f"to {m}") for i, m in enumerate(mails)], "doc_id long, text string")
