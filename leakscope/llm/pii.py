@@ -47,7 +47,8 @@ PATTERNS = {
     "iban": r"(?<![A-Z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Z0-9])",
     "name": TITLE + r"\.? " + PART + "(?: " + PART + "){0,2}",
 }
-ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: No entity starts inside a run of small letters or with white space; most places are passed over by that alone.
+ENTITY = r"(?!(?<=[a-z])[a-z]|\s)(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
 DIGITS = ("card", "phone", "ssn")
 #: Script, its letters' range, consonants and vowels for made-up names.
 SCRIPTS = (("cyrillic", r"\p{IsCyrillic}", "бвгдзклмнпрст", "аеио"),
