@@ -1,7 +1,8 @@
 """Seed-and-extend search for repeated windows of units (words or lines).
 
-A document is a sequence of units; a window is ``size`` consecutive units with
-at least ``min_words`` words. A unit is *repeated* when it lies in a window
+A document is a sequence of units; which runs of consecutive units are windows
+is a function of the units alone (``fixed``, ``qualified``), and no window holds
+another one strictly inside. A unit is *repeated* when it lies in a window
 whose unit sequence also starts earlier (smaller doc_id, then print of the text, or
 the same document at an earlier start). The search is exact and emits no pairs:
 
@@ -34,30 +35,73 @@ from pyspark.sql.window import Window
 from .common import NO_ID, Hashes, Powers, fresh, mixed, prefix_sums, range_hashes, row_print, stored
 
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-BITS = 8  # of the packed lengths, so size <= 256
+
+
+def fixed(size: int) -> Callable:
+    """Windows: every run of ``size`` units."""
+    if size < 1:
+        raise ValueError("size >= 1 is needed")
+
+    def run(units):
+        start = np.arange(max(len(units) - size + 1, 0))
+        return start, start + size
+    return run
+
+
+def qualified(min_units: int, min_words: int, long_words: int) -> Callable:
+    """Windows: the shortest runs, from each unit on and up to each unit, that hold
+    ``min_units`` units and ``min_words`` words, or ``long_words`` words in any
+    number of units. They cover each longer run that does so, and nothing else.
+    Every unit must hold a word."""
+    if min_units < 1 or long_words < 1:
+        raise ValueError("min_units >= 1 and long_words >= 1 are needed")
+
+    def run(units):
+        n = len(units)
+        upto = np.concatenate([[0], np.cumsum([len(u.split()) for u in units])]).astype(np.int64)
+        at = np.arange(n)
+        stop = np.minimum(np.maximum(np.searchsorted(upto, upto[:-1] + min_words), at + min_units),
+                          np.searchsorted(upto, upto[:-1] + long_words))
+        start = np.maximum(np.minimum(np.searchsorted(upto, upto[1:] - min_words, "right"), at + 2 - min_units),
+                           np.searchsorted(upto, upto[1:] - long_words, "right")) - 1
+        whole, back = stop <= n, start >= 0
+        both = np.unique(np.concatenate([at[whole] << 32 | stop[whole], start[back] << 32 | at[back] + 1]))
+        return both >> 32, both & 0xFFFFFFFF
+    return run
+
+
+def leftmost_least(x: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The place of the least x[start:stop] of each range, the first of equal ones."""
+    width = stop - start
+    if (width == width[0]).all():
+        view = np.lib.stride_tricks.sliding_window_view(x, width[0])
+        return (view if len(view) == len(start) else view[start]).argmin(axis=1) + start
+    power = np.frexp(width)[1] - 1  # the whole part of the width's binary logarithm
+    out, best = start.copy(), np.arange(len(x))
+    for level in range(power.max() + 1):
+        own = power == level
+        left, right = best[start[own]], best[stop[own] - (1 << level)]
+        out[own] = np.where(x[left] <= x[right], left, right)
+        left, right = best[:max(len(best) - (1 << level), 0)], best[1 << level:]
+        best = np.where(x[left] <= x[right], left, right)
+    return out
 
 
 class Sequences:
     """Unit hashes of a text, and from them anchors, spans and windows."""
 
-    def __init__(self, split: Callable, size: int, gram: int, min_words: int):
-        if not 1 <= gram <= size <= 1 << BITS:
-            raise ValueError("1 <= gram <= size <= 256 is needed")
-        self.split, self.size, self.gram, self.min_words = split, size, gram, min_words
+    def __init__(self, split: Callable, windows: Callable, gram: int):
+        self.split, self.cut, self.gram = split, windows, gram
         self.hashes, self.powers = Hashes(), [Powers(b) for b in BASES]
 
     def load(self, text: bytes) -> bool:
-        """False where the text is shorter than a window."""
+        """False where the text has no window."""
         units = self.split(text)
-        self.starts = len(units) - self.size + 1
-        if self.starts < 1:
+        self.start, self.stop = self.cut(units)
+        if len(self.start) == 0:
             return False
         own = self.hashes.of(units)
         self.sums = [prefix_sums(own, p) for p in self.powers]
-        self.wide = None
-        if self.min_words > 1:
-            n = np.concatenate([[0], np.cumsum([len(u.split()) for u in units])])
-            self.wide = n[self.size:] - n[:-self.size] >= self.min_words
         return True
 
     def of_range(self, which: int, start, stop):
@@ -65,33 +109,28 @@ class Sequences:
         return range_hashes(sums, down, start, stop).view(np.int64)
 
     def anchors(self):
-        """(hash of the anchor, hash of its span, first window, windows - 1) of each anchor."""
-        at = np.arange(self.starts + self.size - self.gram)
+        """(hash of the anchor, hash of its span, the span's start and stop) of each anchor."""
+        at = np.arange(len(self.sums[0][0]) - self.gram)
         grams = self.of_range(0, at, at + self.gram)
         # Compare another scrambling than the one that is the key: minima would share high bits.
         order = mixed(grams.view(np.uint64) ^ np.uint64(BASES[1]))
-        width = self.size - self.gram + 1
-        pick = np.lib.stride_tricks.sliding_window_view(order, width).argmin(axis=1) + np.arange(self.starts)
+        pick = leftmost_least(order, self.start, self.stop - self.gram + 1)
         new = np.concatenate([[True], pick[1:] != pick[:-1]])
-        if self.wide is not None:  # windows with too few words end a span and belong to none
-            new[1:] |= self.wide[1:] != self.wide[:-1]
         first = np.flatnonzero(new)
-        last = np.concatenate([first[1:], [self.starts]]) - 1
-        if self.wide is not None:
-            keep = self.wide[first]
-            first, last = first[keep], last[keep]
-        offset = (pick[first] - first) << BITS | (last - first)  # equal spans must also lie alike
+        last = np.concatenate([first[1:], [len(pick)]]) - 1
+        start, stop = self.start[first], self.stop[last]
+        offset = (pick[first] - start) << 32 | (stop - start)  # equal spans must also lie alike
         with np.errstate(over="ignore"):
-            spans = mixed(self.of_range(1, first, last + self.size).view(np.uint64) ^ mixed(offset.astype(np.uint64)))
-        return grams[pick[first]], spans.view(np.int64), first, last - first
+            spans = mixed(self.of_range(1, start, stop).view(np.uint64) ^ mixed(offset.astype(np.uint64)))
+        return grams[pick[first]], spans.view(np.int64), start, stop
 
-    def windows(self, first, more):
-        """Both hashes and the start of each window of the spans."""
-        if len(first) == 0:
-            return (np.zeros(0, np.int64),) * 3
-        n = more + 1
-        at = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return self.of_range(0, at, at + self.size), self.of_range(1, at, at + self.size), at
+    def windows(self, start, stop):
+        """Both hashes, start and stop of each window inside the spans; none where a span is not of this text."""
+        first = np.searchsorted(self.start, start)
+        n = np.maximum(np.searchsorted(self.stop, stop, "right") - first, 0)
+        at = np.unique(np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+        a, b = self.start[at], self.stop[at]
+        return self.of_range(0, a, b), self.of_range(1, a, b), a, b
 
 
 def united(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,7 +155,7 @@ def earlier_first(key1, key2, doc, at) -> np.ndarray:
     return out
 
 
-FOUND = "key1 long, key2 long, doc long, row long, start int, more int"
+FOUND = "key1 long, key2 long, doc long, row long, start int, stop int"
 
 
 def places(batch) -> tuple[np.ndarray, list[int]]:
@@ -127,12 +166,12 @@ def places(batch) -> tuple[np.ndarray, list[int]]:
     return np.array(known, np.int64).reshape(-1, 2), [place[x] for x in own]
 
 
-def reduced(known, key1, key2, doc, start, more, size):
+def reduced(known, key1, key2, doc, start, stop):
     """A batch of occurrences, documents by their place in ``known``: the first of
     each key goes on, the others are united per document to repeated ranges
-    [start, more) under null keys."""
+    [start, stop) under null keys."""
     first = earlier_first(key1, key2, doc, start)
-    docs, a, b = doc[~first], start[~first], start[~first] + more[~first] + size
+    docs, a, b = doc[~first], start[~first], stop[~first]
     done: tuple[list, list, list] = ([], [], [])
     order = np.argsort(docs, kind="stable")
     for at in np.split(order, np.flatnonzero(np.diff(docs[order])) + 1) if len(order) else []:
@@ -147,31 +186,31 @@ def reduced(known, key1, key2, doc, start, more, size):
         pa.chunked_array([pa.array(key1[first]), null]).combine_chunks(),
         pa.chunked_array([pa.array(key2[first]), null]).combine_chunks(),
         pa.array(known[place, 0]), pa.array(known[place, 1]),
-        column(start, done[1], pa.int32()), column(more, done[2], pa.int32())],
-        names=["key1", "key2", "doc", "row", "start", "more"])
+        column(start, done[1], pa.int32()), column(stop, done[2], pa.int32())],
+        names=["key1", "key2", "doc", "row", "start", "stop"])
 
 
-def scan(split, size, gram, min_words):
+def scan(split, windows, gram):
     """Partition function: (doc, row, text) -> the anchors of each batch, reduced."""
     def run(batches):
-        seq = Sequences(split, size, gram, min_words)
+        seq = Sequences(split, windows, gram)
         for batch in batches:
             parts = []
             known, place = places(batch)
             for doc, text in zip(place, batch.column(2)):
                 text = text.as_py()
                 if text and seq.load(text):
-                    g, s, a, n = seq.anchors()
-                    parts.append((g, s, np.full(len(g), doc, np.int64), a, n))
+                    g, s, a, b = seq.anchors()
+                    parts.append((g, s, np.full(len(g), doc, np.int64), a, b))
             if parts:
-                yield reduced(known, *(np.concatenate(x) for x in zip(*parts)), size)
+                yield reduced(known, *(np.concatenate(x) for x in zip(*parts)))
     return run
 
 
-def scan_windows(split, size, gram, min_words):
+def scan_windows(split, windows, gram):
     """Partition function: (doc, row, text, spans) -> the windows of the spans, reduced."""
     def run(batches):
-        seq = Sequences(split, size, gram, min_words)
+        seq = Sequences(split, windows, gram)
         for batch in batches:
             parts = []
             known, place = places(batch)
@@ -179,49 +218,46 @@ def scan_windows(split, size, gram, min_words):
                 text = text.as_py()
                 if text and seq.load(text):
                     own = np.unique(spans.values.to_numpy())
-                    a, n = own >> BITS, own & ((1 << BITS) - 1)
-                    fits = a + n < seq.starts
-                    h1, h2, at = seq.windows(a[fits], n[fits])
-                    parts.append((h1, h2, np.full(len(at), doc, np.int64), at, np.zeros(len(at), np.int64)))
+                    h1, h2, a, b = seq.windows(own >> 32, own & 0xFFFFFFFF)
+                    parts.append((h1, h2, np.full(len(a), doc, np.int64), a, b))
             if parts:
-                yield reduced(known, *(np.concatenate(x) for x in zip(*parts)), size)
+                yield reduced(known, *(np.concatenate(x) for x in zip(*parts)))
     return run
 
 
-def repeated_ranges(docs: DataFrame, doc: str, row: str, text: str, split: Callable, size: int, gram: int,
-                    min_words: int = 1) -> DataFrame:
+def repeated_ranges(docs: DataFrame, doc: str, row: str, text: str, split: Callable, windows: Callable,
+                    gram: int) -> DataFrame:
     """(doc, row, ranges array<long>) per document with repeated units.
 
     ``doc`` and ``row`` (longs, not null; together a document) and ``text`` (string) name columns of ``docs``. A
     range is packed as start << 32 | stop, in units; ranges may overlap. Texts
-    that are null, empty or shorter than a window have none.
+    that are null, empty or without a window have none. No window may have fewer
+    units than ``gram``.
     """
-    found = stored(docs.select(doc, row, F.col(text).cast("binary")).mapInArrow(scan(split, size, gram, min_words), FOUND))
+    found = stored(docs.select(doc, row, F.col(text).cast("binary")).mapInArrow(scan(split, windows, gram), FOUND))
     met = found.where("key1 is not null")
     again = (met.groupBy(F.col("key1").alias("k"))
              .agg(F.count("*").alias("n"), (F.min("key2") != F.max("key2")).alias("differ"))
              .where("n > 1").select("k", "differ"))
+    packed = F.shiftleft(F.col("start").cast("long"), 32).bitwiseOR(F.col("stop").cast("long"))
     first = F.first(F.struct("doc", "row", "start")).over(
         Window.partitionBy("key1", "key2").orderBy("doc", "row", "start"))
     judged = stored(
         met.join(again, met["key1"] == again["k"])
         .withColumn("later", first != F.struct("doc", "row", "start"))
-        .where("later or differ").select("doc", "row", "start", "more", "later"))
+        .where("later or differ").select("doc", "row", "start", "stop", "later"))
     spans = (judged.where("not later").groupBy(F.col("doc").alias(fresh(docs, "sdoc")), F.col("row").alias(fresh(docs, "srow")))
-             .agg(F.collect_list(F.shiftleft(F.col("start").cast("long"), BITS).bitwiseOR(F.col("more").cast("long")))
-                  .alias(fresh(docs, "spans"))))
+             .agg(F.collect_list(packed).alias(fresh(docs, "spans"))))
     # The caller's plan joins all of ``docs`` by ``doc`` and ``row`` again. Taking all columns
     # here too makes the two exchanges equal, and Spark moves the text once.
-    windows = (docs.join(spans, (docs[doc] == spans[fresh(docs, "sdoc")]) & (docs[row] == spans[fresh(docs, "srow")]))
-               .select(doc, row, F.col(text).cast("binary"), fresh(docs, "spans"), *[docs[c] for c in docs.columns if c not in (doc, row, text)])
-               .mapInArrow(scan_windows(split, size, gram, min_words), FOUND))
-    compared = (windows.withColumn("later", first != F.struct("doc", "row", "start"))
+    ends = (docs.join(spans, (docs[doc] == spans[fresh(docs, "sdoc")]) & (docs[row] == spans[fresh(docs, "srow")]))
+            .select(doc, row, F.col(text).cast("binary"), fresh(docs, "spans"), *[docs[c] for c in docs.columns if c not in (doc, row, text)])
+            .mapInArrow(scan_windows(split, windows, gram), FOUND))
+    compared = (ends.withColumn("later", first != F.struct("doc", "row", "start"))
                 .where("key1 is null or later"))
-    packed = lambda stop: F.shiftleft(F.col("start").cast("long"), 32).bitwiseOR(stop.cast("long"))
-    ends = F.col("start") + F.col("more") + F.lit(size)
-    ranges = (found.where("key1 is null").select("doc", "row", packed(F.col("more")).alias("r"))
-              .union(judged.where("later").select("doc", "row", packed(ends).alias("r")))
-              .union(compared.select("doc", "row", packed(F.when(F.col("key1").isNull(), F.col("more")).otherwise(ends)).alias("r"))))
+    ranges = (found.where("key1 is null").select("doc", "row", packed.alias("r"))
+              .union(judged.where("later").select("doc", "row", packed.alias("r")))
+              .union(compared.select("doc", "row", packed.alias("r"))))
     return ranges.groupBy("doc", "row").agg(F.collect_list("r").alias("ranges"))
 
 
@@ -235,7 +271,7 @@ def kept_mask(n: int, ranges) -> np.ndarray:
     return np.cumsum(step)[:n] == 0
 
 
-def with_ranges(docs: DataFrame, split, size, gram, min_words=1, id_col="doc_id", text_col="text"):
+def with_ranges(docs: DataFrame, split, windows, gram, id_col="doc_id", text_col="text"):
     """``docs`` with a column of its repeated ranges; also that column's name.
 
     Rows with a null id come before all others. Rows that share an id, or have
@@ -245,6 +281,6 @@ def with_ranges(docs: DataFrame, split, size, gram, min_words=1, id_col="doc_id"
     """
     doc, row, ranges, key, rkey = (fresh(docs, x) for x in ("doc", "row", "ranges", "rdoc", "rrow"))
     keyed = docs.withColumn(doc, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).withColumn(row, row_print(text_col))
-    found = repeated_ranges(keyed, doc, row, text_col, split, size, gram, min_words).select(
+    found = repeated_ranges(keyed, doc, row, text_col, split, windows, gram).select(
         F.col("doc").alias(key), F.col("row").alias(rkey), F.col("ranges").alias(ranges))
     return keyed.join(found, (F.col(doc) == F.col(key)) & (F.col(row) == F.col(rkey)), "left").drop(key, rkey), ranges

@@ -50,12 +50,18 @@ SQL["op7_line_dedup"] = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 a AS (SELECT doc_id, unnest(ls) AS raw, generate_subscripts(ls, 1) AS line_no FROM d),
 b AS (SELECT *, trim(raw, {_SPACE}) AS x, len(regexp_extract_all(raw, '{WORD}')) AS n FROM a),
-u AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS p FROM b WHERE x != ''),
-k AS (SELECT doc_id, p, string_agg(x, chr(10)) OVER win AS h, count(*) OVER win AS c, sum(n) OVER win AS words FROM u
-      WINDOW win AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND {line_dedup.MIN_LINES - 1} FOLLOWING)),
-f AS (SELECT doc_id, p, row_number() OVER (PARTITION BY h ORDER BY doc_id, p) AS nth FROM k
-      WHERE c = {line_dedup.MIN_LINES} AND words >= {line_dedup.MIN_WORDS}),
-g AS (SELECT DISTINCT doc_id, p + o AS p FROM f, range(0, {line_dedup.MIN_LINES}) r(o) WHERE nth > 1),
+u AS (SELECT *, row_number() OVER w AS p, sum(n) OVER w AS upto, sum(n) OVER w - n AS before FROM b WHERE x != ''
+      WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+l AS (SELECT doc_id, list(x ORDER BY p) AS xs FROM u GROUP BY doc_id),
+few AS (SELECT u.doc_id, u.p, v.p AS q FROM u ASOF JOIN u v ON u.doc_id = v.doc_id AND u.before + {line_dedup.MIN_WORDS} <= v.upto),
+long AS (SELECT u.doc_id, u.p, v.p AS q FROM u ASOF JOIN u v ON u.doc_id = v.doc_id AND u.before + {line_dedup.LONG_WORDS} <= v.upto),
+few_back AS (SELECT u.doc_id, v.p, u.p AS q FROM u ASOF JOIN u v ON u.doc_id = v.doc_id AND u.upto - {line_dedup.MIN_WORDS} >= v.before),
+long_back AS (SELECT u.doc_id, v.p, u.p AS q FROM u ASOF JOIN u v ON u.doc_id = v.doc_id AND u.upto - {line_dedup.LONG_WORDS} >= v.before),
+runs AS (SELECT doc_id, p, greatest(q, p + {line_dedup.MIN_LINES - 1}) AS q FROM few UNION SELECT * FROM long
+         UNION SELECT doc_id, least(p, q - {line_dedup.MIN_LINES - 1}) AS p, q FROM few_back UNION SELECT * FROM long_back),
+f AS (SELECT doc_id, p, q, row_number() OVER (PARTITION BY array_to_string(xs[p:q], chr(10)) ORDER BY doc_id, p) AS nth
+      FROM runs JOIN l USING (doc_id) WHERE p >= 1 AND q <= len(xs)),
+g AS (SELECT DISTINCT doc_id, unnest(range(p, q + 1)) AS p FROM f WHERE nth > 1),
 gone AS (SELECT u.doc_id, u.line_no FROM u JOIN g USING (doc_id, p)),
 kept AS (SELECT doc_id, string_agg(raw, chr(10) ORDER BY line_no) AS t FROM a ANTI JOIN gone USING (doc_id, line_no) GROUP BY doc_id),
 n AS (SELECT doc_id, count(*) AS n FROM u GROUP BY doc_id),

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh
-from .repeats import kept_mask, with_ranges
+from .repeats import fixed, kept_mask, with_ranges
 
 SIZE, GRAM = 20, 4
 CUT = "kept string, n_words long, n_removed long"
@@ -43,11 +43,14 @@ def remove_repeated_substrings(docs: DataFrame, size: int = SIZE, gram: int = GR
     equal id and text are copies of one document and do not repeat each other;
     other rows that share an id, or have none, are documents of their own, null
     ids before all others. Texts shorter than ``size``
-    words lose nothing. Other columns pass through, except that columns named
+    words lose nothing; very long texts are searched whole; an empty table gives an
+    empty one. Other columns pass through, except that columns named
     like the three results are replaced.
     """
+    if not 1 <= gram <= size:
+        raise ValueError("1 <= gram <= size is needed")
     base = docs.drop("kept_text", "n_words", "n_removed")
-    found, ranges = with_ranges(base, words_of, size, gram, id_col=id_col, text_col=text_col)
+    found, ranges = with_ranges(base, words_of, fixed(size), gram, id_col, text_col)
     cut = fresh(found, "cut")
     udf = F.pandas_udf(cut_words, CUT)
     return (found.withColumn(cut, udf(F.col(text_col).cast("binary"), F.col(ranges)))

@@ -1,12 +1,14 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from leakscope.llm.line_dedup import remove_repeated_lines
 from leakscope.llm.queries import QUERIES
+from leakscope.llm.repeats import leftmost_least
 from leakscope.llm.substring_dedup import remove_repeated_substrings
 
-from .helpers import DIR, edge, real, repeated, texts, words
+from .helpers import DIR, edge, order, real, repeated, texts, words
 
 
 def lines(text):
@@ -65,10 +67,34 @@ def test_empty_table(spark):
     assert remove_repeated_lines(df).count() == 0
 
 
-def check_lines(df, min_lines, min_words):
+def repeated_runs(rows, fits, longest):
+    """{(doc_id, text): [is the line in a qualifying run that starts earlier too]}
+    by the plain definition, over all runs of up to ``longest`` lines."""
+    seqs = {(i, t): lines(t) for i, t in rows}
+    runs = {}
+    for (i, t), u in seqs.items():
+        for a in range(len(u)):
+            for b in range(a + 1, min(len(u), a + longest) + 1):
+                if fits(u[a:b]):
+                    runs.setdefault(tuple(u[a:b]), []).append((order(i), a, (i, t)))
+    out = {k: [False] * len(u) for k, u in seqs.items()}
+    for run, found in runs.items():
+        first = min(x[:2] for x in found)
+        for doc, a, key in found:
+            if (doc, a) > first:
+                out[key][a:a + len(run)] = [True] * len(run)
+    return out
+
+
+def check_lines(df, min_lines, min_words, long_words=50, longest=55):
     rows = texts(df)
-    want = repeated(rows, lines, min_lines, lambda w: sum(len(words(x)) for x in w) >= min_words)
-    out = remove_repeated_lines(df, min_lines, min_words).collect()
+
+    def fits(run):
+        n = sum(len(words(x)) for x in run)
+        return n >= long_words or (len(run) >= min_lines and n >= min_words)
+
+    want = repeated_runs(rows, fits, longest)
+    out = remove_repeated_lines(df, min_lines, min_words, long_words).collect()
     assert len(out) == len(rows)
     for r in out:
         gone = want[r["doc_id"], r["text"]]
@@ -87,7 +113,38 @@ def test_line_dedup_equals_the_definition(spark):
 def test_line_dedup_on_few_different_lines(spark):
     rng = random.Random(5)
     rows = [(i, "\n".join(rng.choice(["a", "b b", "c c c", " ", "d"]) for _ in range(rng.randrange(30)))) for i in range(30)]
-    check_lines(spark.createDataFrame(rows, "doc_id long, text string"), 3, 4)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    check_lines(df, 3, 4)
+    check_lines(df, 3, 7, 6)
+    check_lines(df, 2, 5, 1)
+    check_lines(df, 30, 1, 8)
+
+
+@pytest.mark.parametrize("parts", [[80], [26, 25], [55, 2], [2, 55], [3, 2, 46]])
+def test_a_long_passage_goes_however_many_lines_it_has(spark, parts):
+    passage = "\n".join(" ".join(f"p{n}_{i}" for i in range(m)) for n, m in enumerate(parts))
+    rows = [(i, passage if i == 3 else f"u{i}a u{i}b\n{passage}\nu{i}c") for i in range(6)]
+    got = {r["doc_id"]: r for r in remove_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0]["n_lines_removed"] == 0
+    assert all(got[i]["kept_text"] == f"u{i}a u{i}b\nu{i}c" for i in (1, 2, 4, 5))
+    assert got[3]["kept_text"] == "" and got[3]["n_lines_removed"] == len(parts)
+
+
+def test_a_short_line_alone_stays(spark):
+    line = " ".join(f"w{i}" for i in range(49))
+    rows = [(i, f"a{i}\n{line}\nb{i}") for i in range(4)]
+    got = remove_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r["n_lines_removed"] == 0 for r in got)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_least_of_each_range(seed):
+    rng = np.random.default_rng(seed)
+    x = rng.integers(0, 6, 200)
+    start = np.sort(rng.integers(0, 150, 120))
+    stop = np.maximum.accumulate(start + rng.integers(1, 50, 120))
+    want = [a + int(np.argmin(x[a:b])) for a, b in zip(start, stop)]
+    assert leftmost_least(x, start, stop).tolist() == want
 
 
 @pytest.mark.parametrize("ident", [None, 7])
