@@ -19,7 +19,10 @@ the same document at an earlier start). The search is exact and emits no pairs:
 
 Keys are two independent 64-bit hashes. Equal keys inside one Arrow batch are
 reduced to their first before any shuffle, so a passage that a third of all
-documents share reaches the shuffle once a batch.
+documents share reaches the shuffle once a batch. What is left of a key is dealt
+over ``SALTS`` tasks: anchors are counted per salt, then per key, and the count goes
+to the salts that the key has; the first of a key is found per salt, then among the
+salts' firsts.
 """
 
 from __future__ import annotations
@@ -155,6 +158,7 @@ def earlier_first(key1, key2, doc, at) -> np.ndarray:
     return out
 
 
+SALTS = 16  # tasks over which the occurrences of one key are dealt
 FOUND = "key1 long, key2 long, doc long, row long, start int, stop int"
 
 
@@ -225,6 +229,32 @@ def scan_windows(split, windows, gram):
     return run
 
 
+def salted(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("salt", F.pmod(F.xxhash64("doc", "row"), F.lit(SALTS)))
+
+
+def repeated_anchors(met: DataFrame) -> DataFrame:
+    """The rows of ``met`` whose key1 occurs again, with ``differ``: do their spans differ?"""
+    part = met.groupBy("key1", "salt").agg(F.count("*").alias("n"), F.min("key2").alias("lo"), F.max("key2").alias("hi"))
+    here = F.bit_or(F.expr("shiftleft(1, cast(salt as int))")).alias("here")
+    again = (part.groupBy("key1").agg(F.sum("n").alias("n"), (F.min("lo") != F.max("hi")).alias("differ"), here).where("n > 1")
+             .select(F.col("key1").alias("k"), "differ",
+                     F.expr(f"explode(filter(sequence(0L, {SALTS - 1}L), s -> getbit(here, cast(s as int)) = 1))").alias("s")))
+    return met.join(again, (F.col("key1") == F.col("k")) & (F.col("salt") == F.col("s"))).drop("k", "s")
+
+
+def with_later(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``later``: is it not the first of its keys? Rows without a key have groups of their own."""
+    order = ["doc", "row", "start"]
+    own, alone = F.struct(*order), F.xxhash64(*order)
+    not_first = lambda *by: F.first(own).over(Window.partitionBy(*by).orderBy(*order)) != own
+    near = (rows.withColumn("group", F.coalesce("key1", alone))
+            .withColumn("near", not_first("group", "key2", "salt")))
+    # Rows known to be later need no further comparison and are spread evenly.
+    spread = near.withColumn("group", F.when(F.col("near"), alone).otherwise(F.col("group")))
+    return spread.withColumn("later", F.col("near") | not_first("group", "key2", "near"))
+
+
 def repeated_ranges(docs: DataFrame, doc: str, row: str, text: str, split: Callable, windows: Callable,
                     gram: int) -> DataFrame:
     """(doc, row, ranges array<long>) per document with repeated units.
@@ -235,17 +265,9 @@ def repeated_ranges(docs: DataFrame, doc: str, row: str, text: str, split: Calla
     units than ``gram``.
     """
     found = stored(docs.select(doc, row, F.col(text).cast("binary")).mapInArrow(scan(split, windows, gram), FOUND))
-    met = found.where("key1 is not null")
-    again = (met.groupBy(F.col("key1").alias("k"))
-             .agg(F.count("*").alias("n"), (F.min("key2") != F.max("key2")).alias("differ"))
-             .where("n > 1").select("k", "differ"))
     packed = F.shiftleft(F.col("start").cast("long"), 32).bitwiseOR(F.col("stop").cast("long"))
-    first = F.first(F.struct("doc", "row", "start")).over(
-        Window.partitionBy("key1", "key2").orderBy("doc", "row", "start"))
-    judged = stored(
-        met.join(again, met["key1"] == again["k"])
-        .withColumn("later", first != F.struct("doc", "row", "start"))
-        .where("later or differ").select("doc", "row", "start", "stop", "later"))
+    met = repeated_anchors(salted(found.where("key1 is not null")))
+    judged = stored(with_later(met).where("later or differ").select("doc", "row", "start", "stop", "later"))
     spans = (judged.where("not later").groupBy(F.col("doc").alias(fresh(docs, "sdoc")), F.col("row").alias(fresh(docs, "srow")))
              .agg(F.collect_list(packed).alias(fresh(docs, "spans"))))
     # The caller's plan joins all of ``docs`` by ``doc`` and ``row`` again. Taking all columns
@@ -253,8 +275,7 @@ def repeated_ranges(docs: DataFrame, doc: str, row: str, text: str, split: Calla
     ends = (docs.join(spans, (docs[doc] == spans[fresh(docs, "sdoc")]) & (docs[row] == spans[fresh(docs, "srow")]))
             .select(doc, row, F.col(text).cast("binary"), fresh(docs, "spans"), *[docs[c] for c in docs.columns if c not in (doc, row, text)])
             .mapInArrow(scan_windows(split, windows, gram), FOUND))
-    compared = (ends.withColumn("later", first != F.struct("doc", "row", "start"))
-                .where("key1 is null or later"))
+    compared = with_later(salted(ends)).where("key1 is null or later")
     ranges = (found.where("key1 is null").select("doc", "row", packed.alias("r"))
               .union(judged.where("later").select("doc", "row", packed.alias("r")))
               .union(compared.select("doc", "row", packed.alias("r"))))

@@ -161,3 +161,13 @@ def test_rows_without_an_id_of_their_own_are_documents_of_their_own(spark, ident
     assert got[rows[2][1]]["kept_text"] == " ".join(own[2][:25] + ["x"] + own[2][25:])
     by_line = spark.createDataFrame([(i, t.replace(" ", "\n")) for i, t in rows], "doc_id long, text string")
     assert sorted(r["n_lines_removed"] for r in remove_repeated_lines(by_line, 3, 3).collect()) == [0, 25, 25]
+
+
+def test_one_key_over_many_tasks_keeps_its_first(spark):
+    rng = random.Random(9)
+    common = "the very common line"
+    rows = [(i, "\n".join([f"u{i}", *(rng.choice([common, "x y z", f"own {i % 7}"]) for _ in range(8))])) for i in range(120)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(24)
+    check_lines(df, 2, 5, 8)
+    check_words(df, 5, 2)
