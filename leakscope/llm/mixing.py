@@ -16,6 +16,7 @@ from leakscope.session import materialize
 from .common import WORD, fresh, rank_within, row_print, uniform
 
 WEIGHTS, MOST, SEED = (1, 2, 3), 3, "mix-1"
+PART = 10_000  # copies of one row that a task emits
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
@@ -82,11 +83,16 @@ def take(docs: DataFrame, **options) -> DataFrame:
     id and text must be equal: the copies of all of them are dealt in turn."""
     base = docs.drop("copy")
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    key, row, n, rows, own = (fresh(base, x) for x in ("key", "row", "n", "rows", "own"))
+    key, row, n, rows, own, part = (fresh(base, x) for x in ("key", "row", "n", "rows", "own", "part"))
     copies = (dealt(base, **options).groupBy(F.col("doc_id").alias(key), F.col("print").alias(row))
               .agg(F.sum("copies").alias(n), F.count("*").alias(rows)).where(F.col(n) > 0))
     marked = base.withColumn(own, row_print(text_col))
     joined = marked.join(copies, marked[id_col].eqNullSafe(F.col(key)) & (marked[own] == F.col(row)))
-    if_repeated = joined.where(F.col(rows) > 1).dropDuplicates([id_col, own])
-    return (joined.where(F.col(rows) == 1).union(if_repeated)
-            .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(n).cast("int")))).select(*base.columns, "copy"))
+    once = joined.where(F.col(rows) == 1).withColumn(part, F.lit(0).cast("long"))
+    # A row that comes very often is repeated in two steps: parts of its copies are dealt to tasks first.
+    often = (joined.where(F.col(rows) > 1).dropDuplicates([id_col, own])
+             .withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / PART))))
+             .repartition(id_col, own, part))
+    return (once.union(often)
+            .withColumn("copy", F.explode(F.sequence(F.col(part) * PART + 1, F.least((F.col(part) + 1) * PART, F.col(n)))))
+            .select(*base.columns, "copy"))

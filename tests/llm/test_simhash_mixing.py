@@ -203,3 +203,14 @@ def test_buckets_of_unrelated_clusters_do_not_meet_and_the_descent_ends(spark, m
 
 def test_near_duplicates_of_an_empty_table(spark):
     assert simhash.near_duplicates(edge(spark).where(F.lit(False))).count() == 0
+
+
+def test_a_row_that_comes_very_often_is_taken_in_parts(spark, monkeypatch):
+    rows = [(7, "same words here", "a")] * 300 + [(i, f"word {i}", "a") for i in range(100, 130)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    whole = sorted(map(tuple, mixing.take(df).collect()))
+    monkeypatch.setattr(mixing, "PART", 7)
+    assert sorted(map(tuple, mixing.take(df).collect())) == whole
+    dealt = {r["doc_id"]: r["n"] for r in mixing.mix(df).groupBy("doc_id").agg({"copies": "sum"}).toDF("doc_id", "n").collect()}
+    copies = [r[3] for r in whole if r[0] == 7]
+    assert copies == list(range(1, dealt[7] + 1)) and len(whole) == sum(dealt.values())
