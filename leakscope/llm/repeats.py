@@ -20,9 +20,9 @@ the same document at an earlier start). The search is exact and emits no pairs:
 Keys are two independent 64-bit hashes. Equal keys inside one Arrow batch are
 reduced to their first before any shuffle, so a passage that a third of all
 documents share reaches the shuffle once a batch. What is left of a key is dealt
-over ``SALTS`` tasks: anchors are counted per salt, then per key, and the count goes
-to the salts that the key has; the first of a key is found per salt, then among the
-salts' firsts.
+over ``SALTS`` tasks: anchors are counted per key (combined before the shuffle), and
+the count goes to the salts that the key has; the first of a key is found per salt,
+then among the salts' firsts.
 """
 
 from __future__ import annotations
@@ -235,9 +235,8 @@ def salted(rows: DataFrame) -> DataFrame:
 
 def repeated_anchors(met: DataFrame) -> DataFrame:
     """The rows of ``met`` whose key1 occurs again, with ``differ``: do their spans differ?"""
-    part = met.groupBy("key1", "salt").agg(F.count("*").alias("n"), F.min("key2").alias("lo"), F.max("key2").alias("hi"))
     here = F.bit_or(F.expr("shiftleft(1, cast(salt as int))")).alias("here")
-    again = (part.groupBy("key1").agg(F.sum("n").alias("n"), (F.min("lo") != F.max("hi")).alias("differ"), here).where("n > 1")
+    again = (met.groupBy("key1").agg(F.count("*").alias("n"), (F.min("key2") != F.max("key2")).alias("differ"), here).where("n > 1")
              .select(F.col("key1").alias("k"), "differ",
                      F.expr(f"explode(filter(sequence(0L, {SALTS - 1}L), s -> getbit(here, cast(s as int)) = 1))").alias("s")))
     return met.join(again, (F.col("key1") == F.col("k")) & (F.col("salt") == F.col("s"))).drop("k", "s")
