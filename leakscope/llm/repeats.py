@@ -19,10 +19,11 @@ the same document at an earlier start). The search is exact and emits no pairs:
 
 Keys are two independent 64-bit hashes. Equal keys inside one Arrow batch are
 reduced to their first before any shuffle, so a passage that a third of all
-documents share reaches the shuffle once a batch. What is left of a key is dealt
+documents share reaches the shuffle once a batch. What is left of an anchor is dealt
 over ``SALTS`` tasks: anchors are counted per key (combined before the shuffle), and
 the count goes to the salts that the key has; the first of a key is found per salt,
-then among the salts' firsts.
+then among the salts' firsts. A window that is compared by itself (3.) is not dealt:
+its shuffle is the largest, and a second one would double it.
 """
 
 from __future__ import annotations
@@ -243,14 +244,18 @@ def repeated_anchors(met: DataFrame) -> DataFrame:
 
 
 def with_later(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``later``: is it not the first of its keys? Rows without a key have groups of their own."""
+    """``rows`` with ``later``: is it not the first of its keys? Rows without a key have groups of their own.
+
+    Rows with a ``salt`` are compared per salt first, then the firsts of the salts.
+    """
     order = ["doc", "row", "start"]
     own, alone = F.struct(*order), F.xxhash64(*order)
     not_first = lambda *by: F.first(own).over(Window.partitionBy(*by).orderBy(*order)) != own
-    near = (rows.withColumn("group", F.coalesce("key1", alone))
-            .withColumn("near", not_first("group", "key2", "salt")))
+    if "salt" not in rows.columns:
+        return rows.withColumn("group", F.coalesce("key1", alone)).withColumn("later", not_first("group", "key2"))
+    near = rows.withColumn("near", not_first("key1", "key2", "salt"))
     # Rows known to be later need no further comparison and are spread evenly.
-    spread = near.withColumn("group", F.when(F.col("near"), alone).otherwise(F.col("group")))
+    spread = near.withColumn("group", F.when(F.col("near"), alone).otherwise(F.col("key1")))
     return spread.withColumn("later", F.col("near") | not_first("group", "key2", "near"))
 
 
@@ -274,7 +279,7 @@ def repeated_ranges(docs: DataFrame, doc: str, row: str, text: str, split: Calla
     ends = (docs.join(spans, (docs[doc] == spans[fresh(docs, "sdoc")]) & (docs[row] == spans[fresh(docs, "srow")]))
             .select(doc, row, F.col(text).cast("binary"), fresh(docs, "spans"), *[docs[c] for c in docs.columns if c not in (doc, row, text)])
             .mapInArrow(scan_windows(split, windows, gram), FOUND))
-    compared = with_later(salted(ends)).where("key1 is null or later")
+    compared = with_later(ends).where("key1 is null or later")
     ranges = (found.where("key1 is null").select("doc", "row", packed.alias("r"))
               .union(judged.where("later").select("doc", "row", packed.alias("r")))
               .union(compared.select("doc", "row", packed.alias("r"))))
