@@ -155,3 +155,59 @@ def test_nan_distance_is_null_not_value(spark):
     df = spark.createDataFrame([("NaN",), ("3",)], "t STRING")
     assert [r[0] for r in df.select(safe_double("t").alias("v")).orderBy(F.col("v").asc_nulls_first()).collect()] \
         == [None, 3.0]
+
+
+def write_tables(spark, root):
+    """Orders 1 (no events), 2 (repeated) and 3, with events of 2 and 3."""
+    spark.createDataFrame([(1, 10, "F", 1000.0, "1995-01-01", "1-URGENT"), (2, 10, "P", 2000.0, "1995-01-02", "2-HIGH"),
+                           (2, 11, "O", 3000.0, "1995-01-03", "2-HIGH"), (3, 99, "O", 4000.0, "1995-01-04", None)],
+                          "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate string, "
+                          "o_orderpriority string").write.parquet(f"{root}/orders.parquet")
+    spark.createDataFrame([(2, 1, 5, 6, 7.0, 900.0, 0.0, 0.01, "1995-02-01"), (2, 2, 5, 6, 8.0, 800.0, 0.1, 0.02, "1995-02-02"),
+                           (3, 1, 5, 6, 9.0, 700.0, 0.1, 0.03, "1995-02-03")],
+                          "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_quantity double, "
+                          "l_extendedprice double, l_discount double, l_tax double, l_shipdate string") \
+        .write.parquet(f"{root}/lineitem.parquet")
+    spark.createDataFrame([(10, "c10", 5.0, 1), (11, "c11", 6.0, 2)],
+                          "c_custkey bigint, c_name string, c_acctbal double, c_nationkey int").write.parquet(f"{root}/customer.parquet")
+    return str(root)
+
+
+def test_landed_snapshots_are_compressed_and_hold_every_record(spark, tmp_path):
+    import os
+    from leakscope.plans.q_ingest import flat, land
+    from leakscope.sources.raw import read_raw_records
+    tables = write_tables(spark, tmp_path)
+    root = land(spark, tables, ["20240101T000000Z", "20250101T000000Z"]).removeprefix("file:")
+    ids = sorted(r[0] for r in flat(spark, tables).select("neo_id").collect())
+    for stamp in ("20240101T000000Z", "20250101T000000Z"):
+        folder = f"{root}/neows_browse_{stamp}.json"
+        parts = [n for n in os.listdir(folder) if n.startswith("part-")]
+        assert parts and all(n.endswith(".json.gz") for n in parts)
+        raw = read_raw_records(spark, folder, multiline=False)
+        assert sorted(r[0] for r in raw.select("id").collect()) == ids == ["1", "2", "2", "3"]
+        assert sorted((r[0], r[1]) for r in raw.select("id", F.size("close_approach_data")).collect()) == [
+            ("1", 0), ("2", 2), ("2", 2), ("3", 1)]
+
+
+def test_clean_by_the_columns_an_id_stands_for_needs_no_second_shuffle(spark):
+    from pyspark.sql import functions as F
+    from leakscope.operators.clean import clean
+    rows = [(1, "b", True), (1, "a", True), (2, "c", None), (None, "d", True), (3, "e", False), (3, "e", False)]
+    df = spark.createDataFrame(rows, "_ordinal bigint, name string, is_potentially_hazardous_asteroid boolean") \
+        .repartition(4, "_ordinal").withColumn("neo_id", F.col("_ordinal").cast("string"))
+    by_id, by_both = clean(df), clean(df, id_of=["_ordinal"])
+    assert sorted(by_id.collect()) == sorted(by_both.collect()) and by_both.count() == 2
+    exchanges = lambda d: d._jdf.queryExecution().executedPlan().toString().count("Exchange")
+    assert exchanges(by_both) < exchanges(by_id)
+
+
+def test_a_written_table_keeps_rows_types_and_metadata(spark):
+    from pyspark.sql import functions as F
+    from leakscope.session import written
+    df = spark.createDataFrame([(1, "a", 0.5), (2, None, float("nan"))], "k int, s string, v double") \
+        .select("k", "s", F.col("v").alias("v", metadata={"sources": ["v"]}))
+    out = written(df)
+    assert out.schema["v"].metadata == {"sources": ["v"]} and out.dtypes == df.dtypes
+    assert sorted(map(str, out.collect())) == sorted(map(str, df.collect()))
+    assert "FileScan parquet" in out._jdf.queryExecution().executedPlan().toString()
