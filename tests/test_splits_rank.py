@@ -151,3 +151,33 @@ def test_disjoint_check_counts_shared_ids(spark):
     got = {r["fold"]: r["n_overlap"] for r in S.disjoint_check(
         spark.createDataFrame(rows, "neo_id string, is_test boolean, fold int")).collect()}
     assert got == {0: 1, 1: 2, 2: 1, 3: 0, 4: 0, 5: 0}
+
+
+def test_order_stats_narrow_a_range_to_the_values_next_to_the_wanted_ranks(spark):
+    from leakscope.operators.rank import grouped_order_stats, rank_probs
+    probs = rank_probs([[("g",), None, None, 0, 5_000_000, [2_500_000]]], 10000, 64)
+    assert 0 < len(probs) <= 4 and probs[0] < 0.5 < probs[-1] and probs[-1] - probs[0] < 0.001
+    vals = spark.range(20000).selectExpr("'g' as g", "cast(pmod(id * 7919, 20011) as double) as v")
+    want = sorted(r[0] for r in vals.select("v").collect())
+    got = grouped_order_stats(vals, ["g"], {("g",): {0, 9999, 10000, 19999}}, max_rows=50)
+    assert got == {(("g",), r): want[r] for r in (0, 9999, 10000, 19999)}
+
+
+def test_medians_are_exact_with_ties_nulls_and_nans(spark):
+    import random
+    import statistics
+    from leakscope.operators.preprocess import fit_medians
+    rng = random.Random(5)
+    rows = [(rng.random() if i % 5 else None, float(rng.choice([1, 2])), float(i), float("nan") if i % 3 else rng.gauss(0, 1), None)
+            for i in range(4000)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double")
+    got = fit_medians(df, list("abcde"))
+    for i, f in enumerate("abcd"):
+        own = [r[i] for r in rows if r[i] is not None and r[i] == r[i]]
+        assert got[f] == statistics.median(own)
+    assert got["e"] is None
+
+
+def test_fits_run_together_on_small_inputs_only():
+    from leakscope.plans.experiment import fits_at_once
+    assert fits_at_once(1000) == 8 and fits_at_once(7_000_000) == 4 and fits_at_once(10**9) == 1
