@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
@@ -100,3 +101,59 @@ def test_fold_aggregate_one_fold_std_zero(spark):
     assert r["mean"] == pytest.approx(0.6) and r["std"] == pytest.approx(0.1414213562)
     one = M.fold_aggregate(fm.limit(1), ["f1"]).first()
     assert one["std"] == 0.0 and one["n_folds"] == 1
+
+
+def test_cells_of_scores_give_what_the_rows_give(spark):
+    """Alike scores counted once: every measure equals that of the rows, with nulls and ties."""
+    rng = np.random.default_rng(5)
+    rows = [(["a", "b"][int(i % 3 == 0)], bool(rng.random() < 0.4), None if i % 17 == 0 else round(float(rng.random()), 2),
+             bool(rng.random() < 0.5)) for i in range(400)]
+    df = spark.createDataFrame(rows, "g STRING, y BOOLEAN, p DOUBLE, pred BOOLEAN")
+    cells = M.score_cells(df, ["g", "y", "p", "pred"])
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    assert same(M.confusion(df, group_cols=["g"]), M.confusion(cells, group_cols=["g"], n="n"))
+    assert same(M.curve_points(df, group_cols=["g"]), M.curve_points(cells, group_cols=["g"], n="n"))
+    assert same(M.threshold_sweep(df, group_cols=["g"]), M.threshold_sweep(cells, group_cols=["g"], n="n"))
+    got = {(r["g"], r["bin"]): r for r in M.calibration(cells, group_cols=["g"], n="n").collect()}
+    seen = 0
+    for g in "ab":
+        own = [(y, p) for k, y, p, _ in rows if k == g and p is not None]
+        edges = np.percentile([p for _, p in own], [10 * i for i in range(1, 10)])
+        for b in range(10):
+            part = [(y, p) for y, p in own if (edges < p).sum() == b]
+            if part:
+                r = got[g, b]
+                seen += 1
+                assert r["n"] == len(part)
+                assert abs(r["prob_true"] - np.mean([y for y, _ in part])) < 1e-12
+                assert abs(r["prob_pred"] - np.mean([p for _, p in part])) < 1e-12
+    assert seen == len(got)
+
+
+def test_grouped_medians_equal_numpy(spark):
+    """Groups of one row, ties, nulls and NaN; a feature that a group lacks has no row."""
+    from leakscope.operators.rank import grouped_medians
+    rng = np.random.default_rng(6)
+    rows = [("big", float(v), float(i % 4)) for i, v in enumerate(rng.normal(size=5001))] + [
+        ("big", None, float("nan")), ("one", 2.5, None), ("two", 1.0, 7.0), ("two", 2.0, 7.0)]
+    got = {(r["g"], r["feature"]): r["value"] for r in grouped_medians(
+        spark.createDataFrame(rows, "g STRING, a DOUBLE, b DOUBLE"), ["g"], ["a", "b"]).collect()}
+    want = {}
+    for g in ("big", "one", "two"):
+        for i, f in ((1, "a"), (2, "b")):
+            own = [r[i] for r in rows if r[0] == g and r[i] is not None and not np.isnan(r[i])]
+            if own:
+                want[g, f] = float(np.median(own))
+    assert got == want
+
+
+def test_artifacts_read_features_of_holdout_rows_only(spark):
+    from leakscope.plans.experiment import artifacts_from_scores
+    rows = [("e", "m", "oof" if i % 3 else "holdout", i % 2 if i % 3 else None, str(i), i % 4 == 0, i / 40, i >= 20) for i in range(40)]
+    scored = spark.createDataFrame(rows, "experiment STRING, model STRING, part STRING, fold INT, neo_id STRING, y BOOLEAN, p DOUBLE, pred BOOLEAN")
+    held = scored.filter("part = 'holdout'").withColumn("f", scored["p"] * 2)
+    out = artifacts_from_scores(scored, ["f"], rows=held)
+    assert out["predictions"].count() == 14 and out["error_analysis"].count() > 0
+    cm = out["confusion_matrix"].first()
+    assert cm["tn"] + cm["fp"] + cm["fn"] + cm["tp"] == 14
+    assert sum(r["tn"] + r["fp"] + r["fn"] + r["tp"] for r in out["fold_metrics"].collect()) == 26
