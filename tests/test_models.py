@@ -4,6 +4,7 @@ from spark.range with hash uniforms."""
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -344,3 +345,15 @@ def test_a_stopped_grid_goes_on_where_it_stopped(spark, tmp_path, monkeypatch):
         EX.run_summary(spark, str(tmp_path))
     assert EX.run_all(spark, mf, str(tmp_path), *combos, **options).count() == 2
     assert trained == [("leakage_aware", "random_forest"), ("leakage_aware", "dummy_most_frequent"), ("leakage_aware", "dummy_most_frequent")]
+
+
+def test_legacy_models_share_one_preprocessor(spark, tmp_path, monkeypatch):
+    from leakscope.operators.preprocess import AuditPreprocessor
+    from leakscope.plans import experiment as EX
+    from leakscope.plans.q_models import modelling_frame
+    fits, fit = [], AuditPreprocessor._fit
+    monkeypatch.setattr(AuditPreprocessor, "_fit", lambda self, df: fits.append(1) or fit(self, df))
+    mf = modelling_frame(spark, "/root/testdata/sf0.001")
+    out = EX.train_legacy(spark, mf, str(tmp_path), params={
+        "logistic_regression": {"C": 1.0, "max_iter": 3}, "random_forest": {"n_estimators": 2, "max_depth": 2}})
+    assert len(fits) == 1 and out.count() == 2
