@@ -357,3 +357,23 @@ def test_legacy_models_share_one_preprocessor(spark, tmp_path, monkeypatch):
     out = EX.train_legacy(spark, mf, str(tmp_path), params={
         "logistic_regression": {"C": 1.0, "max_iter": 3}, "random_forest": {"n_estimators": 2, "max_depth": 2}})
     assert len(fits) == 1 and out.count() == 2
+
+
+def test_forest_samples_are_drawn_once_and_walks_end_in_leaves(spark, monkeypatch):
+    from leakscope.operators import outlier as O
+    calls, keep = [], O.written
+    monkeypatch.setattr(O, "written", lambda df: calls.append(1) or keep(df))
+    rng = np.random.default_rng(4)
+    X = rng.normal(size=(200, 3))
+    df = spark.createDataFrame([(str(i), r.tolist()) for i, r in enumerate(X)], "neo_id STRING, x ARRAY<DOUBLE>")
+    forest, psi = O.fit_forest(df, n_trees=5, psi=64)
+    assert len(calls) == 1
+
+    def walk(tree, x):
+        n = tree.iloc[0]
+        while n["feature"] >= 0:
+            n = tree.iloc[int(n["left_child"] if x[int(n["feature"])] < n["threshold"] else n["right_child"])]
+        return n["depth"] + O.c_factor(n["size"])
+    trees = [t.sort_values("node") for _, t in forest.groupby("tree")]
+    want = [np.mean([walk(t, x) for t in trees]) for x in X[:40]]
+    assert np.allclose(O._path_lengths(O.pack(forest), X[:40]), want, atol=1e-12)
