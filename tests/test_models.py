@@ -347,6 +347,20 @@ def test_a_stopped_grid_goes_on_where_it_stopped(spark, tmp_path, monkeypatch):
     assert trained == [("leakage_aware", "random_forest"), ("leakage_aware", "dummy_most_frequent"), ("leakage_aware", "dummy_most_frequent")]
 
 
+def test_shap_patterns_are_worked_out_once():
+    """Looked-up values of a path equal those of the rows' own patterns."""
+    from leakscope.operators.attribution import leaf_shap, small_patterns
+    rng = np.random.default_rng(3)
+    leaf = (0.7, np.array([2, 0, 3]), np.array([-np.inf, 0.1, -0.5]), np.array([0.4, np.inf, 0.5]), np.array([0.3, 0.6, 0.2]))
+    X = rng.normal(size=(300, 4))
+    X[::7, 0] = np.nan
+    a, b = np.zeros(X.shape), np.zeros(X.shape)
+    known = small_patterns(leaf)
+    assert known.shape == (8, 3)
+    assert np.array_equal(leaf_shap(X, leaf, a), leaf_shap(X, leaf, b, known))
+    assert np.allclose(a, b, atol=1e-15) and not a[:, 1].any() and a.any()
+
+
 def test_legacy_models_share_one_preprocessor(spark, tmp_path, monkeypatch):
     from leakscope.operators.preprocess import AuditPreprocessor
     from leakscope.plans import experiment as EX
