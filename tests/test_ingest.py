@@ -211,3 +211,39 @@ def test_a_written_table_keeps_rows_types_and_metadata(spark):
     assert out.schema["v"].metadata == {"sources": ["v"]} and out.dtypes == df.dtypes
     assert sorted(map(str, out.collect())) == sorted(map(str, df.collect()))
     assert "FileScan parquet" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def plan_lines(df):
+    return df._jdf.queryExecution().executedPlan().toString().splitlines()
+
+
+def test_events_are_dealt_before_they_are_sorted_and_landed_in_one_shuffle(spark, tmp_path):
+    from leakscope.plans.q_ingest import landed_records
+    from leakscope.sources.analog import event_rollup, event_tasks, load
+    tables = write_tables(spark, tmp_path)
+    tasks = event_tasks(spark, tables)
+    assert tasks == spark.sparkContext.defaultParallelism
+    lines = plan_lines(event_rollup(load(spark, tables, "lineitem"), tasks))
+    dealt = [i for i, line in enumerate(lines) if "REPARTITION_BY_NUM" in line]
+    assert len(dealt) == 1 and all(i < dealt[0] for i, line in enumerate(lines) if "Sort [" in line)
+    recs = landed_records(spark, tables)
+    assert sum("Exchange hashpartitioning(l_orderkey" in line for line in plan_lines(recs)) == 1
+    got = {r["id"]: [(e["close_approach_date"], e["miss_distance"]["kilometers"]) for e in r["close_approach_data"]]
+           for r in recs.collect()}
+    assert got == {"1": [], "2": [("1995-02-01", "n/a"), ("1995-02-02", "800.0")], "3": [("1995-02-03", "700.0")]}
+
+
+def test_a_hot_order_is_rolled_up_from_many_tasks(spark, tmp_path):
+    from leakscope.sources.analog import SALTS, event_rollup
+    rows = [(1 if i < 400 else None, i, i % 7, i % 5, float(i % 50), 1000.0 - i, 0.1 if i % 3 else 0.0, 0.01 * (i % 9),
+             "1995-02-01") for i in range(500)]
+    spark.createDataFrame(rows, "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_quantity double, "
+                          "l_extendedprice double, l_discount double, l_tax double, l_shipdate string").write.parquet(f"{tmp_path}/l")
+    for tasks in (1, 4 * SALTS):
+        got = {r["l_orderkey"]: r for r in event_rollup(spark.read.parquet(f"{tmp_path}/l"), tasks).collect()}
+        assert set(got) == {1, None}
+        for key, r in got.items():
+            own = [x for x in rows if x[0] == key]
+            best = min((x[5], x[1], x[2], x[3], x[4], x[8]) for x in own if x[6])
+            assert tuple(r["closest"]) == best and r["n_events"] == len(own)
+            assert (r["sum_qty"], r["max_line"]) == (sum(x[4] for x in own), max(x[1] for x in own))
