@@ -247,3 +247,13 @@ def test_a_hot_order_is_rolled_up_from_many_tasks(spark, tmp_path):
             best = min((x[5], x[1], x[2], x[3], x[4], x[8]) for x in own if x[6])
             assert tuple(r["closest"]) == best and r["n_events"] == len(own)
             assert (r["sum_qty"], r["max_line"]) == (sum(x[4] for x in own), max(x[1] for x in own))
+
+
+def test_clean_by_the_columns_an_id_stands_for_needs_no_second_sort(spark):
+    from leakscope.operators.clean import clean
+    rows = [(k, f"n{k % 7}", True) for k in range(50)] + [(3, "a", True)]
+    df = spark.createDataFrame(rows, "_ordinal bigint, name string, is_potentially_hazardous_asteroid boolean") \
+        .repartition(4, "_ordinal").sortWithinPartitions("_ordinal").withColumn("neo_id", F.col("_ordinal").cast("string"))
+    once = clean(df, id_of=["_ordinal"])
+    assert sum("Sort [" in line for line in plan_lines(once)) == 1
+    assert sorted(once.collect()) == sorted(clean(df).collect()) and once.filter("neo_id = '3'").first()["name"] == "a"
