@@ -391,3 +391,29 @@ def test_forest_samples_are_drawn_once_and_walks_end_in_leaves(spark, monkeypatc
     trees = [t.sort_values("node") for _, t in forest.groupby("tree")]
     want = [np.mean([walk(t, x) for t in trees]) for x in X[:40]]
     assert np.allclose(O._path_lengths(O.pack(forest), X[:40]), want, atol=1e-12)
+
+
+def test_sets_of_a_grid_share_the_constants_of_their_folds(spark, tmp_path, monkeypatch):
+    """One preprocessor a fold for all sets, which gives each set what a fit on its own
+    columns gives; models equal those of whole pipelines; no copy of rows is left."""
+    from leakscope.operators.preprocess import AuditPreprocessor
+    mf = checked_frame(spark)
+    kept = lambda: spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    fits, fit, before = [], AuditPreprocessor._fit, kept()
+    monkeypatch.setattr(AuditPreprocessor, "_fit", lambda self, df: fits.append(1) or fit(self, df))
+    setting = {"C": 1.0, "max_iter": 5}
+    sets, models = ["leakage_aware", "orbital_only"], ["dummy_most_frequent", "logistic_regression"]
+    fitted = EX.run_grid(spark, mf, str(tmp_path), sets, models, settings={"logistic_regression": [setting]},
+                         permutation_repeats=0, parallel=4)
+    assert len(fits) == C.N_FOLDS + 1
+    assert kept() == before
+    train = MD.training_frame(mf.filter(~F.col("is_test")))
+    for key in sets:
+        own = MD.pipeline(FEATURE_SETS[key], models[1], setting, n_weight_sum=train.count()).fit(train)
+        got = fitted[key, models[1]]
+        assert got.stages[0].feature_names() == own.stages[0].feature_names()
+        a, b = got.stages[0].fitted(), own.stages[0].fitted()
+        assert (a["medians"], a["modes"], a["categories"]) == (b["medians"], b["modes"], b["categories"])
+        for k in ("means", "scales"):
+            assert a[k] == pytest.approx(b[k], rel=1e-12)
+        assert got.stages[-1].coefficients.toArray() == pytest.approx(own.stages[-1].coefficients.toArray(), rel=1e-6, abs=1e-9)
