@@ -417,3 +417,22 @@ def test_sets_of_a_grid_share_the_constants_of_their_folds(spark, tmp_path, monk
         for k in ("means", "scales"):
             assert a[k] == pytest.approx(b[k], rel=1e-12)
         assert got.stages[-1].coefficients.toArray() == pytest.approx(own.stages[-1].coefficients.toArray(), rel=1e-6, abs=1e-9)
+
+
+def test_registered_models_are_trained_with_the_legacy_settings(spark, monkeypatch):
+    from leakscope.plans import q_reports as QR
+    mf, seen, classifier = synthetic(spark, n=200), {}, MD.classifier
+
+    def small(name, params=None, *args, **options):
+        seen[name] = params
+        return classifier(name, {"n_estimators": 2, "max_depth": 2, "max_iter": 2}, *args, **options)
+
+    monkeypatch.setattr(MD, "classifier", small)
+    monkeypatch.setattr(QR, "modelling_frame", lambda spark, sf_dir: mf)
+    monkeypatch.setattr(QR, "run_table", lambda spark, key, build: build())
+    root = QR.registry_root(spark, "/root/testdata/sf0.001")
+    assert seen == EX.LEGACY
+    assert [r["model_name"] for r in EX.registered_models(spark, root).collect()] == sorted(EX.LEGACY)
+    assert classifier("logistic_regression", EX.LEGACY["logistic_regression"]).getMaxIter() == 1000
+    forest, boosted = (classifier(m, EX.LEGACY[m]) for m in ("random_forest", "xgboost"))
+    assert (forest.getNumTrees(), forest.getMaxDepth(), boosted.getMaxIter()) == (200, MD.UNLIMITED_DEPTH, 100)
