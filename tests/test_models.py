@@ -436,3 +436,25 @@ def test_registered_models_are_trained_with_the_legacy_settings(spark, monkeypat
     assert classifier("logistic_regression", EX.LEGACY["logistic_regression"]).getMaxIter() == 1000
     forest, boosted = (classifier(m, EX.LEGACY[m]) for m in ("random_forest", "xgboost"))
     assert (forest.getNumTrees(), forest.getMaxDepth(), boosted.getMaxIter()) == (200, MD.UNLIMITED_DEPTH, 100)
+
+
+def test_swapped_features_of_a_forest_are_looked_up(spark, mf, monkeypatch):
+    from pyspark.ml import PipelineModel
+    from leakscope.operators import attribution as A
+    fs = FEATURE_SETS["leakage_aware"]
+    tr, test = MD.training_frame(mf.filter(~F.col("is_test"))), mf.filter("is_test")
+    model = MD.pipeline(fs, "random_forest", {"n_estimators": 5, "max_depth": 4}).fit(tr)
+    # values that are missing, NaN or of an unknown category, and a feature that the model ignores
+    n = F.xxhash64(C.ID) % 7
+    odd = test.withColumns({
+        "inclination_deg": F.when(n == 0, F.lit(None)).when(n == 1, F.lit(float("nan"))).otherwise(F.col("inclination_deg")),
+        "orbit_class_type": F.when(n == 2, "new").when(n == 3, F.lit(None)).otherwise(F.col("orbit_class_type"))})
+    features = [*fs.feature_columns, "moid_au"]
+    run = lambda: sorted(map(tuple, A.permutation_importance(model, odd, features, n_repeats=3).collect()))
+    with monkeypatch.context() as m:
+        m.setattr(A, "swap_tables", lambda *args: None)
+        scored = run()
+    monkeypatch.setattr(PipelineModel, "transform", lambda *args: pytest.fail("rows are scored"))
+    found = run()
+    assert [r[0] for r in found] == [r[0] for r in scored] and np.allclose([r[1:] for r in found], [r[1:] for r in scored], 0, 1e-12)
+    assert any(r[1] != 0 for r in found) and dict((r[0], r[1]) for r in found)["moid_au"] == 0.0
