@@ -458,3 +458,35 @@ def test_swapped_features_of_a_forest_are_looked_up(spark, mf, monkeypatch):
     found = run()
     assert [r[0] for r in found] == [r[0] for r in scored] and np.allclose([r[1:] for r in found], [r[1:] for r in scored], 0, 1e-12)
     assert any(r[1] != 0 for r in found) and dict((r[0], r[1]) for r in found)["moid_au"] == 0.0
+
+
+def test_constants_of_all_folds_come_from_shared_passes(spark, monkeypatch):
+    from leakscope.operators import preprocess as PP
+    rng = np.random.default_rng(5)
+
+    def row(i):
+        a, b = float(rng.normal()), float(rng.integers(0, 3))
+        return (i % 3 + 1, None if i % 5 == 0 else float("nan") if i % 31 == 0 else a, b, 0.1, None,
+                float(i % 3 * 100 + i), None if i % 11 == 0 else "xyz"[i % 7 % 3])
+
+    # a third fold of its own values (f), whose absence moves the median far; g is null but for one fold
+    rows = [(*r, 1.5 * k if r[0] == 2 else None) for k, r in enumerate(map(row, range(300)))]
+    df = materialize(spark.createDataFrame(rows, "fold INT, a DOUBLE, b DOUBLE, c DOUBLE, d DOUBLE, f DOUBLE, t STRING, g DOUBLE"))
+    num, fits, fit = list("abcdfg"), [], PP.fit_medians
+    own = {k: PP.AuditPreprocessor(numericCols=num, categoricalCols=["t"]).fit(df if k is None else df.filter(F.col("fold") != k)).fitted()
+           for k in (1, 2, 3, None)}
+    monkeypatch.setattr(PP, "fit_medians", lambda df, features: fits.append(features) or fit(df, features))
+    got = PP.fold_statistics(df, "fold", num, ["t"], 300)
+    assert list(got) == list(own)
+    for k in own:
+        for part in ("medians", "modes", "categories"):
+            assert got[k][part] == own[k][part]
+        for part in ("means", "scales"):
+            known = {f: v for f, v in own[k][part].items() if v is not None}
+            assert {f for f, v in got[k][part].items() if v is not None} == set(known)
+            assert [got[k][part][f] for f in known] == pytest.approx(list(known.values()), rel=1e-12, nan_ok=True)
+    assert all(set(f) <= {"f", "g"} for f in fits)
+    mf = checked_frame(spark)
+    fits.clear()
+    EX.FoldConstants(mf, [FEATURE_SETS["leakage_aware"]])
+    assert not fits
