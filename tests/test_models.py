@@ -466,7 +466,7 @@ def test_constants_of_all_folds_come_from_shared_passes(spark, monkeypatch):
 
     def row(i):
         a, b = float(rng.normal()), float(rng.integers(0, 3))
-        return (i % 3 + 1, None if i % 5 == 0 else float("nan") if i % 31 == 0 else a, b, 0.1, None,
+        return (i % 3 + 1, None if i % 5 == 0 else float("nan") if i % 31 == 0 else a, b, 0.5, None,
                 float(i % 3 * 100 + i), None if i % 11 == 0 else "xyz"[i % 7 % 3])
 
     # a third fold of its own values (f), whose absence moves the median far; g is null but for one fold
@@ -490,3 +490,21 @@ def test_constants_of_all_folds_come_from_shared_passes(spark, monkeypatch):
     fits.clear()
     EX.FoldConstants(mf, [FEATURE_SETS["leakage_aware"]])
     assert not fits
+
+
+def test_settings_of_a_search_are_scored_in_one_pass_a_fold(spark, monkeypatch):
+    mf, settings, plans, keep = checked_frame(spark), [{"C": c, "max_iter": 8} for c in (0.01, 10.0)], [], EX.written
+    monkeypatch.setattr(EX, "written", lambda df: plans.append(df) or keep(df))
+    kept = lambda: spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    folds, before, held_before = EX.Folds(mf, FEATURE_SETS["leakage_aware"]), kept(), []  # sets of rows kept at each fit
+    fit = MD.LogisticRegression._fit
+    monkeypatch.setattr(MD.LogisticRegression, "_fit", lambda self, df: held_before.append(sum(
+        rows.storageLevel.useMemory for rows in (folds.train, *(p[1] for p in folds.parts)))) or fit(self, df))
+    model, best, search, oof = EX.tuned(folds, "logistic_regression", settings, parallel=2)
+    assert plans[0]._jdf.queryExecution().optimizedPlan().collectLeaves().size() == C.N_FOLDS
+    assert set(held_before) == {1} and kept() == before
+    train = mf.filter(~F.col("is_test"))
+    _, own_best, own = MD.random_search(train, FEATURE_SETS["leakage_aware"], "logistic_regression", settings)
+    assert best["params"] == own_best
+    assert [r["mean_test_score"] for r in search] == pytest.approx([r["mean_test_score"] for r in own], abs=1e-12)
+    assert oof.count() == oof.select(C.ID).distinct().count() == train.count()
